@@ -293,16 +293,15 @@ def tokens(c, stop: Sequence[str] | None = None, stem: bool = False) -> Column:
     t = F.regexp_replace(_col(c), char_class(ASCII_PUNCTUATION), "")
     t = F.regexp_replace(t, "http" + NOT_WS + "+" + WS + "*", "")
     toks = F.flatten(F.transform(ws_split(t), _treebank_split))
-    stop_arr = F.array(*[F.lit(w) for w in stop])
-    kept = F.filter(toks, lambda x: x.rlike(r"^\p{L}{2,}$") & ~F.array_contains(stop_arr, x))
+    # ``isin`` over a literal list becomes a hash-set lookup (InSet)
+    kept = F.filter(toks, lambda x: x.rlike(r"^\p{L}{2,}$") & ~x.isin(list(stop)))
     return F.transform(kept, light_stem) if stem else kept
 
 
 def remove_stopwords(arr: Column, stop: Sequence[str] | None = None) -> Column:
     """drop every stopword token (the reference removes only one)."""
     stop = stopwords() if stop is None else tuple(stop)
-    stop_arr = F.array(*[F.lit(w) for w in stop])
-    return F.filter(arr, lambda x: ~F.array_contains(stop_arr, x))
+    return F.filter(arr, lambda x: ~x.isin(list(stop)))
 
 
 def ngrams(arr: Column, n: int = 2) -> Column:
