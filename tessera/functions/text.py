@@ -30,6 +30,7 @@ NOT_WS = "[^" + WS[1:]
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 ANY = r"[^\n]"  # Python's '.' without DOTALL
+SENTENCE_MARK = "\ue000"  # private-use character marking sentence ends
 
 
 def char_class(chars: str) -> str:
@@ -248,7 +249,8 @@ def sentences(c) -> Column:
 
 def sentences_lang(c) -> Column:
     """F2 (approximation of a language-aware splitter): split after . ! ? + blanks."""
-    return F.filter(F.transform(F.split(_col(c), "(?<=[.!?])" + WS + "+", -1), strip_ws), lambda x: x != "")
+    marked = F.regexp_replace(_col(c), "([.!?])" + WS + "+", "$1" + SENTENCE_MARK)
+    return F.filter(F.transform(F.split(marked, SENTENCE_MARK, -1), strip_ws), lambda x: x != "")
 
 
 def ws_split(c) -> Column:
