@@ -105,9 +105,10 @@ def _resolve(names: Iterable[str]) -> list[str]:
     return order
 
 
-def with_views(views: Iterable[str], ctes: Sequence[tuple[str, str]] = (), select: str = "") -> str:
+def with_views(views: Iterable[str], ctes: Sequence[tuple[str, str]] = (), select: str = "",
+               recursive: bool = False) -> str:
     """``WITH <views...>, <ctes...> <select>`` as one DuckDB statement."""
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in _resolve(views)]
     parts += [f"{n} AS ({body})" for n, body in ctes]
-    head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
+    head = (("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n") if parts else ""
     return head + select
