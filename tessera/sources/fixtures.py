@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import read_table
+from tessera.sources.tables import read_table, spread
 
 # Fixed values of the entity fixture (FIXTURES.md): token pattern, number of
 # tokens kept per field, and the entity type picked by ``length(token) % 5``.
@@ -33,7 +33,7 @@ def second_line(c: Column) -> Column:
 
 def articles(spark: SparkSession, base: str) -> DataFrame:
     """``documents ⋈ events`` on ``event_id = doc_id``."""
-    docs = read_table(spark, base, "documents", ["doc_id", "text", "source"])
+    docs = spread(read_table(spark, base, "documents", ["doc_id", "text", "source"]), "doc_id")
     ev = read_table(spark, base, "events", ["event_id", "ts", "value"])
     headline = first_line(F.col("text"))
     return (docs.join(ev, docs.doc_id == ev.event_id)

@@ -58,6 +58,20 @@ def read_table(spark: SparkSession, base: str, name: str,
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan whose file layout gives fewer partitions than the
+    session's shuffle parallelism (e.g. one large row group), so per-row CPU
+    work (regex chains, JSON, tokenising) runs on every core.
+
+    A no-op when the scan is already split finely enough -- the normal case
+    on a cluster reading many files.  Hashing on the join key lets a following
+    join on that key reuse the partitioning instead of shuffling again."""
+    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
 def parse_day_first(c: Column | str, formats: Iterable[str] = DAY_FIRST_FORMATS) -> Column:
     """Day-first timestamp parsing: first format that parses wins, else null."""
     c = F.col(c) if isinstance(c, str) else c
