@@ -23,7 +23,10 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """V2: v / ||v||; a zero vector gives null (the reference yields NaN)."""
+    """V2: v / ||v||; a zero vector gives null (the reference yields NaN).
+
+    Pass a column reference: the norm is part of the lambda, so a computed
+    ``v`` would be re-evaluated per element (select it as a column first)."""
     n = norm(v)
     return F.when(n > 0, F.transform(_d(v), lambda x: x / n))
 
