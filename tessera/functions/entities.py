@@ -34,7 +34,7 @@ DEFAULT_ENTITY_TYPE = "COMMON"
 def _entity_list(json_col: Column) -> Column:
     """Element 0's ``entities`` array of the parsed JSON document."""
     doc = F.from_json(json_col, ENTITY_JSON_SCHEMA)
-    return F.element_at(doc, 1).getField("entities")
+    return F.try_element_at(doc, F.lit(1)).getField("entities")
 
 
 def _is_json_object(c: Column) -> Column:
