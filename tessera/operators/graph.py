@@ -21,7 +21,7 @@ from tessera.session import checkpoint_dir
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
                          src: str = "src", dst: str = "dst", max_rounds: int = 100,
-                         checkpoint_every: int = 2) -> DataFrame:
+                         checkpoint_every: int = 2, hops: int = 2) -> DataFrame:
     """``(id, comp)``: comp = least vertex id of the component.
 
     ``edges`` may be directed; both directions are used.  Vertices without
@@ -31,19 +31,28 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b"))
     e = e.distinct().checkpoint()
-    lab = vertices.select(F.col(vid).alias("v")).distinct().withColumn("lab", F.col("v")).checkpoint()
+    v = vertices.select(F.col(vid).alias("v")).distinct()
+    # round 0: each vertex takes the least of itself and its neighbours
+    first = e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
+    lab = (v.join(first, "v", "left")
+           .select("v", F.least(F.col("v"), F.coalesce(F.col("m"), F.col("v"))).alias("lab"))).checkpoint()
     for rnd in range(1, max_rounds + 1):
         nb = (e.join(lab.withColumnRenamed("v", "b"), "b")
               .groupBy(F.col("a").alias("v")).agg(F.min("lab").alias("m")))
-        step = (lab.join(nb, "v", "left")
-                .select("v", F.least(F.col("lab"), F.coalesce(F.col("m"), F.col("lab"))).alias("lab")))
-        # pointer jumping: follow the label to its own label
-        jump = step.alias("s").join(step.select(F.col("v").alias("lab"), F.col("lab").alias("lab2")), "lab", "left")
-        new = jump.select("v", F.least(F.col("lab"), F.coalesce(F.col("lab2"), F.col("lab"))).alias("lab"))
+        cur = (lab.join(nb, "v", "left")
+               .select("v", F.col("lab").alias("old"),
+                       F.least(F.col("lab"), F.coalesce(F.col("m"), F.col("lab"))).alias("l")))
+        # pointer jumping through the previous round's (materialised) labels,
+        # ``hops`` times in one job: l -> label of l
+        for _ in range(hops):
+            hop = lab.select(F.col("v").alias("l"), F.col("lab").alias("l2"))
+            cur = (cur.join(hop, "l", "left")
+                   .select("v", "old", F.least(F.col("l"), F.coalesce(F.col("l2"), F.col("l"))).alias("l")))
+        new = cur.select("v", F.col("l").alias("lab"), (F.col("l") != F.col("old")).alias("changed"))
         new = new.checkpoint() if rnd % checkpoint_every == 0 else new.persist()
-        changed = new.join(lab.withColumnRenamed("lab", "old"), "v").filter(F.col("lab") != F.col("old")).limit(1).count()
-        lab = new
-        if changed == 0:
+        done = new.filter(F.col("changed")).isEmpty()
+        lab = new.select("v", "lab")
+        if done:
             break
     return lab.select(F.col("v").alias(vid), F.col("lab").alias("comp"))
 
