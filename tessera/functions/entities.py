@@ -137,3 +137,8 @@ def description_words(c: Column) -> Column:
     """``"['a', 'b']"`` or ``"a, b"`` -> array of words."""
     stripped = F.replace(F.replace(c, F.lit("['"), F.lit("")), F.lit("']"), F.lit(""))
     return F.split(stripped, ", ", -1)
+
+
+def filter_score(df: DataFrame, score: str = "score", threshold: float = 0.70) -> DataFrame:
+    """keep recognised entity spans scored above the threshold."""
+    return df.filter(F.col(score) > threshold)

@@ -121,3 +121,14 @@ def reduce_and_cluster(df: DataFrame, k: int, eps: float, min_samples: int, min_
     model = fit_reducer(df, k, vec)
     red = reduce(df, model, vec, "r").select(key, F.col("r").alias(vec))
     return density_cluster(red, eps, min_samples, min_cluster_size, key, vec)
+
+
+def apply_and_cluster(df: DataFrame, model_path: str, eps: float, min_samples: int, min_cluster_size: int,
+                      key: str = "id", vec: str = "vec") -> DataFrame:
+    """C4: load a saved reducer (``PCAModel``), reduce, then density-cluster."""
+    from pyspark.ml.feature import PCAModel
+
+    from tessera.operators.cluster import density_cluster
+
+    red = reduce(df, PCAModel.load(model_path), vec, "r").select(key, F.col("r").alias(vec))
+    return density_cluster(red, eps, min_samples, min_cluster_size, key, vec)

@@ -263,3 +263,13 @@ def q_article_topics(spark, base):
     desc = topics.describe_topics(labels, FX.entities(spark, base))
     return art.join(labels, "article_uid", "left").join(desc, "topic_label", "left")\
               .select("article_uid", "topic_label", "topic_desc", "topic_size")
+
+
+@register("link_topics", with_views(["articles", "article_labels"], select="""
+    SELECT l.article_uid, l.topic_label, a.seo_title AS headline, a.headline AS seo_title, a.text,
+           strftime(a.created_at, '%Y-%m-%d') AS created_at
+    FROM article_labels l JOIN articles a ON a.article_uid = l.article_uid"""))
+def q_link_topics(spark, base):
+    """Labels aligned with article columns by key (the reference zips by
+    position), keeping its headline / seo_title swap and the date as text."""
+    return topics.link_topics(FX.article_labels(spark, base), FX.articles(spark, base), swap_titles=True)

@@ -299,3 +299,26 @@ def q_silhouette_cosine(spark, base):
     """M4: exact cosine silhouette of the given labels."""
     e = _emb(spark, base).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
     return metrics.silhouette(e, "id", "vec", "label", "cosine")
+
+
+register("label_stream", with_views([], [("pts", _pts_sql())] + _c1_ctes("c", "pts", EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE),
+                                   "SELECT id AS vec_id, cluster FROM c_labels", recursive=True))(
+    lambda spark, base: _label_stream(spark, base))
+
+
+def _label_stream(spark, base):
+    """Vectors streamed in; the first micro-batch is clustered (C1), later
+    ones are labelled incrementally (C7); labels are stored keyed."""
+    import os
+
+    from pyspark.sql import types as T
+
+    from tessera.streaming import ingest as ST
+
+    root = ST.scratch(spark, "labels")
+    schema = T.StructType([T.StructField("vec_id", T.LongType()),
+                           T.StructField("embedding", T.ArrayType(T.FloatType())),
+                           T.StructField("label", T.IntegerType())])
+    out = ST.label_stream(spark, os.path.join(base, "embeddings.parquet"), schema, root + "/labels",
+                          root + "/vectors", EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE, key="vec_id", vec="embedding")
+    return out.select("vec_id", F.col("cluster").cast("int").alias("cluster"))
