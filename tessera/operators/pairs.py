@@ -220,11 +220,19 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id",
     a ``row_number() <= k`` merges them.  Ties: lower match key first."""
     cb = _single_ring_blocks(corpus.select(key, vec), key, block_rows)
     q = queries.select(F.col(key).alias("q"), F.col(vec).cast("array<double>").alias("v"))
-    # ship queries: each query row to every block (explode of the block ids)
+    # tiles = (query block, corpus block); both sides are bounded blocks, so a
+    # query set holding a third of all rows is split like the corpus.  Each
+    # query row goes to every corpus block and each corpus row to every query
+    # block (explode of dense block ids, no join).
     nblocks = cb.agg(F.max("sub") + 1).scalar()
-    qs = q.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), nblocks - 1)))
-    left = qs.select("sub", F.lit(0).alias("side"), F.col("q").alias("k"), "v")
-    right = cb.select("sub", F.lit(1).alias("side"), F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    nq = q.agg(F.count(F.lit(1))).scalar()
+    nqblocks = F.greatest(F.ceil(nq / F.lit(block_rows)), F.lit(1)).cast("long")
+    qb = q.withColumn("qsub", F.pmod(F.xxhash64(F.col("q")), nqblocks))
+    left = (qb.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), nblocks - 1)))
+            .select("qsub", "sub", F.lit(0).alias("side"), F.col("q").alias("k"), "v"))
+    right = (cb.withColumn("qsub", F.explode(F.sequence(F.lit(0).cast("long"), nqblocks - 1)))
+             .select("qsub", "sub", F.lit(1).alias("side"), F.col(key).alias("k"),
+                     F.col(vec).cast("array<double>").alias("v")))
     key_type = corpus.schema[key].dataType.simpleString()
     qtype = queries.schema[key].dataType.simpleString()
     kk = int(k)
@@ -253,7 +261,7 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id",
         return pd.DataFrame({"query": np.repeat(L.k.to_numpy(), m), "match": bk[idx].ravel(),
                              "score": np.take_along_axis(s, idx, 1).ravel()})
 
-    cand = left.unionByName(right).groupBy("sub").applyInPandas(
+    cand = left.unionByName(right).groupBy("qsub", "sub").applyInPandas(
         kernel, f"query {qtype}, match {key_type}, score double")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("match").asc())
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kk)
@@ -266,9 +274,12 @@ def cluster_distance_sums(df: DataFrame, key: str = "id", vec: str = "vec", labe
     with distance 0).  All block pairs are scored in numpy; per tile only
     point x cluster partial sums leave the task."""
     blocked = _single_ring_blocks(df.select(key, vec, label), key, block_rows)
-    blocks = _blocks(blocked)
-    tiles = _tiles(blocks, None, 0)
-    t = tiles.withColumn("tile", F.xxhash64("r1", "s1", "r2", "s2"))
+    # sub-block ids are dense (pmod), so the tiles (s1 <= s2) are an explode
+    # of each block's id range -- no join (and no cross product) at all
+    nsub = blocked.agg(F.max("sub") + 1).scalar()
+    tiles = (blocked.select(F.col("sub").alias("s1")).distinct()
+             .withColumn("s2", F.explode(F.sequence(F.col("s1"), nsub - 1))))
+    t = tiles.withColumn("tile", F.xxhash64("s1", "s2"))
     diag = (F.col("s1") == F.col("s2"))
     base = blocked.select(key, F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("lab"), "sub")
     as_left = base.join(t.select(F.col("s1").alias("sub"), "tile", F.when(diag, 2).otherwise(0).alias("side")), "sub")
