@@ -42,8 +42,10 @@ def density_cluster(df: DataFrame, eps: float, min_samples: int = 2, min_cluster
                     key: str = "id", vec: str = "vec", alpha: float = 1.0, metric: str = "euclidean",
                     block_rows: int = pairs.BLOCK_ROWS) -> DataFrame:
     """``(key, cluster)``, -1 = noise."""
+    # the eps pairs feed core detection and the edge list: store them once
+    # (reliable checkpoint: survives executor loss, cuts the lineage)
     p = pairs.range_pairs(df.select(key, vec), eps * alpha, key=key, vec=vec, block_rows=block_rows,
-                          metric=metric).persist()
+                          metric=metric).checkpoint()
     core, edges = core_graph(p, min_samples)
     return label_components(df, edges, core, key, min_cluster_size)
 
@@ -78,7 +80,7 @@ def sweep(df: DataFrame, grid: Sequence[Setting], key: str = "id", vec: str = "v
     settings whose eps it satisfies (a bounded literal grid, not a join); the
     vertices of the component job are (config, point)."""
     max_eps = max(s.eps for s in grid)
-    p = pairs.range_pairs(df.select(key, vec), max_eps, key=key, vec=vec).persist()
+    p = pairs.range_pairs(df.select(key, vec), max_eps, key=key, vec=vec).checkpoint()
     g = F.array(*[F.struct(F.lit(i).alias("cfg"), F.lit(float(s.eps)).alias("eps"),
                            F.lit(int(s.min_samples)).alias("ms"), F.lit(int(s.min_cluster_size)).alias("mcs"))
                   for i, s in enumerate(grid)])
@@ -114,7 +116,7 @@ def assign_topics(new: DataFrame, labelled: DataFrame, eps: float, min_samples:
     lab = labelled.select(key, vec, F.col(label).alias("lab"))
     known = lab.filter(F.col("lab") != -1)
     both = new.select(key, vec).unionByName(known.select(key, vec))
-    p = pairs.range_pairs(both, eps, key=key, vec=vec).persist()
+    p = pairs.range_pairs(both, eps, key=key, vec=vec).checkpoint()
     new_ids = new.select(F.col(key).alias("src"))
     to_known = (p.join(new_ids, "src", "left_semi")
                 .join(known.select(F.col(key).alias("dst"), "lab"), "dst"))

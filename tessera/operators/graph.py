@@ -36,6 +36,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
     first = e.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
     lab = (v.join(first, "v", "left")
            .select("v", F.least(F.col("v"), F.coalesce(F.col("m"), F.col("v"))).alias("lab"))).checkpoint()
+    prev = None
     for rnd in range(1, max_rounds + 1):
         nb = (e.join(lab.withColumnRenamed("v", "b"), "b")
               .groupBy(F.col("a").alias("v")).agg(F.min("lab").alias("m")))
@@ -49,10 +50,17 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vid: str = "id",
             cur = (cur.join(hop, "l", "left")
                    .select("v", "old", F.least(F.col("l"), F.coalesce(F.col("l2"), F.col("l"))).alias("l")))
         new = cur.select("v", F.col("l").alias("lab"), (F.col("l") != F.col("old")).alias("changed"))
-        new = new.checkpoint() if rnd % checkpoint_every == 0 else new.persist()
-        done = new.filter(F.col("changed")).isEmpty()
+        if rnd % checkpoint_every == 0:
+            new = new.checkpoint()
+        else:
+            new = new.persist()
+        # one full pass materialises the round and counts the changes
+        changed = new.agg(F.count_if(F.col("changed"))).first()[0]
+        if prev is not None:
+            prev.unpersist()
+        prev = new
         lab = new.select("v", "lab")
-        if done:
+        if changed == 0:
             break
     return lab.select(F.col("v").alias(vid), F.col("lab").alias("comp"))
 

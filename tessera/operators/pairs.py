@@ -119,7 +119,7 @@ def range_pairs(df: DataFrame, eps: float, key: str = "id", vec: str = "vec",
     else:
         radius = float(eps)
     width = max(radius, 1e-9)
-    blocked = _with_blocks(df, key, vec, width, block_rows).persist()
+    blocked = _with_blocks(df, key, vec, width, block_rows)
     tiles = _tiles(_blocks(blocked), None, 1)
     shipped = _ship(blocked, tiles, key, vec)
     key_type = df.schema[key].dataType.simpleString()
@@ -156,7 +156,7 @@ def knn(df: DataFrame, k: int, key: str = "id", vec: str = "vec", block_rows: in
     Ties are broken by the neighbour key."""
     if width is None:
         width = 0.25
-    blocked = _with_blocks(df, key, vec, width, block_rows).persist()
+    blocked = _with_blocks(df, key, vec, width, block_rows)
     blocks = _blocks(blocked)
     key_type = df.schema[key].dataType.simpleString()
     kk = int(k)

@@ -15,6 +15,7 @@ def spark():
 
     s = (SparkSession.builder.master("local[4]").appName("tessera-tests")
          .config("spark.sql.shuffle.partitions", "4")
+         .config("spark.driver.memory", "8g")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
