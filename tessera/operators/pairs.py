@@ -156,7 +156,8 @@ def knn(df: DataFrame, k: int, key: str = "id", vec: str = "vec", block_rows: in
     Ties are broken by the neighbour key."""
     if width is None:
         width = 0.25
-    blocked = _with_blocks(df, key, vec, width, block_rows)
+    # the layout feeds both passes and the bounds: store it once (checkpoint)
+    blocked = _with_blocks(df, key, vec, width, block_rows).checkpoint()
     blocks = _blocks(blocked)
     key_type = df.schema[key].dataType.simpleString()
     kk = int(k)
