@@ -8,11 +8,12 @@ join + partial aggregate keyed by (topic, word); lineage is cut by
 ``checkpoint()`` every few rounds.
 
 D7 ``topic_abstract``: the most central sentence of each topic.  Sentence
-similarity is (1 + cos) / 2 -- non-negative and linear in each vector -- so a
-power-iteration step  v'(j) = sum_i v(i)/rowsum(i) * w(i,j)  needs only per-topic
-sums (a scalar and one d-vector), never the pairs of a topic: exact, with no
-cap on sentences, O(n * d) per round, skew-proof partial aggregates.  (The
-reference thresholds raw cosine over the full pair matrix of a topic.)
+similarity is (1 + cos) / 2 -- non-negative, symmetric and linear in each
+vector -- so the stationary distribution of LexRank's walk is proportional to
+the row sums, which need only per-topic sums (a count and one d-vector), never
+the pairs of a topic: exact, no cap on sentences, O(n * d), skew-proof partial
+aggregates.  (The reference thresholds raw cosine over the full pair matrix of
+a topic and power-iterates.)
 """
 
 from __future__ import annotations
@@ -69,33 +70,25 @@ def topic_keywords(tokens: DataFrame, topic: str = "topic_label", rounds: int =
 
 
 def topic_abstract(sent: DataFrame, topic: str = "topic_label", key: str = "sid", vec: str = "vec",
-                   text: str = "sentence", order: str = "pos", rounds: int = 20, dim: int = 64) -> DataFrame:
+                   text: str = "sentence", order: str = "pos", dim: int = 64) -> DataFrame:
     """``(topic, sentence, score)``, the most central sentence per topic.
 
     ``sent`` has one row per sentence with a unit vector ``vec`` of length
-    ``dim``; ties go to the smaller ``order`` then key."""
+    ``dim``; ties go to the smaller ``order`` then key.  The similarity
+    w(i,j) = (1 + x_i.x_j)/2 is symmetric, so the stationary distribution of
+    the row-normalised walk (the limit of LexRank's power iteration) is
+    proportional to the row sums by detailed balance:
+    score(i) = rowsum(i) / sum_j rowsum(j), rowsum(i) = (n + x_i.S)/2 with S the
+    topic's vector sum.  One pass of per-topic sums; no pairs, no rounds."""
     x = sent.select(topic, key, text, order, F.col(vec).cast("array<double>").alias("x"))
-    x = x.filter(F.size("x") == dim).checkpoint()
-
-    def vec_sum(weight):
-        return [F.sum(weight * F.col("x")[k]).alias(f"s{k}") for k in range(dim)]
-
-    n = x.groupBy(topic).agg(F.count(F.lit(1)).cast("double").alias("n"), *vec_sum(F.lit(1.0)))
-    tot = n.select(topic, "n", F.array(*[F.col(f"s{k}") for k in range(dim)]).alias("S"))
-    # rowsum(i) = sum_j (1 + x_i.x_j)/2 = (n + x_i.S)/2
-    xs = (x.join(tot, topic).select(topic, key, text, order, "x", "n",
-                                    ((F.col("n") + VF.dot(F.col("x"), F.col("S"))) / 2).alias("rs"))
-          .withColumn("v", F.lit(1.0) / F.col("n")).checkpoint())
-    cur = xs
-    for rnd in range(1, rounds + 1):
-        c = F.col("v") / F.col("rs")
-        agg = cur.groupBy(topic).agg(F.sum(c).alias("A"), *vec_sum(c))
-        agg = agg.select(topic, "A", F.array(*[F.col(f"s{k}") for k in range(dim)]).alias("B"))
-        nxt = (cur.drop("v").join(agg, topic)
-               .withColumn("v", (F.col("A") + VF.dot(F.col("x"), F.col("B"))) / 2).drop("A", "B"))
-        # ``cur`` feeds both the aggregate and the join of the next round:
-        # materialise every round so nothing is recomputed twice
-        cur = nxt.checkpoint()
+    x = x.filter(F.size("x") == dim)
+    tot = x.groupBy(topic).agg(F.count(F.lit(1)).cast("double").alias("n"),
+                               *[F.sum(F.col("x")[k]).alias(f"s{k}") for k in range(dim)])
+    tot = tot.select(topic, "n", F.array(*[F.col(f"s{k}") for k in range(dim)]).alias("S"))
+    rs = x.join(tot, topic).select(topic, key, text, order,
+                                   ((F.col("n") + VF.dot(F.col("x"), F.col("S"))) / 2).alias("rs"))
+    z = rs.groupBy(topic).agg(F.sum("rs").alias("z"))
+    scored = rs.join(z, topic).withColumn("v", F.col("rs") / F.col("z"))
     w = Window.partitionBy(topic).orderBy(F.col("v").desc(), F.col(order), F.col(key))
-    best = cur.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1)
+    best = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1)
     return best.select(topic, F.col(text).alias("sentence"), F.round("v", 6).alias("score"))

@@ -30,8 +30,8 @@ def q_topic_keywords(spark, base):
 
 @register("topic_abstract")
 def q_topic_abstract(spark, base):
-    """Most central sentence per topic (power iteration on (1+cos)/2
-    sentence similarity, no pairs); topic -1 -> ' NONE '."""
+    """Most central sentence per topic (stationary distribution of the
+    (1+cos)/2 sentence walk, from per-topic sums, no pairs); topic -1 -> ' NONE '."""
     la = _labelled_articles(spark, base).filter(F.col("topic_label") != -1)
     sent = la.select("topic_label", "article_uid", F.posexplode(TX.sentences("text")).alias("pos", "sentence"))
     sent = sent.filter(F.col("sentence") != "").withColumn("sid", F.concat_ws(":", "article_uid", "pos"))

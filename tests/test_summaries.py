@@ -42,12 +42,15 @@ def test_topic_abstract_matches_dense(spark):
             x /= np.linalg.norm(x)
             rows.append((topic, f"{topic}:{i}", f"s{topic}-{i}", i, [float(v) for v in x]))
     df = spark.createDataFrame(rows, "topic_label int, sid string, sentence string, pos int, vec array<double>")
-    got = {r.topic_label: r.sentence for r in SM.topic_abstract(df, order="pos", dim=8).collect()}
+    res = SM.topic_abstract(df, order="pos", dim=8).collect()
+    got = {r.topic_label: r.sentence for r in res}
+    scores = {r.topic_label: r.score for r in res}
     for topic in (0, 1):
         X = np.array([r[4] for r in rows if r[0] == topic])
         W = (1 + X @ X.T) / 2
         P = W / W.sum(1, keepdims=True)
         v = np.full(len(X), 1 / len(X))
-        for _ in range(20):
+        for _ in range(500):
             v = v @ P
         assert got[topic] == f"s{topic}-{int(np.argmax(np.round(v, 12)))}"
+        assert abs(scores[topic] - round(float(v.max()), 6)) < 1e-6
