@@ -27,7 +27,7 @@ NONE_TOPIC_TEXT = " NONE "
 DAMPING = 0.85
 
 
-def word_graph(tokens: DataFrame, topic: str = "topic_label", doc: str = "doc", toks: str = "t") -> DataFrame:
+def word_graph(tokens: DataFrame, topic: str = "topic_label", toks: str = "t") -> DataFrame:
     """``(topic, src, dst, w)`` from per-document token arrays, both directions."""
     pairs = tokens.select(topic, F.explode(F.arrays_zip(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))),
                                                         F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))))).alias("p"))
