@@ -107,3 +107,17 @@ def q_ingest_new(spark, base):
     out = ST.ingest_new(spark, os.path.join(base, "documents.parquet"), schema, store, transform,
                         key="article_uid", ts=None)
     return out.select("article_uid", "composed")
+
+
+@register("apply_and_cluster")
+def q_apply_and_cluster(spark, base):
+    """C4 (with V6 persistence): a reducer fitted on the latest vectors is
+    saved with the ML writer under the shared checkpoint folder, loaded back,
+    applied to all vectors, and the reduced vectors are density-clustered."""
+    av = FX.article_vectors(spark, base).select(F.col("article_uid").alias("id"),
+                                               F.col("embedding").cast("array<double>").alias("vec"),
+                                               "article_created_at")
+    model = EM.fit_reducer(av, REDUCED_DIM, ts="article_created_at", n_train=TRAIN_N)
+    path = ST.scratch(spark, "reducer")
+    model.write().overwrite().save(path)
+    return EM.apply_and_cluster(av.select("id", "vec"), path, 0.9, 1, 3).withColumnRenamed("id", "article_uid")
