@@ -273,3 +273,17 @@ def q_link_topics(spark, base):
     """Labels aligned with article columns by key (the reference zips by
     position), keeping its headline / seo_title swap and the date as text."""
     return topics.link_topics(FX.article_labels(spark, base), FX.articles(spark, base), swap_titles=True)
+
+
+# Topic labels of the label view: 0..8 and -1 (label 9 is the outlier topic).
+PIVOT_TOPICS = [-1] + list(range(0, FX.OUTLIER_TOPIC))
+
+
+@register("topic_day_matrix", with_views(["articles", "article_labels"], select=f"""
+    SELECT CAST(a.created_at AS DATE) AS date,
+           {", ".join(f'count(*) FILTER (WHERE l.topic_label = {t}) AS "{t}"' for t in PIVOT_TOPICS)}
+    FROM article_labels l JOIN articles a ON a.article_uid = l.article_uid GROUP BY 1"""))
+def q_topic_day_matrix(spark, base):
+    """A3: date x topic cross-tab (pivot over the given topic list, missing cells 0)."""
+    df = FX.article_labels(spark, base).join(FX.articles(spark, base), "article_uid")
+    return R.topic_day_matrix(df, PIVOT_TOPICS)
