@@ -113,11 +113,12 @@ def range_pairs(df: DataFrame, eps: float, key: str = "id", vec: str = "vec",
     metric="cosine" uses 1 - cos on L2-normalised vectors (computed from the
     Euclidean distance of the unit vectors: 1 - cos = d^2 / 2)."""
     if metric == "cosine":
-        df = df.withColumn(vec, VF.l2_normalize(F.col(vec)))
+        df = df.withColumn(vec, VF.l2_normalize(F.col(vec)))  # zero vector -> null
         radius = math.sqrt(2.0 * eps)
     else:
         radius = float(eps)
     width = max(radius, 1e-9)
+    df = df.filter(F.col(vec).isNotNull())  # a missing vector has no neighbours
     blocked = _with_blocks(df, key, vec, width, block_rows)
     tiles = _tiles(_blocks(blocked), None, 1)
     shipped = _ship(blocked, tiles, key, vec)
@@ -155,6 +156,7 @@ def knn(df: DataFrame, k: int, key: str = "id", vec: str = "vec", block_rows: in
     Ties are broken by the neighbour key."""
     if width is None:
         width = 0.25
+    df = df.filter(F.col(vec).isNotNull())
     # the layout feeds both passes and the bounds: store it once (checkpoint)
     blocked = _with_blocks(df, key, vec, width, block_rows).checkpoint()
     blocks = _blocks(blocked)
@@ -218,6 +220,8 @@ def search_topk(queries: DataFrame, corpus: DataFrame, k: int, key: str = "id",
     split into bounded blocks; every query row is sent to every block (the
     query set is the small side), each block keeps its k best per query, and
     a ``row_number() <= k`` merges them.  Ties: lower match key first."""
+    corpus = corpus.filter(F.col(vec).isNotNull())
+    queries = queries.filter(F.col(vec).isNotNull())
     cb = _single_ring_blocks(corpus.select(key, vec), key, block_rows)
     q = queries.select(F.col(key).alias("q"), F.col(vec).cast("array<double>").alias("v"))
     # tiles = (query block, corpus block); both sides are bounded blocks, so a
@@ -273,7 +277,7 @@ def cluster_distance_sums(df: DataFrame, key: str = "id", vec: str = "vec", labe
     cluster's points, ``(key, cluster, dsum, cnt)`` (the point itself counts
     with distance 0).  All block pairs are scored in numpy; per tile only
     point x cluster partial sums leave the task."""
-    blocked = _single_ring_blocks(df.select(key, vec, label), key, block_rows)
+    blocked = _single_ring_blocks(df.select(key, vec, label).filter(F.col(vec).isNotNull()), key, block_rows)
     # sub-block ids are dense (pmod), so the tiles (s1 <= s2) are an explode
     # of each block's id range -- no join (and no cross product) at all
     nsub = blocked.agg(F.max("sub") + 1).scalar()

@@ -164,3 +164,14 @@ def test_agreement_symmetry(spark):
     assert abs(ab.homogeneity - ba.completeness) < 1e-9 and abs(ab.completeness - ba.homogeneity) < 1e-9
     same = metrics.agreement(df, "t", "t").first()
     assert same.v_measure == 1.0
+
+
+def test_zero_and_missing_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    cos = {(r.src, r.dst) for r in pairs.range_pairs(df, 0.1, metric="cosine").collect()}
+    assert cos == {(0, 1), (1, 0)}
+    euc = {(r.src, r.dst) for r in pairs.range_pairs(df, 0.2).collect()}
+    assert euc == {(0, 1), (1, 0)}
+    lab = {r.id: r.cluster for r in C.density_cluster(df, 0.2, 1, 2).collect()}
+    assert lab == {0: 0, 1: 0, 2: -1, 3: -1, 4: -1}
