@@ -15,14 +15,14 @@ the same thing in Spark and in DuckDB.
 from __future__ import annotations
 
 import functools
-import os
-import zipfile
 from dataclasses import dataclass
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.stopwords import LISTS
+
 # ---------------------------------------------------------------- classes
 # Python's Unicode whitespace (str.isspace), word and decimal-digit classes.
 WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -260,21 +260,8 @@ def ws_split(c) -> Column:
 
 @functools.lru_cache(maxsize=None)
 def stopwords(language: str = "german", extra: tuple[str, ...] = EXTRA_STOPWORDS) -> tuple[str, ...]:
-    """Spark's built-in stopword list for ``language`` plus ``extra``.
-
-    Read from the ML jar that ships with pyspark (no JVM needed, so the oracle
-    SQL can embed the same list)."""
-    import pyspark
-
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    words: list[str] = []
-    for name in sorted(os.listdir(jars)):
-        if name.startswith("spark-mllib_") and name.endswith(".jar"):
-            with zipfile.ZipFile(os.path.join(jars, name)) as z:
-                data = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-            words = [w.strip() for w in data.splitlines() if w.strip()]
-            break
-    return tuple(sorted(set(words) | set(extra)))
+    """the stopword list of ``language`` plus ``extra``, sorted."""
+    return tuple(sorted(set(LISTS[language]) | set(extra)))
 
 
 def _treebank_split(tok: Column) -> Column:

@@ -9,4 +9,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(ORACLE)
+    return {name: sql() if callable(sql) else sql for name, sql in ORACLE.items()}

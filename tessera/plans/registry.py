@@ -17,10 +17,11 @@ from tessera.session import ensure_conf
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | Callable[[], str] | None = None):
+    """``sql`` may be a callable: it is rendered only when the twins are asked for."""
     def deco(fn: Query) -> Query:
         def run(spark: SparkSession, base: str) -> DataFrame:
             ensure_conf(spark)
