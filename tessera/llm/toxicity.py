@@ -10,8 +10,8 @@
   E = K m exp(-lambda S) segments of score S or more are expected in m tokens.  lambda solves
   sum p(s) exp(lambda s) = 1 over clean tokens; ln K comes from the mean best segment of clean
   fitting documents.  A document's evidence is the sum of -ln E over its segments with E < 1.
-* A one-variable logistic curve, fitted on a histogram of the evidence of fitting documents,
-  turns the evidence into the score (0 to 1).
+* A logistic curve of ln(1 + evidence), fitted on a histogram over the fitting documents, turns
+  the evidence into the score (0 to 1).
 
 Bounds: each partition sends at most BUCKETS count rows; the model is one float for each bucket.
 Labels to learn from: all outside the held-out fold, or a hash sample of about ``max_labelled``.
@@ -184,12 +184,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, max_label
     log_k = (shift if shift is not None else 0.0) - EULER
     size = F.log(F.greatest("n_tokens", F.lit(1)).cast("double"))
     evidence = F.aggregate("passages", F.lit(0.0), lambda t, p: t + F.greatest(F.lit(0.0), lam * p["score"] - size - log_k))
-    bins = (known.select("y", F.round(F.least(evidence, F.lit(200.0)), 1).alias("x")).groupBy("x")
+    bins = (known.select("y", F.round(F.log1p(evidence), 2).alias("x")).groupBy("x")
             .agg(F.sum(F.col("y").cast("double")).alias("y1"), F.sum(1.0 - F.col("y")).alias("y0")).toPandas())
     out = found.withColumn("evidence", evidence).withColumn("held_out", id_remainder("doc_id", held_out_of) == 0)
     if len(bins) and bins["y1"].sum() and bins["y0"].sum():
         a, b = logistic(bins["x"].to_numpy(float), bins["y1"].to_numpy(float), bins["y0"].to_numpy(float))
-        out = out.withColumn("score", 1 / (1 + F.exp(-(a + b * F.least("evidence", F.lit(200.0))))))
+        out = out.withColumn("score", 1 / (1 + F.exp(-(a + b * F.log1p("evidence")))))
     else:
         out = out.withColumn("score", F.lit(0.0))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
