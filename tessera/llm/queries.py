@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # One module for each operator; each has NAME, query(spark, sf_dir) and ORACLE_SQL (or None).
-MODULES = ["quality", "langid", "toxicity", "tokenbin", "ctw", "decontam", "packing", "neardup"]
+MODULES = ["chat", "quality", "langid", "toxicity", "linededup", "tokenbin", "ctw", "decontam", "packing", "neardup"]
 
 
 def _modules():
