@@ -126,3 +126,20 @@ def label_of(ids: np.ndarray, fit_ids: np.ndarray, fit_y: np.ndarray) -> np.ndar
 
 def long_column(batch: pa.RecordBatch, name: str, null: int = -1) -> np.ndarray:
     return batch.column(name).cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
+
+
+def without(docs: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids`` (a bit filter lets most texts pass without a
+    shuffle; only rows it may hold meet the exact anti-join).  Rows without an id stay."""
+    ids = ids.select(F.col("doc_id").cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    likely = bit_filter(ids, "_id", bits)
+
+    def pick(inside: bool):
+        def kernel(batch):
+            named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            return batch.filter(pa.array((passes(likely, long_column(batch, "doc_id")) & named) == inside))
+        return docs.mapInArrow(by_batch(kernel), docs.schema)
+
+    maybe = pick(True)
+    kept = maybe.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return pick(False).unionByName(kept)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 # One module for each operator; each has NAME, query(spark, sf_dir) and ORACLE_SQL (or None).
 MODULES = ["chat", "quality", "langid", "toxicity", "linededup", "tokenbin", "ctw", "decontam", "packing", "neardup"]
 
@@ -13,9 +15,9 @@ def _modules():
 
 
 def queries():
-    return {m.NAME: m.query for m in _modules()}
+    return {m.NAME: m.query for m in _modules()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    twins = {m.NAME: m.ORACLE_SQL for m in _modules()}
+    twins = {m.NAME: m.ORACLE_SQL for m in _modules()} | {"pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in twins.items() if sql}
