@@ -46,12 +46,3 @@ def cosine(a: Column, b: Column) -> Column:
 def append(v: Column, *xs: Column) -> Column:
     """Append scalar features to a vector (V4, V5)."""
     return F.concat(_d(v), F.array(*[x.cast("double") for x in xs]))
-
-
-def seeded_matrix(rows: int, cols: int, seed: int = 7):
-    """A fixed Gaussian matrix (rows x cols) as nested Python lists, scaled
-    by 1/sqrt(cols): the random projection of V1/V6."""
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    return (rng.standard_normal((rows, cols)) / np.sqrt(cols)).tolist()

@@ -126,7 +126,7 @@ def assign_topics(new: DataFrame, labelled: DataFrame, eps: float, min_samples:
     rest_ids = rest.select(F.col(key).alias("src"))
     rp = p.join(rest_ids, "src", "left_semi").join(rest_ids.withColumnRenamed("src", "dst"), "dst", "left_semi")
     core, edges = core_graph(rp, min_samples)
-    offset = labelled.agg(F.max(F.col(label))).scalar() + 1
+    offset = labelled.agg(F.coalesce(F.max(F.col(label)), F.lit(-1)) + 1).scalar()
     fresh = label_components(rest, edges, core, key, min_cluster_size, offset=offset)
     fresh = fresh.withColumnRenamed("cluster", label)
     return hit.unionByName(fresh)

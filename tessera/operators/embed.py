@@ -82,15 +82,16 @@ def embed_with(docs: DataFrame, load_model: Callable[[], object], key: str = "do
     return docs.select(key, text).mapInPandas(run, f"{key} {key_type}, vec array<double>")
 
 
-def fit_reducer(df: DataFrame, k: int, vec: str = "vec", ts: str | None = None, n_train: int | None = None):
-    """V6: PCA(k) fitted on the L2-normalised vectors (latest ``n_train`` by
-    ``ts`` when given).  Returns a ``PCAModel`` (save with ``model.write()``)."""
+def fit_reducer(df: DataFrame, k: int, vec: str = "vec", ts: str | None = None, n_train: int | None = None,
+                key: str | None = None):
+    """V6: PCA(k) fitted on the L2-normalised vectors (all of them; the
+    latest ``n_train`` by ``ts``, ties by ``key``, only when asked for).  Returns a ``PCAModel`` (save with ``model.write()``)."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     train = df
     if ts is not None and n_train is not None:
-        train = df.orderBy(F.col(ts).desc()).limit(int(n_train))
+        train = df.orderBy(F.col(ts).desc(), *([key] if key else [])).limit(int(n_train))
     train = train.select(array_to_vector(VF.l2_normalize(F.col(vec))).alias("features")).na.drop()
     return PCA(k=k, inputCol="features", outputCol="reduced").fit(train)
 

@@ -1,23 +1,20 @@
 """Cluster quality metrics (M1-M5) as aggregates.
 
 M1/M2 work on the contingency table (one partial aggregate over the rows,
-then tiny tables).  M3/M4 are exact silhouettes from per point x cluster
-distance sums (``pairs.cluster_distance_sums``).
+then tiny tables).  M4 (cosine) and
+the squared-Euclidean silhouette are linear in per-cluster sums; only M3
+(Euclidean) needs per point x cluster distance sums (``pairs.cluster_distance_sums``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as VF
 from tessera.operators import pairs
 
 
-def _xlogx_over(n: Column, d: Column) -> Column:
-    return F.when(n > 0, (n / d) * F.ln(n / d)).otherwise(F.lit(0.0))
-
-
 def agreement(df: DataFrame, truth: str, pred: str, swap: bool = False) -> DataFrame:
     """M1: homogeneity, completeness, V-measure, NMI (natural log).
 
@@ -28,16 +25,16 @@ def agreement(df: DataFrame, truth: str, pred: str, swap: bool = False) -> DataF
     if swap:
         truth, pred = pred, truth
     cont = df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    a = cont.groupBy("p").agg(F.sum("n").alias("a"))
-    b = cont.groupBy("t").agg(F.sum("n").alias("b"))
-    N = cont.agg(F.sum("n")).scalar()
-    j = cont.join(a, "p").join(b, "t")
-    sums = j.agg(
-        (-F.sum(_xlogx_over(F.col("n"), F.col("a")) * F.col("a") / N)).alias("h_t_given_p"),
-        (-F.sum(_xlogx_over(F.col("n"), F.col("b")) * F.col("b") / N)).alias("h_p_given_t"))
-    ht = b.agg((-F.sum(_xlogx_over(F.col("b"), N))).alias("h_t"))
-    hp = a.agg((-F.sum(_xlogx_over(F.col("a"), N))).alias("h_p"))
-    h_t, h_p = ht.scalar(), hp.scalar()
+    # the marginals and the total are windows over the contingency table: one scan of the rows
+    every = Window.partitionBy()
+    j = cont.select("n", F.sum("n").over(Window.partitionBy("p")).alias("a"), F.sum("n").over(Window.partitionBy("t")).alias("b"),
+                    F.sum("n").over(every).alias("total"))
+    part = F.col("n") / F.col("total")
+    sums = j.agg((-F.sum(part * F.ln(F.col("n") / F.col("a")))).alias("h_t_given_p"),
+                 (-F.sum(part * F.ln(F.col("n") / F.col("b")))).alias("h_p_given_t"),
+                 (-F.sum(part * F.ln(F.col("b") / F.col("total")))).alias("h_t"),
+                 (-F.sum(part * F.ln(F.col("a") / F.col("total")))).alias("h_p"))
+    h_t, h_p = F.col("h_t"), F.col("h_p")
     hom = F.when(h_t > 0, 1 - F.col("h_t_given_p") / h_t).otherwise(F.lit(1.0))
     com = F.when(h_p > 0, 1 - F.col("h_p_given_t") / h_p).otherwise(F.lit(1.0))
     out = sums.select(hom.alias("homogeneity"), com.alias("completeness"))
@@ -60,6 +57,41 @@ def outlier_stats(df: DataFrame, pred: str, truth: str | None = None) -> DataFra
     return out
 
 
+def silhouette_linear(df: DataFrame, key: str, vec: str, label: str, metric: str = "cosine") -> DataFrame:
+    """M4 and its squared-Euclidean sibling: mean silhouette without pairs.
+
+    Both distances are linear in a cluster's sums: with n points, vector sum S and
+    sum of squares Q, the distances of x to a cluster sum to n - x.S (cosine, unit
+    vectors; a zero vector is 1 away from all) or n x.x - 2 x.S + Q (squared
+    Euclidean).  One aggregate per cluster, then points x clusters arithmetic inside
+    a row; -1 is one more cluster, singletons score 0.  The clusters' sums (k rows of
+    d numbers) go to every task."""
+    v = F.col(vec).cast("array<double>")
+    if metric == "cosine":
+        v = F.coalesce(VF.l2_normalize(v), F.transform(v, lambda x: x * 0.0))
+    pts = df.filter(F.col(vec).isNotNull()).select(key, F.col(label).alias("own"), v.alias("x"))
+    dims = pts.select("own", F.posexplode("x").alias("dim", "value")).groupBy("own", "dim").agg(F.sum("value").alias("s"))
+    sums = dims.groupBy("own").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "s"))), lambda p: p["s"]).alias("s"))
+    size = pts.groupBy("own").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(VF.dot(F.col("x"), F.col("x"))).alias("q"))
+    clusters = size.join(sums, "own").agg(F.collect_list(F.struct("own", "n", "q", "s"))).scalar()
+    xx = VF.dot(F.col("x"), F.col("x"))
+    t = pts.select("own", "x", xx.alias("xx"), clusters.alias("all"))
+    cosine = metric == "cosine"
+
+    def total(c):
+        xs = F.aggregate(F.zip_with("x", c["s"], lambda a, b: a * b), F.lit(0.0), lambda acc, y: acc + y)
+        return c["n"] - xs if cosine else c["n"] * F.col("xx") - 2 * xs + c["q"]
+
+    far = t.select("own", "xx", F.transform("all", lambda c: F.struct(c["own"].alias("own"), c["n"].alias("n"), total(c).alias("d"))).alias("far"))
+    mine = F.filter("far", lambda c: c["own"] == F.col("own"))[0]
+    itself = F.lit(1.0) - F.col("xx") if cosine else F.lit(0.0)  # the point's distance to itself by the formula
+    near = F.array_min(F.transform(F.filter("far", lambda c: c["own"] != F.col("own")), lambda c: c["d"] / c["n"]))
+    ab = far.select(mine["n"].alias("n"), ((mine["d"] - itself) / F.greatest(mine["n"] - 1, F.lit(1.0))).alias("a"), near.alias("b"))
+    top = F.greatest(F.col("a"), F.col("b"))
+    s = F.when((F.col("n") <= 1) | F.col("b").isNull() | (top <= 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / top)
+    return ab.agg(F.round(F.avg(s), 6).alias("silhouette"))
+
+
 def silhouette(df: DataFrame, key: str, vec: str, label: str, metric: str = "euclidean",
                block_rows: int = pairs.BLOCK_ROWS) -> DataFrame:
     """M3/M4: mean silhouette; -1 is one more cluster; singletons score 0."""

@@ -82,7 +82,7 @@ def _tiles_within(reach_tbl: DataFrame) -> DataFrame:
 
 def _ship(blocked: DataFrame, tiles: DataFrame, key: str, vec: str) -> DataFrame:
     """Each vector to every tile of its block; side 0 = left, 1 = right, 2 = both."""
-    t = tiles.withColumn("tile", F.xxhash64("r1", "s1", "r2", "s2"))
+    t = tiles.withColumn("tile", F.struct("r1", "s1", "r2", "s2"))
     diag = (F.col("r1") == F.col("r2")) & (F.col("s1") == F.col("s2"))
     base = blocked.select(key, F.col(vec).cast("array<double>").alias("v"), "ring", "sub")
     as_left = base.join(t.select(F.col("r1").alias("ring"), F.col("s1").alias("sub"), "tile",
@@ -283,7 +283,7 @@ def cluster_distance_sums(df: DataFrame, key: str = "id", vec: str = "vec", labe
     nsub = blocked.agg(F.max("sub") + 1).scalar()
     tiles = (blocked.select(F.col("sub").alias("s1")).distinct()
              .withColumn("s2", F.explode(F.sequence(F.col("s1"), nsub - 1))))
-    t = tiles.withColumn("tile", F.xxhash64("s1", "s2"))
+    t = tiles.withColumn("tile", F.struct("s1", "s2"))
     diag = (F.col("s1") == F.col("s2"))
     base = blocked.select(key, F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("lab"), "sub")
     as_left = base.join(t.select(F.col("s1").alias("sub"), "tile", F.when(diag, 2).otherwise(0).alias("side")), "sub")

@@ -8,7 +8,7 @@ never a join against a one-row table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
@@ -89,20 +89,27 @@ STATS = ("mean", "std", "min", "25%", "50%", "75%", "max")
 
 def text_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """describe() of tokens, sentences and words per text, one row per
-    statistic and one column per measure.  Exact percentiles (linear
-    interpolation); their buffers are bounded by the number of distinct counts."""
+    statistic and one column per measure.  All statistics come from the histogram
+    of each measure (one row per distinct count); percentiles are exact (linear
+    interpolation between the two ranks, found by cumulative counts)."""
     m = text_measures(F.col(text))
-    per = df.select(*[v.alias(k) for k, v in m.items()])
-    aggs = []
-    for k in m:
-        aggs += [F.avg(k).alias(f"{k}_mean"), F.stddev_samp(k).alias(f"{k}_std"),
-                 F.min(k).cast("double").alias(f"{k}_min"),
-                 F.percentile(k, 0.25).alias(f"{k}_25%"), F.percentile(k, 0.5).alias(f"{k}_50%"),
-                 F.percentile(k, 0.75).alias(f"{k}_75%"), F.max(k).cast("double").alias(f"{k}_max")]
-    row = per.agg(*aggs)
-    stack = ", ".join(f"'{s}', " + ", ".join(f"`{k}_{s}`" for k in m) for s in STATS)
-    return row.selectExpr(f"stack({len(STATS)}, {stack}) AS (stat, {', '.join(m)})").select(
-        "stat", *[F.round(k, 6).alias(k) for k in m])
+    per = df.select(*[v.cast("long").alias(k) for k, v in m.items()]).unpivot([], list(m), "measure", "v")
+    hist = per.groupBy("measure", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("measure").orderBy("v")
+    whole = Window.partitionBy("measure")
+    hist = hist.select("measure", F.col("v").cast("double").alias("v"), "c", F.sum("c").over(upto).alias("upto"),
+                       F.sum("c").over(whole).alias("n"))
+    n, total, square = F.sum("c"), F.sum(F.col("c") * F.col("v")), F.sum(F.col("c") * F.col("v") * F.col("v"))
+    aggs = [(total / n).alias("mean"), F.when(n > 1, F.sqrt((square - total * total / n) / (n - 1))).alias("std"),
+            F.min("v").alias("min"), F.max("v").alias("max")]
+    for p in (25, 50, 75):
+        at = (F.col("n") - 1) * F.lit(p / 100)
+        low, high = (F.min(F.when(F.col("upto") > f(at), F.col("v"))) for f in (F.floor, F.ceil))
+        share = F.max(at - F.floor(at))
+        aggs.append((low + (high - low) * share).alias(f"{p}%"))
+    one = hist.groupBy("measure").agg(*aggs).unpivot(["measure"], list(STATS), "stat", "value")
+    return (one.groupBy("stat").pivot("measure", list(m)).agg(F.first(F.round("value", 6)))
+            .select("stat", *m))
 
 
 def fill_title(df: DataFrame, title: str = "seo_title", fallback: str = "headline") -> DataFrame:

@@ -2,8 +2,8 @@
 
 D8 ``topic_keywords``: word graph per topic (undirected edges between adjacent
 kept tokens of one document, weighted by co-occurrence count), PageRank with
-damping 0.85 for a fixed number of rounds, then the best
-max(1, floor(0.01 * distinct words)) words, at most 20.  Each round is one
+damping 0.85 until no topic's ranks move by more than a tolerance, then the best
+floor(0.01 * distinct words) words.  Each round is one
 join + partial aggregate keyed by (topic, word); lineage is cut by
 ``checkpoint()`` every few rounds.
 
@@ -18,6 +18,8 @@ a topic and power-iterates.)
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,59 +38,64 @@ def word_graph(tokens: DataFrame, topic: str = "topic_label", toks: str = "t") -
     return both.groupBy(topic, "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, topic: str = "topic_label", rounds: int = 20,
-             damping: float = DAMPING, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, topic: str = "topic_label", tolerance: float = 1e-6,
+             damping: float = DAMPING, checkpoint_every: int = 5, max_rounds: int = 500) -> DataFrame:
     """Per-topic PageRank: ``(topic, word, pr)``; nodes ``(topic, word)``,
-    edges ``(topic, src, dst, w)``.  Teleport is uniform within the topic."""
+    edges ``(topic, src, dst, w)``.  Teleport is uniform within the topic.  Runs until the
+    summed change of a round is at most ``tolerance`` in every topic; raises if it never is."""
     n = nodes.groupBy(topic).agg(F.count(F.lit(1)).cast("double").alias("n"))
     out_w = edges.groupBy(topic, "src").agg(F.sum("w").alias("ow"))
     e = edges.join(out_w, [topic, "src"]).select(topic, "src", "dst", (F.col("w") / F.col("ow")).alias("p")).checkpoint()
     base = nodes.join(n, topic).select(topic, "word", (F.lit(1.0) / F.col("n")).alias("pr"), "n").checkpoint()
     pr = base
-    for rnd in range(1, rounds + 1):
+    for rnd in range(1, max_rounds + 1):
+        last = pr
         flow = (e.join(pr.select(topic, F.col("word").alias("src"), "pr"), [topic, "src"])
                 .groupBy(topic, F.col("dst").alias("word")).agg(F.sum(F.col("p") * F.col("pr")).alias("inflow")))
         pr = (base.select(topic, "word", "n").join(flow, [topic, "word"], "left")
               .select(topic, "word", ((1 - damping) / F.col("n") + damping * F.coalesce(F.col("inflow"), F.lit(0.0))).alias("pr"), "n"))
         if rnd % checkpoint_every == 0:
-            pr = pr.checkpoint()
-    return pr.select(topic, "word", "pr")
+            both = pr.join(last.select(topic, "word", F.col("pr").alias("was")), [topic, "word"]).checkpoint()
+            pr = both.select(topic, "word", "pr", "n")
+            moved = both.groupBy(topic).agg(F.sum(F.abs(F.col("pr") - F.col("was"))).alias("d")).agg(F.max("d")).first()[0]
+            if moved is None or moved <= tolerance:
+                return pr.select(topic, "word", "pr")
+    raise RuntimeError(f"PageRank did not settle within {max_rounds} rounds")
 
 
-def topic_keywords(tokens: DataFrame, topic: str = "topic_label", rounds: int = 20,
-                   share: float = 0.01, cap: int = 20) -> DataFrame:
+def topic_keywords(tokens: DataFrame, topic: str = "topic_label", tolerance: float = 1e-6,
+                   share: float = 0.01) -> DataFrame:
     """``(topic, rank, word, score)`` -- best share of words per topic."""
     edges = word_graph(tokens, topic)
     nodes = tokens.select(topic, F.explode("t").alias("word")).distinct()
-    pr = pagerank(nodes, edges, topic, rounds)
+    pr = pagerank(nodes, edges, topic, tolerance)
     sizes = nodes.groupBy(topic).agg(F.count(F.lit(1)).alias("nw"))
-    keep = F.least(F.greatest(F.floor(F.col("nw") * share), F.lit(1)), F.lit(cap))
     w = Window.partitionBy(topic).orderBy(F.col("pr").desc(), F.col("word"))
-    ranked = pr.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
-    return (ranked.join(sizes, topic).filter(F.col("rank") <= keep)
+    ranked = pr.withColumn("rank", F.row_number().over(w))
+    return (ranked.join(sizes, topic).filter(F.col("rank") <= F.floor(F.col("nw") * share))
             .select(topic, F.col("rank").cast("int").alias("rank"), "word", F.round("pr", 6).alias("score")))
 
 
 def topic_abstract(sent: DataFrame, topic: str = "topic_label", key: str = "sid", vec: str = "vec",
-                   text: str = "sentence", order: str = "pos", dim: int = 64) -> DataFrame:
+                   text: str = "sentence", order: Sequence[str] = ("pos",), dim: int = 64) -> DataFrame:
     """``(topic, sentence, score)``, the most central sentence per topic.
 
     ``sent`` has one row per sentence with a unit vector ``vec`` of length
-    ``dim``; ties go to the smaller ``order`` then key.  The similarity
+    ``dim``; ties go to the smaller ``order`` columns, then key.  The similarity
     w(i,j) = (1 + x_i.x_j)/2 is symmetric, so the stationary distribution of
     the row-normalised walk (the limit of LexRank's power iteration) is
     proportional to the row sums by detailed balance:
     score(i) = rowsum(i) / sum_j rowsum(j), rowsum(i) = (n + x_i.S)/2 with S the
     topic's vector sum.  One pass of per-topic sums; no pairs, no rounds."""
-    x = sent.select(topic, key, text, order, F.col(vec).cast("array<double>").alias("x"))
+    x = sent.select(topic, key, text, *order, F.col(vec).cast("array<double>").alias("x"))
     x = x.filter(F.size("x") == dim)
     tot = x.groupBy(topic).agg(F.count(F.lit(1)).cast("double").alias("n"),
                                *[F.sum(F.col("x")[k]).alias(f"s{k}") for k in range(dim)])
     tot = tot.select(topic, "n", F.array(*[F.col(f"s{k}") for k in range(dim)]).alias("S"))
-    rs = x.join(tot, topic).select(topic, key, text, order,
+    rs = x.join(tot, topic).select(topic, key, text, *order,
                                    ((F.col("n") + VF.dot(F.col("x"), F.col("S"))) / 2).alias("rs"))
     z = rs.groupBy(topic).agg(F.sum("rs").alias("z"))
     scored = rs.join(z, topic).withColumn("v", F.col("rs") / F.col("z"))
-    w = Window.partitionBy(topic).orderBy(F.col("v").desc(), F.col(order), F.col(key))
+    w = Window.partitionBy(topic).orderBy(F.col("v").desc(), *order, key)
     best = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1)
     return best.select(topic, F.col(text).alias("sentence"), F.round("v", 6).alias("score"))

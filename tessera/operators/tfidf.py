@@ -11,7 +11,6 @@ topic ships at most n rows per map partition.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +39,8 @@ def ctfidf(counts: DataFrame, n_docs, topic: str = "topic_label", term: str = "t
     one-row one-column DataFrame (evaluated as a scalar subquery).
     Returns ``topic, term, n, s, score``.
     """
-    # counts feed three consumers (term totals, row norms, scores): keep the
-    # aggregate once instead of re-running the entity pipeline for each
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    # counts feed three consumers (term totals, row norms, scores); its exchange
+    # is the same subplan each time and is reused within the query
     totals = counts.groupBy(term).agg(F.sum("n").alias("term_total"))
     scored = (counts.join(totals, term)
               .withColumn("s", F.col("n") * F.ln(_n_docs(n_docs).cast("double") / F.col("term_total"))))
@@ -56,7 +54,6 @@ def ctfidf(counts: DataFrame, n_docs, topic: str = "topic_label", term: str = "t
 
 def ctfidf_legacy(counts: DataFrame, n_docs, topic: str = "topic_label", term: str = "term") -> DataFrame:
     """D2 (legacy form): tf = n / row total; idf = ln(m / sum_c n(t,c)); score = tf*idf."""
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     totals = counts.groupBy(term).agg(F.sum("n").alias("term_total"))
     rows = counts.groupBy(topic).agg(F.sum("n").alias("row_total"))
     return (counts.join(totals, term).join(rows, topic)

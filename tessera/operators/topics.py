@@ -18,7 +18,7 @@ from tessera.operators import tfidf
 
 def topic_sizes(labels: DataFrame, topic: str = "topic_label", key: str = "article_uid",
                 size_col: str = "topic_size") -> DataFrame:
-    """A1: number of (non-null) keys per topic."""
+    """A1: number of rows per topic whose ``key`` column (id, title or text) is not null."""
     return labels.groupBy(topic).agg(F.count(key).cast("bigint").alias(size_col))
 
 
@@ -68,18 +68,6 @@ def cluster_summary(labels: DataFrame, topic: str = "topic_label") -> DataFrame:
         F.count_distinct(F.when(~is_out, F.col(topic))).cast("bigint").alias("n_clusters"))
 
 
-def docs_per_topic(docs: DataFrame, topic: str = "topic_label", key: str = "article_uid",
-                   text: str = "text", sep: str = " ") -> DataFrame:
-    """A2: per topic the texts joined by ``sep`` in key order, and their count.
-
-    Builds one string per topic, so it is for reports on bounded topics;
-    the TF-IDF operators never call it (they work on exploded rows)."""
-    agg = docs.groupBy(topic).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t")))).alias("l"),
-        F.count(text).cast("bigint").alias("n_docs"))
-    return agg.select(topic, F.array_join(F.transform("l", lambda x: x["t"]), sep).alias("doc"), "n_docs")
-
-
 def link_topics(labels: DataFrame, articles: DataFrame, key: str = "article_uid",
                 points: DataFrame | None = None, swap_titles: bool = False) -> DataFrame:
     """Align labels (and optional coordinates) with article columns by key

@@ -22,7 +22,6 @@ from tessera.sources.tables import read_table
 from tessera.streaming import ingest as ST
 
 REDUCED_DIM = 32
-TRAIN_N = 50_000
 SPLIT_SEED = 1
 TEST_PERCENT = 20
 
@@ -43,11 +42,11 @@ def _vectors(spark, base):
 
 @register("reduce")
 def q_reduce(spark, base):
-    """V6 + V7: PCA to 32 components fitted on the latest vectors, applied to all."""
+    """V6 + V7: PCA to 32 components fitted on all vectors (a distributed Gram sum), applied to all."""
     av = FX.article_vectors(spark, base).select(F.col("article_uid").alias("id"),
                                                F.col("embedding").cast("array<double>").alias("vec"),
                                                "article_created_at")
-    model = EM.fit_reducer(av, REDUCED_DIM, ts="article_created_at", n_train=TRAIN_N)
+    model = EM.fit_reducer(av, REDUCED_DIM)
     r = EM.reduce(av, model, out="r")
     return r.select("id", F.size("r").alias("dim"))
 
@@ -96,7 +95,7 @@ def q_ingest_new(spark, base):
     ev = read_table(spark, base, "events", ["event_id", "ts", "value"])
 
     def transform(batch):
-        art = batch.join(ev, batch.doc_id == ev.event_id).select(
+        art = batch.join(ev, batch.doc_id == ev.event_id, "left").select(
             F.col("doc_id").alias("article_uid"), "text", "source")
         seo = F.concat(FX.first_line(F.col("text")), F.lit(" - "), F.col("source"), F.lit(FX.SEO_SUFFIX))
         comp = art.select("article_uid", TX.compose_text(seo, F.col("text")).alias("composed"))
@@ -111,13 +110,13 @@ def q_ingest_new(spark, base):
 
 @register("apply_and_cluster")
 def q_apply_and_cluster(spark, base):
-    """C4 (with V6 persistence): a reducer fitted on the latest vectors is
+    """C4 (with V6 persistence): a reducer fitted on all vectors is
     saved with the ML writer under the shared checkpoint folder, loaded back,
     applied to all vectors, and the reduced vectors are density-clustered."""
     av = FX.article_vectors(spark, base).select(F.col("article_uid").alias("id"),
                                                F.col("embedding").cast("array<double>").alias("vec"),
                                                "article_created_at")
-    model = EM.fit_reducer(av, REDUCED_DIM, ts="article_created_at", n_train=TRAIN_N)
+    model = EM.fit_reducer(av, REDUCED_DIM)
     path = ST.scratch(spark, "reducer")
     model.write().overwrite().save(path)
     return EM.apply_and_cluster(av.select("id", "vec"), path, 0.9, 1, 3).withColumnRenamed("id", "article_uid")

@@ -23,7 +23,7 @@ VIEWS: dict[str, tuple[Sequence[str], str]] = {
                split_part(d.text, chr(10), 1) || ' - ' || d.source || '{FX.SEO_SUFFIX}' AS seo_title,
                d.text AS text, d.source AS department, e.ts AS created_at,
                e.value > 50 AS is_premium, md5(d.text) AS content_key
-        FROM documents d JOIN events e ON e.event_id = d.doc_id"""),
+        FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id"""),
     "article_labels": ((), f"""
         SELECT vec_id AS article_uid,
                CAST(CASE WHEN label = {FX.OUTLIER_TOPIC} THEN -1 ELSE label END AS INTEGER) AS topic_label
@@ -34,7 +34,7 @@ VIEWS: dict[str, tuple[Sequence[str], str]] = {
     "entity_tokens": (("articles",), f"""
         SELECT article_uid, field, unnest(toks) AS text, generate_subscripts(toks, 1) AS pos FROM (
           SELECT article_uid, field,
-                 (regexp_extract_all(val, '{FX.ENTITY_TOKEN_PATTERN}'))[1:{FX.ENTITY_TOKENS_PER_FIELD}] AS toks
+                 regexp_extract_all(val, '{FX.ENTITY_TOKEN_PATTERN}') AS toks
           FROM (SELECT article_uid, 'text' AS field, text AS val FROM articles
                 UNION ALL SELECT article_uid, 'seo_title', seo_title FROM articles
                 UNION ALL SELECT article_uid, 'kicker_headline', headline FROM articles))"""),

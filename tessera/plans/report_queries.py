@@ -11,7 +11,7 @@ from tessera.plans import sqltext as SQ
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
 from tessera.sources import fixtures as FX
-from tessera.sources.tables import by_ids, latest, parse_day_first, read_table, spread
+from tessera.sources.tables import by_ids, latest, parse_day_first, read_table, deal
 
 # Parameters of the registered report queries.
 LATEST_N = 100
@@ -138,7 +138,7 @@ def _stats_sql():
 @register("text_stats", _stats_sql())
 def q_text_stats(spark, base):
     """describe() of tokens, sentences and words per document."""
-    return R.text_stats(spread(read_table(spark, base, "documents", ["doc_id", "text"]), "doc_id"))
+    return R.text_stats(deal(read_table(spark, base, "documents", ["doc_id", "text"]), "doc_id"))
 
 
 _TPV = ["topic_page_views"]

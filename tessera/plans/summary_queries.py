@@ -36,7 +36,7 @@ def q_topic_abstract(spark, base):
     sent = la.select("topic_label", "article_uid", F.posexplode(TX.sentences("text")).alias("pos", "sentence"))
     sent = sent.filter(F.col("sentence") != "").withColumn("sid", F.concat_ws(":", "article_uid", "pos"))
     vec = EM.embed(sent.select("sid", F.col("sentence").alias("text")), key="sid")
-    s = sent.join(vec, "sid").withColumn("order", F.col("article_uid") * 100000 + F.col("pos"))
-    best = SM.topic_abstract(s, key="sid", order="order")
+    s = sent.join(vec, "sid")
+    best = SM.topic_abstract(s, key="sid", order=("article_uid", "pos"))
     none = spark.createDataFrame([(-1, SM.NONE_TOPIC_TEXT, None)], "topic_label int, sentence string, score double")
     return best.unionByName(none)

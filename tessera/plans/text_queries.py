@@ -9,11 +9,11 @@ from tessera.plans import sqltext as SQ
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
 from tessera.sources import fixtures as FX
-from tessera.sources.tables import read_table, spread
+from tessera.sources.tables import read_table, deal
 
 
 def _docs(spark, base):
-    return spread(read_table(spark, base, "documents", ["doc_id", "text"]), "doc_id")
+    return deal(read_table(spark, base, "documents", ["doc_id", "text"]), "doc_id")
 
 
 @register("clean_article", f"SELECT doc_id, {SQ.clean_article('text')} AS cleaned FROM documents")

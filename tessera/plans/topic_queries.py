@@ -93,13 +93,13 @@ def _legacy_sql():
     ]
 
 
-register("ctfidf_legacy", with_views(["article_labels", "articles"], _legacy_sql(), """
+register("ctfidf_legacy", lambda: with_views(["article_labels", "articles"], _legacy_sql(), """
     SELECT topic_label, term, n, round(score, 6) AS score FROM lscored"""))(
     lambda spark, base: _legacy_scored(spark, base).select(
         "topic_label", "term", "n", F.round("score", 6).alias("score")))
 
 
-@register("top_terms", with_views(["article_labels", "articles"], _legacy_sql(), """
+@register("top_terms", lambda: with_views(["article_labels", "articles"], _legacy_sql(), """
     SELECT topic_label, CAST(rk AS INTEGER) AS rank, term, round(score, 6) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY topic_label ORDER BY score DESC, term) AS rk FROM lscored)
     WHERE rk <= 20"""))
@@ -135,10 +135,13 @@ def q_top_entities(spark, base):
     return tfidf.join_ranked(top, sep=" | ").withColumnRenamed("words", "top_words")
 
 
-@register("topic_sizes", with_views(["article_labels"], select="""
-    SELECT topic_label, count(article_uid) AS topic_size FROM article_labels GROUP BY topic_label"""))
+@register("topic_sizes", with_views(["article_labels", "articles"], select="""
+    SELECT l.topic_label, count(a.seo_title) AS topic_size
+    FROM article_labels l LEFT JOIN articles a ON a.article_uid = l.article_uid GROUP BY l.topic_label"""))
 def q_topic_sizes(spark, base):
-    return topics.topic_sizes(FX.article_labels(spark, base))
+    """A1: articles with a (non-null) title per topic."""
+    titles = FX.articles(spark, base).select("article_uid", "seo_title")
+    return topics.topic_sizes(FX.article_labels(spark, base).join(titles, "article_uid", "left"), key="seo_title")
 
 
 @register("cluster_summary", with_views(["article_labels"], select="""
@@ -151,33 +154,34 @@ def q_cluster_summary(spark, base):
     return topics.cluster_summary(FX.article_labels(spark, base))
 
 
-# Entity texts weighted text 1, kicker 2, title 3; vectoriser tokens with
-# 1-2-grams inside each entity text; legacy c-TF-IDF; 10 best with topic sizes.
+# Entities by their simple form (name; brand word dropped, no type rule),
+# weighted text 1, kicker 2, title 3; vectoriser tokens without stopwords, 1-2-grams
+# inside each entity text; legacy c-TF-IDF; 10 best joined by " | ", with topic sizes.
 def _d5_spark(spark, base):
     from tessera.functions import text as TX
 
     labels = FX.article_labels(spark, base)
-    ents = E.filter_entities(E.parse_entities(FX.entities(spark, base)))
-    ents = E.weight_entities(ents, E.PRESENTATION_WEIGHTS)
-    toks = ents.select("article_uid", "weight", TX.vectorizer_tokens("text").alias("t"))
+    ents = E.weight_entities(E.parse_entities(FX.entities(spark, base), form="name"), E.PRESENTATION_WEIGHTS)
+    toks = ents.select("article_uid", "weight", TX.remove_stopwords(TX.vectorizer_tokens("text")).alias("t"))
     grams = toks.select("article_uid", "weight", F.explode(TX.ngrams_upto(F.col("t"), 2)).alias("term"))
     counts = tfidf.term_counts(labels.join(grams, "article_uid"))
     top = tfidf.top_terms(tfidf.ctfidf_legacy(counts, labels.agg(F.count(F.lit(1)))), 10)
-    words = tfidf.join_ranked(top)
+    words = tfidf.join_ranked(top, sep=" | ")
     return (topics.topic_sizes(labels).join(words, "topic_label", "left")
             .select("topic_label", F.coalesce("words", F.lit("")).alias("topic_desc"), "topic_size"))
 
 
 def _d5_sql():
     from tessera.functions import text as TX
+    from tessera.plans import sqltext as SQ
 
     w = "CASE e.field " + " ".join(f"WHEN '{f}' THEN {v}" for f, v in E.PRESENTATION_WEIGHTS.items()) + " END"
     return with_views(["article_labels", "entities_long"], [
         ("dtoks", f"""
-            SELECT e.article_uid, {w} AS weight, regexp_extract_all(lower(e.text), '{TX.WORD}{{2,}}') AS t
-            FROM entities_long e
-            WHERE e.type IS NOT NULL AND NOT contains(lower(e.text), 'bild')
-              AND NOT contains(e.type, 'UNKNOWN') AND NOT contains(e.type, 'NUMBER')"""),
+            SELECT e.article_uid, {w} AS weight,
+                   list_filter(regexp_extract_all(lower(e.text), '{TX.WORD}{{2,}}'),
+                               lambda x: NOT list_contains({SQ.str_list(TX.stopwords())}, x)) AS t
+            FROM entities_long e WHERE NOT contains(lower(e.text), 'bild')"""),
         ("dgrams", """
             SELECT article_uid, weight, unnest(list_concat(t, list_transform(range(1, len(t)),
                      lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM dtoks"""),
@@ -193,7 +197,7 @@ def _d5_sql():
             JOIN (SELECT topic_label, sum(n) AS row_total FROM dcounts GROUP BY topic_label) r
               ON r.topic_label = c.topic_label"""),
         ("dwords", """
-            SELECT topic_label, string_agg(term, ', ' ORDER BY rk) AS words FROM (
+            SELECT topic_label, string_agg(term, ' | ' ORDER BY rk) AS words FROM (
               SELECT *, row_number() OVER (PARTITION BY topic_label ORDER BY score DESC, term) AS rk FROM dscored)
             WHERE rk <= 10 GROUP BY topic_label"""),
     ], """SELECT s.topic_label, coalesce(w.words, '') AS topic_desc, s.topic_size FROM
@@ -201,4 +205,4 @@ def _d5_sql():
           LEFT JOIN dwords w USING (topic_label)""")
 
 
-register("summarize_entities", _d5_sql())(_d5_spark)
+register("summarize_entities", _d5_sql)(_d5_spark)

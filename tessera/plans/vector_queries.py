@@ -296,9 +296,14 @@ def q_silhouette_euclidean(spark, base):
 
 @register("silhouette_cosine", _silhouette_sql("1.0 - list_cosine_similarity(a.v, b.v)"))
 def q_silhouette_cosine(spark, base):
-    """M4: exact cosine silhouette of the given labels."""
-    e = _emb(spark, base).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    return metrics.silhouette(e, "id", "vec", "label", "cosine")
+    """M4: exact cosine silhouette of the given labels, from per-cluster sums."""
+    return metrics.silhouette_linear(_emb(spark, base), "vec_id", "embedding", "label", "cosine")
+
+
+@register("silhouette_squared", _silhouette_sql("pow(list_distance(a.v, b.v), 2)"))
+def q_silhouette_squared(spark, base):
+    """Silhouette by squared Euclidean distances, the form of M3 that scales: linear in per-cluster sums."""
+    return metrics.silhouette_linear(_emb(spark, base), "vec_id", "embedding", "label", "squared")
 
 
 register("label_stream", with_views([], [("pts", _pts_sql())] + _c1_ctes("c", "pts", EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE),

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -99,3 +100,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def hold(df, name: str = "held"):
+    """Write ``df`` once as Parquet into the shared checkpoint folder and read it back: cuts the
+    lineage, survives lost executors, and (unlike a cache or ``checkpoint()``) can be deleted
+    with ``drop`` as soon as nothing reads it."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._held_path = path
+    return out
+
+
+def drop(*held) -> None:
+    """Delete tables written by ``hold``."""
+    for df in held:
+        path = getattr(df, "_held_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

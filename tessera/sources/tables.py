@@ -58,18 +58,39 @@ def read_table(spark: SparkSession, base: str, name: str,
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan whose file layout gives fewer partitions than the
-    session's shuffle parallelism (e.g. one large row group), so per-row CPU
-    work (regex chains, JSON, tokenising) runs on every core.
+def deal(df: DataFrame, key: str) -> DataFrame:
+    """Re-deal a scan over ``spark.tessera.scanTasks`` tasks if the session sets that key.
 
-    A no-op when the scan is already split finely enough -- the normal case
-    on a cluster reading many files.  Hashing on the join key lets a following
-    join on that key reuse the partitioning instead of shuffling again."""
-    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key)
+    Unset (the default, and the right choice on a cluster) it is the scan itself, split by
+    ``spark.sql.files.maxPartitionBytes``.  The bench sets it because each of its input files is
+    one row group, which no reader can split."""
+    tasks = df.sparkSession.conf.get("spark.tessera.scanTasks", None)
+    return df.repartition(int(tasks), key) if tasks else df
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, in whatever store its scheme names."""
+    p, fs = _hadoop_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop_path(spark, path)
+    return bool(fs.exists(p) and fs.getFileStatus(p).isFile())
+
+
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder holds any data file yet (files of a running or failed write begin
+    with ``_`` or ``.`` and do not count)."""
+    p, fs = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return False
+    return any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
 
 
 def parse_day_first(c: Column | str, formats: Iterable[str] = DAY_FIRST_FORMATS) -> Column:
@@ -86,17 +107,13 @@ def read_articles(spark: SparkSession, path: str, sep: str = ",",
     ``drop_malformed`` is the ``error_bad_lines=False`` variant (S2).  A missing
     path yields ``None`` as in the reference loader.
     """
-    from pyspark.errors import AnalysisException
-
     reader = (spark.read.schema(schema).option("header", True)
               .option("multiLine", True).option("escape", '"').option("sep", sep))
     if drop_malformed:
         reader = reader.option("mode", "DROPMALFORMED")
-    try:
-        df = reader.csv(path)
-    except AnalysisException:
+    if not path_exists(spark, path):
         return None
-    return df.withColumn("created_at", parse_day_first("created_at"))
+    return reader.csv(path).withColumn("created_at", parse_day_first("created_at"))
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
@@ -151,14 +168,12 @@ def ensure_table(spark: SparkSession, name: str, schema: T.StructType,
 def append(df: DataFrame, path: str, key: str = "article_uid") -> None:
     """Keyed append.  Rows whose key is already stored are skipped and keys
     are de-duplicated inside the batch, so re-running a batch adds nothing
-    (the UNIQUE key of the reference's DDL)."""
+    (the UNIQUE key of the reference's DDL).  Any failure to read the stored
+    keys raises: nothing is appended unchecked."""
     spark = df.sparkSession
     batch = df.dropDuplicates([key])
-    try:
-        stored = spark.read.parquet(path).select(key)
-        batch = batch.join(stored, key, "left_anti")
-    except Exception:  # first write: nothing stored yet
-        pass
+    if has_data(spark, path):
+        batch = batch.join(spark.read.parquet(path).select(key), key, "left_anti")
     batch.write.mode("append").parquet(path)
 
 

@@ -18,7 +18,6 @@ keyed so that replaying a micro-batch adds nothing.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.session import checkpoint_dir
+from tessera.sources.tables import has_data, is_file
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -40,7 +40,7 @@ EVENTS_SCHEMA = T.StructType([
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's (shared) checkpoint folder."""
     root = checkpoint_dir(spark)
-    return os.path.join(root.replace("file:", ""), f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _file_stream(spark: SparkSession, source: str, schema: T.StructType, max_files: int | None) -> DataFrame:
@@ -49,16 +49,16 @@ def _file_stream(spark: SparkSession, source: str, schema: T.StructType, max_fil
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if os.path.isfile(source):
-        return reader.option("pathGlobFilter", os.path.basename(source)).parquet(os.path.dirname(source))
+    if is_file(spark, source):
+        folder, _, name = source.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(source)
 
 
 def _stored_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
+    if has_data(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # nothing written yet
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)  # nothing written yet; a failing read raises
 
 
 def daily_volume_stream(spark: SparkSession, source: str, out: str | None = None, ts: str = "ts",
@@ -79,13 +79,13 @@ def daily_volume_stream(spark: SparkSession, source: str, out: str | None = None
     def upsert(batch: DataFrame, batch_id: int) -> None:
         (batch.select(F.to_date(F.col("w.start")).alias("date"), F.col("n").cast("bigint").alias("n"),
                       F.lit(batch_id).cast("bigint").alias("batch_id"))
-         .write.mode("append").parquet(os.path.join(out, "data")))
+         .write.mode("append").parquet(f"{out}/data"))
 
     q = (counts.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", os.path.join(out, "_checkpoint")))
+         .option("checkpointLocation", f"{out}/_checkpoint"))
     q = q.trigger(availableNow=True) if trigger_once else q
     q.start().awaitTermination()
-    rows = _stored_or_empty(spark, os.path.join(out, "data"),
+    rows = _stored_or_empty(spark, f"{out}/data",
                             T.StructType([T.StructField("date", T.DateType()), T.StructField("n", T.LongType()),
                                           T.StructField("batch_id", T.LongType())]))
     return rows.groupBy("date").agg(F.max_by("n", "batch_id").alias("n"))
@@ -103,7 +103,7 @@ def ingest_new(spark: SparkSession, source: str, schema: T.StructType, store: st
     table."""
     from tessera.sources.tables import append
 
-    checkpoint = checkpoint or os.path.join(store + "_checkpoint")
+    checkpoint = checkpoint or f"{store}_checkpoint"
     src = _file_stream(spark, source, schema, max_files_per_trigger)
     if ts is not None:
         src = src.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
