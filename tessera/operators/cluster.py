@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as VF
 from tessera.operators import graph, pairs
+from tessera.session import hold
 
 
 def label_components(points: DataFrame, edges: DataFrame, core: DataFrame, key: str,
@@ -43,9 +44,9 @@ def density_cluster(df: DataFrame, eps: float, min_samples: int = 2, min_cluster
                     block_rows: int = pairs.BLOCK_ROWS) -> DataFrame:
     """``(key, cluster)``, -1 = noise."""
     # the eps pairs feed core detection and the edge list: store them once
-    # (reliable checkpoint: survives executor loss, cuts the lineage)
-    p = pairs.range_pairs(df.select(key, vec), eps * alpha, key=key, vec=vec, block_rows=block_rows,
-                          metric=metric).checkpoint()
+    # (written to shared storage: survives executor loss, cuts the lineage)
+    p = hold(pairs.range_pairs(df.select(key, vec), eps * alpha, key=key, vec=vec, block_rows=block_rows,
+                               metric=metric), "pairs")
     core, edges = core_graph(p, min_samples)
     return label_components(df, edges, core, key, min_cluster_size)
 
@@ -80,7 +81,7 @@ def sweep(df: DataFrame, grid: Sequence[Setting], key: str = "id", vec: str = "v
     settings whose eps it satisfies (a bounded literal grid, not a join); the
     vertices of the component job are (config, point)."""
     max_eps = max(s.eps for s in grid)
-    p = pairs.range_pairs(df.select(key, vec), max_eps, key=key, vec=vec).checkpoint()
+    p = hold(pairs.range_pairs(df.select(key, vec), max_eps, key=key, vec=vec), "pairs")
     g = F.array(*[F.struct(F.lit(i).alias("cfg"), F.lit(float(s.eps)).alias("eps"),
                            F.lit(int(s.min_samples)).alias("ms"), F.lit(int(s.min_cluster_size)).alias("mcs"))
                   for i, s in enumerate(grid)])
@@ -115,8 +116,9 @@ def assign_topics(new: DataFrame, labelled: DataFrame, eps: float, min_samples:
     numbered after the current largest label.  Existing labels never move."""
     lab = labelled.select(key, vec, F.col(label).alias("lab"))
     known = lab.filter(F.col("lab") != -1)
-    both = new.select(key, vec).unionByName(known.select(key, vec))
-    p = pairs.range_pairs(both, eps, key=key, vec=vec).checkpoint()
+    both = (new.select(key, vec, F.lit(True).alias("is_new"))
+            .unionByName(known.select(key, vec, F.lit(False).alias("is_new"))))
+    p = hold(pairs.range_pairs(both, eps, key=key, vec=vec, probe=F.col("is_new")), "pairs")
     new_ids = new.select(F.col(key).alias("src"))
     to_known = (p.join(new_ids, "src", "left_semi")
                 .join(known.select(F.col(key).alias("dst"), "lab"), "dst"))

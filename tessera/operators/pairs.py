@@ -1,24 +1,19 @@
-"""Exact pairwise vector work without cross joins: eps-range pairs and kNN.
-
-Layout.  Every vector gets a *ring* = floor(d(x, pivot) / w) around one pivot
-vector (the vector with the least key) and, inside its ring, a *sub-block*
-``pmod(xxhash64(key), S_ring)`` where ``S_ring = ceil(n_ring / block_rows)``:
-a ring holding a third of all rows is split into many bounded blocks (salting
-by size), so no task ever holds more than ``2 * block_rows`` vectors.
-
-Pruning.  By the triangle inequality |d(x,p) - d(y,p)| <= d(x,y), so two
-vectors whose rings differ by ``g`` are at least ``(g - 1) * w`` apart.  Only
-block pairs (*tiles*) that can hold an answer are formed -- by an equi-join of
-the (small) block table on ring offsets, never a cross product -- and each
-vector is shipped to the tiles of its block.
-
-Kernel.  One ``applyInPandas`` per tile computes the tile's distance matrix
-in numpy (float64, Gram form) and returns only the answers: pairs within eps,
-or each row's k best.  The pairs of a tile are never materialised as rows.
-
-The result is exact.  The work is proportional to the candidate pairs the
-pruning leaves; on data without ring structure (all vectors equidistant from
-the pivot) that is all pairs, spread evenly over bounded tasks.
+"""Exact pairwise vector work without cross joins: eps-range pairs, kNN, top-k search.
+
+Range pairs.  Projections on orthonormal directions never lengthen distances, so
+vectors within eps lie in neighbouring eps-wide cells along the leading principal
+directions, and two blocks whose bounding boxes (over more directions) are farther
+apart than eps hold no pair.  Block pairs (*tiles*) come from an equi-join of the
+small block table on neighbouring cells; cells holding many vectors are split by a
+key hash; each vector travels only to its block's surviving tiles.
+
+kNN.  Rings around one pivot vector, |d(x,p) - d(y,p)| <= d(x,y): a first pass over
+each block alone bounds every block's search radius, a second scores the tiles within
+reach.  On data without ring structure that is all pairs, spread over bounded tasks.
+
+Kernel.  One ``applyInPandas`` per tile computes the tile's distance matrix in numpy
+(float64, Gram form) and returns only the answers: pairs within eps, or each row's k
+best.  The pairs of a tile are never materialised as rows.  Results are exact.
 """
 
 from __future__ import annotations
@@ -31,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as VF
+from tessera.session import hold
 
 BLOCK_ROWS = 1024
 
@@ -53,19 +49,6 @@ def _blocks(blocked: DataFrame) -> DataFrame:
     return blocked.groupBy("ring", "sub").agg(F.count(F.lit(1)).alias("bn"))
 
 
-def _tiles(blocks: DataFrame, reach: Column | None, max_gap: int | None) -> DataFrame:
-    """Block pairs (r1, s1) <= (r2, s2) whose ring gap is within reach.
-
-    ``max_gap`` fixes the reach for all blocks (range joins); otherwise the
-    per-block ``reach`` column (rings) is used (kNN)."""
-    left = blocks.select(F.col("ring").alias("r1"), F.col("sub").alias("s1"),
-                         (F.lit(max_gap) if max_gap is not None else reach).alias("g"))
-    left = left.withColumn("r2", F.explode(F.sequence(F.col("r1"), F.col("r1") + F.col("g"))))
-    right = blocks.select(F.col("ring").alias("r2"), F.col("sub").alias("s2"))
-    tiles = left.join(right, "r2").filter((F.col("r1") < F.col("r2")) | (F.col("s1") <= F.col("s2")))
-    return tiles.select("r1", "s1", "r2", "s2")
-
-
 def _tiles_within(reach_tbl: DataFrame) -> DataFrame:
     """Unordered block pairs whose ring gap is within the reach ``g`` of
     either block (equi-join on ring offsets, then de-duplicated)."""
@@ -106,43 +89,113 @@ def _split(pdf: pd.DataFrame, key: str):
     return left[key].to_numpy(), la, right[key].to_numpy(), ra, diag
 
 
+def principal_directions(df: DataFrame, vec: str, k: int) -> np.ndarray:
+    """``k`` leading orthonormal principal directions (k x d) of a vector column: a
+    distributed Gram sum, d x d numbers on the driver.  No rows: shape (0, 0)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    d = df.select(F.size(vec)).first()
+    if d is None or d[0] <= 0:
+        return np.zeros((0, 0))
+    feats = df.select(array_to_vector(F.col(vec)).alias("f"))
+    return PCA(k=min(k, d[0]), inputCol="f", outputCol="r").fit(feats).pc.toArray().T
+
+
+def _cells(df: DataFrame, key: str, width: float, block_rows: int, cell_dims: int, box_dims: int) -> DataFrame:
+    """Adds ``p`` (projections on the principal directions) and ``block`` = (cell, sub).
+
+    An orthonormal projection never lengthens a distance, so vectors within ``width`` lie in
+    neighbouring cells of that width; a cell with more than ``block_rows`` vectors is split by a
+    key hash."""
+    axes = principal_directions(df, "v", box_dims)
+    if not len(axes):
+        axes = np.zeros((1, 1))
+    p = F.array(*[VF.dot(F.col("v"), F.array(*[F.lit(float(x)) for x in axis])) for axis in axes])
+    t = df.withColumn("p", p)
+    # a direction along which all vectors span two widths or less cannot separate anything
+    spans = t.agg(*[F.max(F.col("p")[j]) - F.min(F.col("p")[j]) for j in range(min(cell_dims, len(axes)))]).first()
+    used = [j for j, span in enumerate(spans) if span is not None and span > 2 * width]
+    cell = [F.floor(F.col("p")[j] / F.lit(width)) for j in used]
+    t = t.withColumn("cell", F.array(*cell).cast("array<bigint>"))
+    sizes = t.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_n"))
+    split = F.ceil(F.col("cell_n") / F.lit(block_rows)).cast("long")
+    return (t.join(sizes, "cell")
+            .withColumn("block", F.struct("cell", F.pmod(F.xxhash64(F.col(key)), split).alias("sub"))).drop("cell_n"))
+
+
+def near_tiles(blocked: DataFrame, radius: float) -> DataFrame:
+    """Block pairs ``(a, b)``, a <= b, that may hold a pair within ``radius``: an equi-join of the
+    block table on neighbouring cells, less the pairs whose bounding boxes (over all projections)
+    are farther apart and those without a probe vector.  Never a product of all blocks."""
+    j = F.posexplode("p").alias("axis", "value")
+    box = blocked.select("block", j).groupBy("block", "axis").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    box = box.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("axis", "lo", "hi"))).alias("box"))
+    blocks = blocked.groupBy("block").agg(F.max("probe").alias("probe")).join(box, "block")
+    n = F.size("block.cell")
+    around = F.transform(F.sequence(F.lit(0), F.pow(F.lit(3), n).cast("int") - 1), lambda k: F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("block.cell"), i) + F.floor(k / F.pow(F.lit(3), i)).cast("long") % 3 - 1))
+    steps = F.when(n > 0, around).otherwise(F.array("block.cell"))
+    left = blocks.select(F.col("block").alias("a"), F.col("box").alias("box_a"), F.col("probe").alias("probe_a"), F.explode(steps).alias("cell"))
+    right = blocks.select(F.col("block").alias("b"), F.col("box").alias("box_b"), F.col("probe").alias("probe_b"), F.col("block.cell").alias("cell"))
+    gap = F.aggregate(F.zip_with("box_a", "box_b", lambda x, y: F.greatest(x["lo"] - y["hi"], y["lo"] - x["hi"], F.lit(0.0))),
+                      F.lit(0.0), lambda t, g: t + g * g)
+    return (left.join(right, "cell").filter((F.col("a") <= F.col("b")) & (F.col("probe_a") | F.col("probe_b")))
+            .filter(gap <= F.lit(radius * radius * (1 + 1e-9) + 1e-18)).select("a", "b"))
+
+
 def range_pairs(df: DataFrame, eps: float, key: str = "id", vec: str = "vec",
-                block_rows: int = BLOCK_ROWS, metric: str = "euclidean") -> DataFrame:
+                block_rows: int = BLOCK_ROWS, metric: str = "euclidean", probe: Column | None = None,
+                cell_dims: int = 5, box_dims: int = 8) -> DataFrame:
     """All ordered pairs ``(src, dst, dist)`` with src != dst and dist <= eps.
 
-    metric="cosine" uses 1 - cos on L2-normalised vectors (computed from the
-    Euclidean distance of the unit vectors: 1 - cos = d^2 / 2)."""
-    if metric == "cosine":
-        df = df.withColumn(vec, VF.l2_normalize(F.col(vec)))  # zero vector -> null
-        radius = math.sqrt(2.0 * eps)
-    else:
-        radius = float(eps)
-    width = max(radius, 1e-9)
-    df = df.filter(F.col(vec).isNotNull())  # a missing vector has no neighbours
-    blocked = _with_blocks(df, key, vec, width, block_rows)
-    tiles = _tiles(_blocks(blocked), None, 1)
-    shipped = _ship(blocked, tiles, key, vec)
-    key_type = df.schema[key].dataType.simpleString()
-    schema = f"src {key_type}, dst {key_type}, dist double"
+    Vectors fall into cells along the leading principal directions; only neighbouring blocks
+    whose boxes come within eps meet (``near_tiles``), and only vectors of such blocks are
+    shipped.  ``probe`` (a boolean column): only pairs with at least one probe vector are
+    formed -- new against known and new against new, never known against known.
+    metric="cosine" uses 1 - cos on L2-normalised vectors (computed from the Euclidean
+    distance of the unit vectors: 1 - cos = d^2 / 2)."""
     cosine = metric == "cosine"
+    radius = math.sqrt(2.0 * eps) if cosine else float(eps)
+    v = F.col(vec).cast("array<double>")
+    t = df.select(key, (VF.l2_normalize(v) if cosine else v).alias("v"),  # zero vector -> null
+                  (F.lit(True) if probe is None else F.coalesce(probe, F.lit(False))).alias("probe"))
+    t = t.filter(F.col("v").isNotNull())  # a missing vector has no neighbours
+    blocked = hold(_cells(t, key, max(radius, 1e-9), block_rows, cell_dims, box_dims).select(key, "v", "probe", "p", "block"), "cells")
+    tiles = near_tiles(blocked, radius)
+    same = F.col("a") == F.col("b")
+    base = blocked.select(key, "v", "probe", "block")
+    first = tiles.select(F.col("a").alias("block"), F.struct("a", "b").alias("tile"), F.when(same, 2).otherwise(0).alias("side"))
+    second = tiles.filter(~same).select(F.col("b").alias("block"), F.struct("a", "b").alias("tile"), F.lit(1).alias("side"))
+    shipped = base.join(first.unionByName(second), "block").select("tile", "side", "probe", key, "v")
+    key_type = df.schema[key].dataType.simpleString()
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        lk, la, rk, ra, diag = _split(pdf, key)
-        if len(lk) == 0 or len(rk) == 0:
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        d2 = _sqdist(la, ra)
-        dist = d2 / 2.0 if cosine else np.sqrt(d2)
-        dist = np.round(dist, 12)
-        hit = dist <= eps
+        left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]
+        diag = bool((pdf.side == 2).any())
+        found = [pd.DataFrame({"src": [], "dst": [], "dist": []})]
+        # probes of either side against the whole other side, then the other side's probes
+        # against the rest: every wanted pair once, no other pair at all
         if diag:
-            hit &= lk[:, None] != rk[None, :]
-        i, j = np.nonzero(hit)
-        src, dst, dd = lk[i], rk[j], dist[i, j]
-        if not diag:
-            src, dst, dd = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([dd, dd])
-        return pd.DataFrame({"src": src, "dst": dst, "dist": dd})
-
-    return shipped.groupBy("tile").applyInPandas(kernel, schema)
+            meets = [(left[left.probe], left, True)]
+        else:
+            meets = [(left[left.probe], right, False), (right[right.probe], left[~left.probe], False)]
+        for x, y, within in meets:
+            if not len(x) or not len(y):
+                continue
+            d2 = _sqdist(np.stack(x.v.to_numpy()), np.stack(y.v.to_numpy()))
+            dist = np.round(d2 / 2.0 if cosine else np.sqrt(d2), 12)
+            kx, ky = x[key].to_numpy(), y[key].to_numpy()
+            hit = dist <= eps
+            if within:
+                hit &= kx[:, None] != ky[None, :]
+            i, j = np.nonzero(hit)
+            found.append(pd.DataFrame({"src": kx[i], "dst": ky[j], "dist": dist[i, j]}))
+            back = ~y.probe.to_numpy()[j] if within else np.ones(len(j), bool)
+            found.append(pd.DataFrame({"src": ky[j][back], "dst": kx[i][back], "dist": dist[i, j][back]}))
+        return pd.concat(found)
+
+    return shipped.groupBy("tile").applyInPandas(kernel, f"src {key_type}, dst {key_type}, dist double")
 
 
 def knn(df: DataFrame, k: int, key: str = "id", vec: str = "vec", block_rows: int = BLOCK_ROWS,
