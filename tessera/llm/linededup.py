@@ -10,8 +10,8 @@ without white space at its ends.  Equal lines are one.  A line's set is its dist
 2. Buckets with two different lines are found by a map-side-combined aggregate; a Bloom filter of
    their keys and then of their lines lets only candidates travel.
 3. Each member is verified against its bucket's least line by exact Jaccard; confirmed links are
-   merged by union-find; buckets that still hold several components have their cross-component
-   pairs verified, in blocks of ``block`` lines spread over tasks.
+   merged by union-find; buckets whose other members still lie in several components have those
+   cross-component pairs verified, in blocks of ``block`` lines spread over tasks.
 4. Of each component the occurrence with the least (doc_id, line number) stays; all other
    occurrences are dropped from their documents.  Blank lines and text within lines never change.
 
@@ -223,7 +223,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, block: int = 512, filter
     star = members.where("line <> low").select(F.col("low").alias("a"), F.col("line").alias("b")).distinct()
     links = materialise(confirm(star, texts, percent), "links")
     comp = components(links)
-    tagged = (members.join(comp.select(F.col("v").alias("line"), "root"), "line", "left")
+    # (all pairs with a bucket's least line are decided: only its other members can still differ)
+    tagged = (members.where("line <> low").join(comp.select(F.col("v").alias("line"), "root"), "line", "left")
               .select("key", "line", F.coalesce("root", "line").alias("comp")))
     still = (tagged.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size"))
              .where("c1 < c2").select("key", F.ceil(F.col("size") / block).cast("int").alias("n_blk")))
