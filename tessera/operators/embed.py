@@ -27,14 +27,23 @@ from tessera.functions import vectors as VF
 DIM = 64
 
 
-def tfidf_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, term, w)`` with w = tf * (ln((N+1)/(df+1)) + 1) (Spark's IDF form)."""
+def fit_encoder(docs: DataFrame, text: str = "text") -> DataFrame:
+    """V1, fit once: ``(term, idf)`` with idf = ln((N+1)/(df+1)) + 1 (Spark's IDF form), and one
+    row with a null term that holds the idf of a term never seen, ln(N+1) + 1."""
+    terms = docs.select(TX.vectorizer_tokens(text).alias("t")).select(F.explode(F.array_distinct("t")).alias("term"))
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    seen = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return seen.unionByName(docs.agg((F.ln(F.count(F.lit(1)) + 1.0) + 1).alias("idf"))
+                            .select(F.lit(None).cast("string").alias("term"), "idf"))
+
+
+def tfidf_terms(docs: DataFrame, encoder: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, term, w)`` with w = tf * idf of a fitted encoder."""
     toks = docs.select(key, F.explode(TX.vectorizer_tokens(text)).alias("term"))
     tf = toks.groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln((n + 1) / (F.col("df") + 1)) + 1
-    return tf.join(dfreq, "term").select(key, "term", (F.col("tf") * idf).alias("w"))
+    unseen = encoder.filter(F.col("term").isNull()).select("idf").scalar()
+    return (tf.join(encoder.filter(F.col("term").isNotNull()), "term", "left")
+            .select(key, "term", (F.col("tf") * F.coalesce("idf", unseen)).alias("w")))
 
 
 def project_terms(weights: DataFrame, key: str = "doc_id", dim: int = DIM, seed: int = 7) -> DataFrame:
@@ -59,9 +68,17 @@ def project_terms(weights: DataFrame, key: str = "doc_id", dim: int = DIM, seed:
     return normed.select(key, F.when(F.col("nrm") > 0, F.transform("raw", lambda x: x / F.col("nrm"))).alias("vec"))
 
 
+def apply_encoder(docs: DataFrame, encoder: DataFrame, key: str = "doc_id", text: str = "text", dim: int = DIM,
+                  seed: int = 7) -> DataFrame:
+    """V1, apply many: ``(key, vec)``, one row for each document (a null vector when it has no
+    token).  A document's vector depends on it and the fitted table alone, not on its batch."""
+    vec = project_terms(tfidf_terms(docs, encoder, key, text), key, dim, seed)
+    return docs.select(key).join(vec, key, "left")
+
+
 def embed(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = DIM, seed: int = 7) -> DataFrame:
-    """V1 default encoder: ``(key, vec)``; documents without tokens get no row."""
-    return project_terms(tfidf_terms(docs, key, text), key, dim, seed)
+    """V1 default encoder fitted on the documents themselves: ``(key, vec)``."""
+    return apply_encoder(docs, fit_encoder(docs, text), key, text, dim, seed)
 
 
 def embed_with(docs: DataFrame, load_model: Callable[[], object], key: str = "doc_id", text: str = "text",

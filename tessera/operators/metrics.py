@@ -45,6 +45,32 @@ def agreement(df: DataFrame, truth: str, pred: str, swap: bool = False) -> DataF
     return out.select(*[F.round(c, 6).alias(c) for c in ("homogeneity", "completeness", "v_measure", "nmi")])
 
 
+def sweep_metrics(df: DataFrame, config: str, truth: str, pred: str, more_than: int | None = None,
+                  less_than: int | None = None) -> DataFrame:
+    """M1, outlier ratio and cluster count (without -1) of every setting, optionally only the
+    settings whose cluster count lies strictly between two bounds."""
+    cont = df.groupBy(config, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    over = lambda *c: F.sum("n").over(Window.partitionBy(config, *c))
+    j = cont.select(config, "t", "p", "n", over("p").alias("a"), over("t").alias("b"), over().alias("total"))
+    part = F.col("n") / F.col("total")
+    entropy = lambda x: -F.sum(part * F.ln(x))
+    s = j.groupBy(config).agg(entropy(F.col("n") / F.col("a")).alias("h_tp"), entropy(F.col("n") / F.col("b")).alias("h_pt"),
+                              entropy(F.col("b") / F.col("total")).alias("h_t"), entropy(F.col("a") / F.col("total")).alias("h_p"),
+                              F.sum(F.when(F.col("p") == -1, F.col("n")).otherwise(0.0)).alias("out"), F.sum("n").alias("rows"),
+                              F.count_distinct(F.when(F.col("p") != -1, F.col("p"))).alias("n_clusters"))
+    hom = F.when(F.col("h_t") > 0, 1 - F.col("h_tp") / F.col("h_t")).otherwise(F.lit(1.0))
+    com = F.when(F.col("h_p") > 0, 1 - F.col("h_pt") / F.col("h_p")).otherwise(F.lit(1.0))
+    out = s.select(config, hom.alias("hom"), com.alias("com"), (F.col("out") / F.col("rows")).alias("outlier_ratio"), "n_clusters")
+    if more_than is not None:
+        out = out.filter(F.col("n_clusters") > more_than)
+    if less_than is not None:
+        out = out.filter(F.col("n_clusters") < less_than)
+    both = F.col("hom") + F.col("com")
+    return out.select(config, F.round("hom", 6).alias("homogeneity"), F.round("com", 6).alias("completeness"),
+                      F.round(F.when(both > 0, 2 * F.col("hom") * F.col("com") / both).otherwise(F.lit(0.0)), 6).alias("v_measure"),
+                      F.round("outlier_ratio", 6).alias("outlier_ratio"), "n_clusters")
+
+
 def outlier_stats(df: DataFrame, pred: str, truth: str | None = None) -> DataFrame:
     """M2: outlier ratio (0 without -1), cluster count including -1, and the
     ratio (k - 1) / k_truth when a truth column is given."""

@@ -8,8 +8,6 @@ session's checkpoint folder and return what they stored.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
@@ -17,6 +15,7 @@ from tessera.operators import embed as EM
 from tessera.plans import sqltext as SQ
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
+from tessera.session import hold
 from tessera.sources import fixtures as FX
 from tessera.sources.tables import read_table
 from tessera.streaming import ingest as ST
@@ -77,7 +76,7 @@ def q_split_pairs(spark, base):
     SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY 1""")
 def q_daily_volume_stream(spark, base):
     """Daily event counts from a watermarked stream (stream = batch)."""
-    return ST.daily_volume_stream(spark, os.path.join(base, "events.parquet"))
+    return ST.daily_volume_stream(spark, f"{base}/events.parquet")
 
 
 _DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -94,20 +93,46 @@ def q_ingest_new(spark, base):
     schema = T._parse_datatype_string(_DOC_SCHEMA)
     ev = read_table(spark, base, "events", ["event_id", "ts", "value"])
 
-    def transform(batch):
+    def compose(batch):
         art = batch.join(ev, batch.doc_id == ev.event_id, "left").select(
             F.col("doc_id").alias("article_uid"), "text", "source")
         seo = F.concat(FX.first_line(F.col("text")), F.lit(" - "), F.col("source"), F.lit(FX.SEO_SUFFIX))
-        comp = art.select("article_uid", TX.compose_text(seo, F.col("text")).alias("composed"))
-        vec = EM.embed(comp.withColumnRenamed("composed", "text"), key="article_uid")
-        return comp.join(vec, "article_uid", "left")
+        return art.select("article_uid", TX.compose_text(seo, F.col("text")).alias("composed"))
+
+    # the encoder is fitted once and stored: a vector never depends on the batch it came in
+    encoder = hold(EM.fit_encoder(compose(read_table(spark, base, "documents")), "composed"), "encoder")
+
+    def transform(batch):
+        comp = compose(batch)
+        return comp.join(EM.apply_encoder(comp, encoder, "article_uid", "composed"), "article_uid", "left")
 
     store = ST.scratch(spark, "ingest")
-    out = ST.ingest_new(spark, os.path.join(base, "documents.parquet"), schema, store, transform,
-                        key="article_uid", ts=None)
+    out = ST.ingest_new(spark, f"{base}/documents.parquet", schema, store, transform, key="article_uid", ts=None)
     return out.select("article_uid", "composed")
 
 
+@register("encoder_weights", f"""
+    WITH d AS (SELECT count(*) AS n FROM documents),
+         t AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{TX.WORD}{{2,}}'))) AS term FROM documents)
+    SELECT term, round(ln((any_value(n) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM t, d GROUP BY term
+    UNION ALL SELECT NULL, round(ln(n + 1) + 1, 6) FROM d""")
+def q_encoder_weights(spark, base):
+    """V1: the fitted encoder table over all documents."""
+    return EM.fit_encoder(read_table(spark, base, "documents", ["text"])).select("term", F.round("idf", 6).alias("idf"))
+
+
+@register("embedding_flow")
+def q_embedding_flow(spark, base):
+    """The whole embedding flow: encode with the fitted encoder, store, reduce with the saved
+    reducer, store the reduced vectors under the same keys."""
+    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    encoder = hold(EM.fit_encoder(docs), "encoder")
+    root = ST.scratch(spark, "embedding-flow")
+    model = EM.fit_reducer(EM.apply_encoder(docs, encoder), REDUCED_DIM)
+    model.write().overwrite().save(f"{root}/reducer")
+    return ST.embedding_flow(spark, docs, encoder, f"{root}/reducer", f"{root}/vectors", f"{root}/reduced")
+
+
 @register("apply_and_cluster")
 def q_apply_and_cluster(spark, base):
     """C4 (with V6 persistence): a reducer fitted on all vectors is

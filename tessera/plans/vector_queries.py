@@ -215,7 +215,15 @@ def q_sweep(spark, base):
 def _assign_sql():
     old = f"SELECT article_uid AS id, CAST(embedding AS DOUBLE[]) AS v FROM article_vectors WHERE article_created_at <= TIMESTAMP '{SPLIT_AT}'"
     new = f"SELECT article_uid AS id, CAST(embedding AS DOUBLE[]) AS v FROM article_vectors WHERE article_created_at > TIMESTAMP '{SPLIT_AT}'"
-    ctes = [("oldp", old), ("newp", new)] + _c1_ctes("o", "oldp", EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
+    ctes = [("oldp", old), ("newp", new)] + _later_ctes()
+    return with_views(["article_vectors"], ctes,
+                      "SELECT id AS article_uid, CAST(cluster AS INTEGER) AS cluster FROM hits "
+                      "UNION ALL SELECT id AS article_uid, cluster FROM r_labels", recursive=True)
+
+
+def _later_ctes():
+    """C1 of ``oldp``, then C7 of ``newp`` against it: CTEs o_labels, hits, r_labels."""
+    ctes = _c1_ctes("o", "oldp", EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
     ctes += [
         ("known", "SELECT x.id, x.v, l.cluster FROM oldp x JOIN o_labels l ON l.id = x.id WHERE l.cluster <> -1"),
         ("hits", f"""SELECT id, cluster FROM (
@@ -224,10 +232,8 @@ def _assign_sql():
                        FROM newp n JOIN known k ON round(list_distance(n.v, k.v), 12) <= {EPS}) WHERE rk = 1"""),
         ("restp", "SELECT * FROM newp WHERE id NOT IN (SELECT id FROM hits)"),
     ]
-    ctes += _c1_ctes("r", "restp", EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE, offset="(SELECT max(cluster) + 1 FROM o_labels)")
-    return with_views(["article_vectors"], ctes,
-                      "SELECT id AS article_uid, CAST(cluster AS INTEGER) AS cluster FROM hits "
-                      "UNION ALL SELECT id AS article_uid, cluster FROM r_labels", recursive=True)
+    return ctes + _c1_ctes("r", "restp", EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE,
+                           offset="(SELECT coalesce(max(cluster), -1) + 1 FROM o_labels)")
 
 
 @register("assign_topics", _assign_sql())
@@ -306,24 +312,84 @@ def q_silhouette_squared(spark, base):
     return metrics.silhouette_linear(_emb(spark, base), "vec_id", "embedding", "label", "squared")
 
 
-register("label_stream", with_views([], [("pts", _pts_sql())] + _c1_ctes("c", "pts", EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE),
-                                   "SELECT id AS vec_id, cluster FROM c_labels", recursive=True))(
-    lambda spark, base: _label_stream(spark, base))
+_HALF = "(SELECT (min(vec_id) + max(vec_id)) // 2 FROM embeddings)"
+
 
+def _label_stream_sql():
+    ctes = [("oldp", _pts_sql(where=f"WHERE vec_id <= {_HALF}")), ("newp", _pts_sql(where=f"WHERE vec_id > {_HALF}"))]
+    ctes += _later_ctes()
+    return with_views([], ctes, "SELECT id AS vec_id, cluster FROM o_labels UNION ALL "
+                      "SELECT id AS vec_id, CAST(cluster AS INTEGER) AS cluster FROM hits "
+                      "UNION ALL SELECT id AS vec_id, cluster FROM r_labels", recursive=True)
 
-def _label_stream(spark, base):
-    """Vectors streamed in; the first micro-batch is clustered (C1), later
-    ones are labelled incrementally (C7); labels are stored keyed."""
-    import os
 
+@register("label_stream", _label_stream_sql)
+def q_label_stream(spark, base):
+    """Vectors arrive in two batches; the first is clustered (C1), the second labelled
+    incrementally (C7) against the stored labels, which never move."""
     from pyspark.sql import types as T
 
     from tessera.streaming import ingest as ST
 
     root = ST.scratch(spark, "labels")
+    emb = _emb(spark, base)
+    low, high = emb.agg(F.min("vec_id"), F.max("vec_id")).first()
+    half = (low + high) // 2
     schema = T.StructType([T.StructField("vec_id", T.LongType()),
                            T.StructField("embedding", T.ArrayType(T.FloatType())),
                            T.StructField("label", T.IntegerType())])
-    out = ST.label_stream(spark, os.path.join(base, "embeddings.parquet"), schema, root + "/labels",
-                          root + "/vectors", EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE, key="vec_id", vec="embedding")
+    for part in (F.col("vec_id") <= half, F.col("vec_id") > half):
+        emb.filter(part).write.mode("append").parquet(f"{root}/source")
+        out = ST.label_stream(spark, f"{root}/source", schema, f"{root}/labels", f"{root}/vectors",
+                              EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE, key="vec_id", vec="embedding")
     return out.select("vec_id", F.col("cluster").cast("int").alias("cluster"))
+
+
+@register("one_hot_vectors", with_views(["article_vectors", "articles"], [
+    ("c", """SELECT department, dense_rank() OVER (ORDER BY department) - 1 AS idx, count(*) OVER () AS n
+             FROM (SELECT DISTINCT department FROM articles WHERE department IS NOT NULL)"""),
+    ("v", """SELECT a.article_uid, list_concat(CAST(a.embedding AS DOUBLE[]), list_transform(
+               range(c.n), lambda k: CASE WHEN k = c.idx THEN 1.0 ELSE 0.0 END)) AS v
+             FROM article_vectors a JOIN articles b USING (article_uid) JOIN c ON c.department = b.department""")], """
+    SELECT article_uid, CAST(dim - 1 AS INTEGER) AS dim, round(value, 6) AS value FROM (
+      SELECT article_uid, unnest(v) AS value, generate_subscripts(v, 1) AS dim FROM v)"""))
+def q_one_hot_vectors(spark, base):
+    """V5: the vector with the one-hot department appended (long form)."""
+    art = FX.articles(spark, base).select("article_uid", "department").filter(F.col("department").isNotNull())
+    idx = graph.dense_index(art, "department", "idx")
+    n = art.agg(F.count_distinct("department")).scalar().cast("int")
+    hot = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.when(k == F.col("idx"), F.lit(1.0)).otherwise(F.lit(0.0)))
+    j = FX.article_vectors(spark, base).join(art.join(idx, "department"), "article_uid").withColumn("n", n)
+    return _explode_vec(j.select("article_uid", F.concat(F.col("embedding").cast("array<double>"), hot).alias("v")), "article_uid", "v")
+
+
+def _sweep_metrics_sql():
+    ctes = [("pts", _pts_sql())]
+    for i, s in enumerate(GRID):
+        ctes += _c1_ctes(f"g{i}", "pts", s.eps, s.min_samples, s.min_cluster_size)
+    union = " UNION ALL ".join(f"SELECT {i} AS cfg, l.id, l.cluster AS p, e.label AS t FROM g{i}_labels l JOIN embeddings e ON e.vec_id = l.id"
+                               for i in range(len(GRID)))
+    ctes += [
+        ("lab", union),
+        ("c", "SELECT cfg, t, p, CAST(count(*) AS DOUBLE) AS n FROM lab GROUP BY 1, 2, 3"),
+        ("j", """SELECT *, sum(n) OVER (PARTITION BY cfg, p) AS a, sum(n) OVER (PARTITION BY cfg, t) AS b,
+                        sum(n) OVER (PARTITION BY cfg) AS tot FROM c"""),
+        ("h", """SELECT cfg, -sum(n / tot * ln(n / a)) AS htp, -sum(n / tot * ln(n / b)) AS hpt,
+                        -sum(n / tot * ln(b / tot)) AS ht, -sum(n / tot * ln(a / tot)) AS hp FROM j GROUP BY cfg"""),
+        ("hc", """SELECT cfg, CASE WHEN ht > 0 THEN 1 - htp / ht ELSE 1.0 END AS hom,
+                         CASE WHEN hp > 0 THEN 1 - hpt / hp ELSE 1.0 END AS com FROM h"""),
+        ("o", """SELECT cfg, round(avg(CASE WHEN p = -1 THEN 1.0 ELSE 0.0 END), 6) AS outlier_ratio,
+                        count(DISTINCT CASE WHEN p <> -1 THEN p END) AS n_clusters FROM lab GROUP BY cfg"""),
+    ]
+    return with_views([], ctes, """
+        SELECT CAST(cfg AS INTEGER) AS config_id, round(hom, 6) AS homogeneity, round(com, 6) AS completeness,
+               round(CASE WHEN hom + com > 0 THEN 2 * hom * com / (hom + com) ELSE 0.0 END, 6) AS v_measure,
+               outlier_ratio, n_clusters FROM hc JOIN o USING (cfg) WHERE n_clusters > 1 AND n_clusters < 25""", recursive=True)
+
+
+@register("sweep_metrics", _sweep_metrics_sql)
+def q_sweep_metrics(spark, base):
+    """Metrics of every setting against the given labels; settings with 2 to 24 clusters stay."""
+    e = _emb(spark, base).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    lab = C.sweep(e, GRID).join(e.select("id", "label"), "id")
+    return metrics.sweep_metrics(lab, "config_id", "label", "cluster", more_than=1, less_than=25)

@@ -152,3 +152,27 @@ def label_stream(spark: SparkSession, source: str, schema: T.StructType, labels_
     (src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(labels_store)
+
+
+def embedding_flow(spark: SparkSession, docs: DataFrame, encoder: DataFrame, reducer_path: str, vectors_store: str,
+                   reduced_store: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One batch of the embedding flow: documents not stored yet are encoded and appended keyed,
+    then reduced with the saved reducer and appended keyed to the second table.  Both writes skip
+    stored keys, so a batch that failed between them is completed by running it again.  Returns
+    ``(key, dim, reduced)`` of everything stored."""
+    from pyspark.ml.feature import PCAModel
+
+    from tessera.operators import embed as EM
+    from tessera.sources.tables import append
+
+    new = docs
+    if has_data(spark, vectors_store):
+        new = docs.join(spark.read.parquet(vectors_store).select(key), key, "left_anti")
+    append(EM.apply_encoder(new, encoder, key, text), vectors_store, key)
+    vectors = spark.read.parquet(vectors_store)
+    todo = vectors
+    if has_data(spark, reduced_store):
+        todo = vectors.join(spark.read.parquet(reduced_store).select(key), key, "left_anti")
+    append(EM.reduce(todo, PCAModel.load(reducer_path), "vec", "reduced").select(key, "reduced"), reduced_store, key)
+    reduced = spark.read.parquet(reduced_store)
+    return vectors.join(reduced, key, "left").select(key, F.size("vec").alias("dim"), "reduced")

@@ -34,3 +34,39 @@ def test_saved_reducer_round_trip(spark):
     assert a == b
     lay = EM.layout(df, 2).collect()
     assert len(lay) == df.count() and all(r.x is not None and r.y is not None for r in lay)
+
+
+def test_vectors_do_not_depend_on_the_batch(spark):
+    from tessera.session import hold
+    from tessera.streaming import ingest as ST
+
+    docs = spark.read.parquet(os.path.join(SF_SMALL, "documents.parquet")).select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, ""), (-2, "!")], "doc_id long, text string"))
+    encoder = hold(EM.fit_encoder(docs))
+    model = EM.fit_reducer(EM.apply_encoder(docs, encoder), 4)
+    root = tempfile.mkdtemp(prefix="tessera-flow-")
+    model.write().overwrite().save(f"file://{root}/m")
+    for part in ("doc_id % 2 = 0", "doc_id % 2 <> 0", "true"):
+        out = ST.embedding_flow(spark, docs.filter(part), encoder, f"file://{root}/m", f"file://{root}/v", f"file://{root}/r")
+    stored = {r.doc_id: r.vec for r in spark.read.parquet(f"file://{root}/v").collect()}
+    whole = {r.doc_id: r.vec for r in EM.apply_encoder(docs, encoder).collect()}
+    assert stored.keys() == whole.keys() and len(stored) == docs.count() and stored[-1] is None
+    for k, v in whole.items():
+        assert (v is None) == (stored[k] is None)
+        assert v is None or max(abs(a - b) for a, b in zip(v, stored[k])) < 1e-12
+    rows = out.collect()
+    assert len(rows) == docs.count() and all((r.reduced is None) == (r.dim is None) for r in rows)
+
+
+def test_unseen_terms_and_plugged_encoder(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha gamma")], "doc_id long, text string")
+    enc = EM.fit_encoder(docs.filter("doc_id = 1"))
+    got = {(r.doc_id, r.term): r.w for r in EM.tfidf_terms(docs, enc).collect()}
+    import math
+    assert abs(got[2, "gamma"] - (math.log(2) + 1)) < 1e-12 and abs(got[1, "alpha"] - 1) < 1e-12
+
+    class Length:
+        def encode(self, texts):
+            return [[float(len(t))] for t in texts]
+
+    assert {r.doc_id: r.vec for r in EM.embed_with(docs, Length, batch_size=1).collect()} == {1: [10.0], 2: [11.0]}

@@ -64,3 +64,12 @@ def test_ctfidf_worked_example(spark):
     assert {r.topic_label: r.words for r in top} == {0: "b, a", 1: "c, a"}
     asc = tfidf.join_ranked(tfidf.top_terms(tfidf.ctfidf(counts, 4), 2), order="asc").collect()
     assert {r.topic_label: r.words for r in asc} == {0: "a, b", 1: "a, c"}
+
+
+def test_all_entities_of_a_long_field_are_kept(spark):
+    from tessera.sources import fixtures as FX
+
+    words = " ".join(f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}xx" for i in range(50))
+    df = spark.createDataFrame([(1, words)], "article_uid long, text string").select(
+        "article_uid", FX._entity_json(F.col("text")).alias("text"))
+    assert len(E.parse_entities(df, fields=["text"]).collect()) == 50

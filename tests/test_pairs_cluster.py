@@ -175,3 +175,27 @@ def test_zero_and_missing_vectors(spark):
     assert euc == {(0, 1), (1, 0)}
     lab = {r.id: r.cluster for r in C.density_cluster(df, 0.2, 1, 2).collect()}
     assert lab == {0: 0, 1: 0, 2: -1, 3: -1, 4: -1}
+
+
+def test_assign_topics_groups_and_empty_start(spark):
+    pts = [(1, [0.0, 0.0]), (2, [0.1, 0.0]), (3, [0.0, 0.1]), (4, [5.0, 5.0]), (5, [5.1, 5.0]), (6, [5.0, 5.1]), (7, [9.0, 0.0])]
+    new = spark.createDataFrame(pts, "id long, vec array<double>")
+    none = spark.createDataFrame([], "id long, vec array<double>, cluster int")
+    got = {r.id: r.cluster for r in C.assign_topics(new, none, 0.5, 1, 3).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: -1}
+    known = spark.createDataFrame([(10, [0.0, 0.05], 4), (11, [9.0, 9.0], -1)], "id long, vec array<double>, cluster int")
+    got = {r.id: r.cluster for r in C.assign_topics(new, known, 0.5, 1, 3).collect()}
+    assert got == {1: 4, 2: 4, 3: 4, 4: 5, 5: 5, 6: 5, 7: -1}
+
+
+def test_components_of_a_long_path(spark):
+    n = 400
+    v = spark.range(n).select(F.col("id"))
+    e = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r.comp for r in graph.connected_components(v, e).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.connected_components(v, e, max_rounds=1)
+
+
+def test_nothing_stays_cached(spark):
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0

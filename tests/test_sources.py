@@ -61,3 +61,18 @@ def test_latest_by_ids_has_rows(spark):
     assert sorted(r.article_uid for r in S.by_ids(df, [1, 3]).collect()) == [1, 3]
     assert [r.article_uid for r in S.by_ids(df, 4).collect()] == [4]
     assert S.has_rows(df) and not S.has_rows(df.filter("false"))
+
+
+def test_append_raises_when_the_stored_keys_cannot_be_read(spark, tmp_path):
+    import pytest
+
+    from tessera.sources import tables as TB
+
+    path = f"file://{tmp_path}/t"
+    df = spark.createDataFrame([(1,), (1,), (2,)], "article_uid long")
+    TB.append(df, path)
+    TB.append(df, path)
+    assert spark.read.parquet(path).count() == 2
+    (tmp_path / "t" / "part-broken.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        TB.append(df, path)
