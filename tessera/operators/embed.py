@@ -109,18 +109,22 @@ def fit_reducer(df: DataFrame, k: int, vec: str = "vec", ts: str | None = None,
     train = df
     if ts is not None and n_train is not None:
         train = df.orderBy(F.col(ts).desc(), *([key] if key else [])).limit(int(n_train))
-    train = train.select(array_to_vector(VF.l2_normalize(F.col(vec))).alias("features")).na.drop()
-    return PCA(k=k, inputCol="features", outputCol="reduced").fit(train)
+    unit = train.select(VF.l2_normalize(F.col(vec)).alias("u")).filter(F.col("u").isNotNull())
+    train = unit.select(array_to_vector("u").alias("features"))
+    return PCA(k=k, inputCol="features", outputCol="reduced_features").fit(train)
 
 
 def reduce(df: DataFrame, model, vec: str = "vec", out: str = "reduced") -> DataFrame:
-    """V7: apply a fitted (or loaded: ``PCAModel.load(path)``) reducer."""
+    """V7: apply a fitted (or loaded: ``PCAModel.load(path)``) reducer; one row out for each row in
+    (null where the vector is missing or zero)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    feats = df.withColumn("features", array_to_vector(VF.l2_normalize(F.col(vec))))
-    res = model.transform(feats.na.drop(subset=["features"]))
-    return res.withColumn(out, vector_to_array("reduced")).drop("features", "reduced") if out != "reduced" \
-        else res.withColumn("reduced", vector_to_array("reduced")).drop("features")
+    unit = df.withColumn("_unit", VF.l2_normalize(F.col(vec)))
+    some = unit.filter(F.col("_unit").isNotNull())
+    done = model.transform(some.withColumn(model.getInputCol(), array_to_vector("_unit")))
+    done = done.withColumn("_reduced", vector_to_array(model.getOutputCol())).drop(model.getInputCol(), model.getOutputCol())
+    none = unit.filter(F.col("_unit").isNull()).withColumn("_reduced", F.lit(None).cast("array<double>"))
+    return done.unionByName(none).drop("_unit").withColumnRenamed("_reduced", out)
 
 
 def layout(df: DataFrame, dims: int = 2, key: str = "id", vec: str = "vec") -> DataFrame:
