@@ -175,28 +175,43 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return t.select("a", "b", "ta", "tb").mapInArrow(by_batch(kernel), "a long, b long")
 
 
+def shared_counts(v: np.ndarray, first: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """(lines x lines) sizes of the intersections of all sets: products of the 0/1 matrix of lines
+    and shingles, a bounded number of shingles at a time; shingles of one line only are left out."""
+    m = len(first) - 1
+    rows = np.repeat(np.arange(m), np.diff(first))
+    _, col, count = np.unique(v, return_inverse=True, return_counts=True)
+    rows, col = rows[count[col] > 1], col[count[col] > 1]
+    _, col = np.unique(col, return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    rows, col = rows[order], col[order]
+    out = np.zeros((m, m), np.int64)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        a, b = np.searchsorted(col, [lo, lo + columns])
+        part = np.zeros((m, columns), np.float32)
+        part[rows[a:b], col[a:b] - lo] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
+
+
 def _cross_links(percent: int):
-    """Group function over one block pair of one bucket: exact links between components."""
+    """Group function over one block pair of one bucket: exact links between components, one for
+    each pair of components."""
     def run(pdf):
         import pandas as pd
 
         v, first = _sets(pa.array(pdf["text"], pa.string()))
-        line, comp, blk = pdf["line"].to_numpy(), pdf["comp"].to_numpy().copy(), pdf["blk"].to_numpy()
-        across = pdf["b1"].iloc[0] != pdf["b2"].iloc[0]
-        values, counts = np.unique(comp, return_counts=True)
-        main = values[np.argmax(counts)]
+        line, comp, blk = pdf["line"].to_numpy(), pdf["comp"].to_numpy(), pdf["blk"].to_numpy()
         size = np.diff(first)
-        out = []
-        for i in np.flatnonzero(comp != main):
-            other = comp != comp[i]
-            if across:
-                other &= blk != blk[i]
-            other &= np.minimum(size, size[i]) * 100 >= percent * np.maximum(size, size[i])
-            for j in np.flatnonzero(other):
-                if comp[j] != comp[i] and _alike(v[first[i]:first[i + 1]], v[first[j]:first[j + 1]], percent):
-                    out.append((min(line[i], line[j]), max(line[i], line[j])))
-                    comp[comp == comp[i]] = comp[j]  # joined now: no more of their pairs are needed
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        both = shared_counts(v, first)
+        ok = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        ok &= comp[:, None] < comp[None, :]
+        if pdf["b1"].iloc[0] != pdf["b2"].iloc[0]:
+            ok &= blk[:, None] != blk[None, :]
+        i, j = np.nonzero(ok)
+        _, lead = np.unique(np.stack([comp[i], comp[j]], 1), axis=0, return_index=True)
+        i, j = i[lead], j[lead]
+        return pd.DataFrame({"a": np.minimum(line[i], line[j]), "b": np.maximum(line[i], line[j])})
     return run
 
 
