@@ -4,9 +4,10 @@ A spaced seed is a fixed mask over neighbouring tokens that hashes only the posi
 for, so a changed word inside a masked position does not hide a match.  Every mask position of
 every document is hashed; positions whose hash a benchmark item has too are hits.  A hit fixes a
 diagonal (document position - item position); along it the item is laid over the document and
-verified: over the stretch where both exist, the best-matching run must hold at least ``min_match``
-equal tokens and ``share`` of its positions must be equal (substitutions only).  Items shorter
-than the masks are looked for whole.
+verified: within the stretch where both exist, some run must hold at least ``min_match`` equal tokens
+with at least ``share`` of its positions equal (substitutions only).  With the default rule every
+such run, wherever its substitutions lie, holds a hit of one of the masks.  Items shorter than the
+masks are looked for whole.
 
 Work in Spark: benchmark seeds are joined by hash, not by pairs.  A Bloom filter of the seed
 hashes (fixed size) lets tasks drop almost all positions of the corpus before anything is shuffled;
@@ -34,8 +35,9 @@ from tessera.llm.common import bit_filter, by_batch, long_column, materialise, p
 NAME = "op8_spaced_seeds"
 ORACLE_SQL = None  # tests hold it against a brute-force search over all diagonals
 
-#: Masks over token positions (1: hashed).  Any two substitutions at least four apart leave a hit of one of them.
-MASKS = ("111111", "110101011", "1101100010011")
+#: Masks over token positions (1: hashed).  Every run of at least 10 equal tokens with a share of 0.75 is hit by one
+#: of them (the tests go through all 931 runs that hold no shorter such run; a longer one than 25 has a part that is one).
+MASKS = ("111111", "110101011", "1101100010011", "11100111", "11010010011", "1101100101", "111000101001")
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -117,15 +119,18 @@ def document_seeds(docs: DataFrame, likely: np.ndarray, short: list[int]) -> Dat
 
 
 def best_run(equal: np.ndarray, share: float) -> tuple[int, int, int]:
-    """(matches, first, last + 1) of the stretch with the highest sum of 1 - share for a match and
-    -share for a mismatch, i.e. the largest stretch that stays above the share."""
-    score = np.where(equal, 1 - share, -share)
-    total = np.concatenate([[0.0], np.cumsum(score)])
+    """(matches, first, last + 1) of the longest stretch of which at least ``share`` is equal, without
+    mismatches at its ends.  If any stretch has m matches and the share, this one has m or more: it can
+    only be as short as m / share, or as the whole of ``equal``."""
+    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - share, -share))])
     low = np.minimum.accumulate(total)
-    gain = total - low
-    end = int(gain.argmax())
-    begin = int(np.flatnonzero(total[:end + 1] == low[end])[0])
-    return int(equal[begin:end].sum()), begin, end
+    begin = np.searchsorted(-low, -(total + 1e-9))  # the first place from which the sum to here is not negative
+    size = np.arange(len(total)) - begin
+    ends = np.flatnonzero(size == size.max())
+    count = np.concatenate([[0], np.cumsum(equal)])
+    end = int(ends[(count[ends] - count[begin[ends]]).argmax()])
+    at = begin[end] + np.flatnonzero(equal[begin[end]:end])
+    return (len(at), int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0, 0)
 
 
 def verify(hits: DataFrame, texts: DataFrame, benchmark: DataFrame, min_match: int, share: float) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operator 8 against a brute-force search over all items and diagonals."""
 
+import itertools
 import random
 import re
 import string
@@ -65,6 +66,44 @@ def test_substitutions_are_tolerated(sp):
     assert M.verdicts(sp.createDataFrame([(1, "It is TWO words!")], "doc_id long, text string"), bench).first().item_id == 8
 
 
+def holds(equal, least=10):
+    """The rule as the module states it, by all stretches."""
+    return any(sum(equal[i:j]) >= least and 4 * sum(equal[i:j]) >= 3 * (j - i) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1))
+
+
+def test_run_is_found_wherever_it_is():
+    g = random.Random(3)
+    for _ in range(3000):
+        equal = [g.random() < g.choice((0.6, 0.75, 0.85)) for _ in range(g.randrange(1, 40))]
+        n, lo, hi = M.best_run(np.array(equal), 0.75)
+        assert (n >= 10) == holds(equal) and n == sum(equal[lo:hi]) and 4 * n >= 3 * (hi - lo)
+
+
+def test_masks_hit_every_run():
+    masks = [(int(m[::-1], 2), len(m)) for m in M.MASKS]
+    for size in range(10, 26):  # (a longer run has a part of at least 13 with the share)
+        for k in range(min(size // 4, size - 10) + 1):
+            for wrong in itertools.combinations(range(1, size - 1), k):
+                run = (1 << size) - 1 - sum(1 << w for w in wrong)
+                assert any((run >> at) & m == m for m, n in masks for at in range(size - n + 1)), bin(run)
+
+
+def test_short_items_with_substitutions(sp):
+    g = random.Random(8)
+    items = {n: [f"q{n}x{i}" for i in range(n)] for n in (13, 15, 20, 25, 30)}
+    docs, want = [], {}
+    for k in range(400):
+        n = g.choice(list(items))
+        cut = list(items[n])
+        for at in g.sample(range(n), g.randrange(1, n // 4 + 3)):
+            cut[at] = f"z{g.random()}"
+        want[k] = holds([a == b for a, b in zip(cut, items[n])])
+        docs.append((k, " ".join(f"w{g.random()}" for _ in range(g.randrange(20))) + " " + " ".join(cut) + " end"))
+    bench = sp.createDataFrame([(n, " ".join(q)) for n, q in items.items()], "item_id long, text string")
+    got = {r.doc_id: r.contaminated for r in M.verdicts(sp.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want and 50 < sum(want.values()) < 350
+
+
 def test_odd_rows(sp, odd, none):
     bench = sp.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     got = M.verdicts(odd, bench).collect()
