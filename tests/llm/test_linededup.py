@@ -81,6 +81,21 @@ def test_groups_chains_and_blocks(sp):
     assert left[0] == rows[0][1] and left[100] == "" and left[1].startswith("unique line")
 
 
+def test_one_changed_character_in_short_lines(sp):
+    g = random.Random(4)
+    rows = []
+    for i in range(600):
+        line = ""
+        while len(line) < 40 + i % 51:
+            line += "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(g.randrange(2, 9))) + " "
+        line = line[:40 + i % 51].strip().ljust(40, "x")
+        at = g.randrange(len(line))
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + "~" + line[at + 1:])]
+    got = gone(sp.createDataFrame(rows, "doc_id long, text string"))
+    want, _ = brute(rows)
+    assert got <= want and len(want) >= 0.98 * 600 and len(got) >= 0.97 * 600
+
+
 def test_odd_rows(sp, odd, none):
     got = L.drop_lines(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
