@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bytescan import mix
 from tessera.session import checkpoint_dir, ensure_conf
 
 #: Rows of one Arrow batch: bounds what a Python worker holds when texts are long.
@@ -76,26 +77,49 @@ def long_lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
-def bit_filter(ids: DataFrame, col: str, bits: int = 22) -> np.ndarray:
-    """A one-hash Bloom filter of a long column: 2**bits bits whatever the number of rows
-    (half a megabyte by default), built by a map-side-combined ``bit_or``.  It may let
-    others through and never loses one, so an exact join must follow."""
-    slot = F.expr(f"pmod({col} ^ shiftright({col}, {bits}), {1 << bits}L)")
-    rows = (ids.where(F.col(col).isNotNull())
-            .select((F.floor(slot / 32)).cast("int").alias("w"),
-                    F.expr(f"shiftleft(1L, cast(pmod({col} ^ shiftright({col}, {bits}), 32L) as int))").alias("b"))
-            .groupBy("w").agg(F.bit_or("b").alias("b")).collect())
+#: Least and most bits (as powers of two) of a ``bit_filter``: 128 KB to 16 MB.
+FILTER_BITS = (20, 27)
+
+
+def _slots(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each id among 2**bits."""
+    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    low = np.uint64((1 << bits) - 1)
+    return (h & low).astype(np.int64), ((h >> np.uint64(32)) & low).astype(np.int64)
+
+
+def bit_filter(ids: DataFrame, col: str, bits: int | None = None) -> np.ndarray | None:
+    """A two-hash Bloom filter of a long column: 16 bits a row (one id in 60 is let through by
+    chance), at least 2**20 and at most 2**27 bits (16 MB, up to 8 million rows).  For more rows than
+    such a filter can tell apart (it would be 98 % full) there is none, and everything goes on to the
+    exact join that must follow anyway.  It never loses an id."""
+    ids = ids.where(F.col(col).isNotNull()).select(F.col(col).cast("long").alias("id"))
+    if bits is None:
+        n = ids.count()
+        if n > 2 << FILTER_BITS[1]:
+            return None
+        bits = min(max(FILTER_BITS[0], (16 * n).bit_length()), FILTER_BITS[1])
+
+    def run(batches):
+        for batch in batches:
+            slot = np.concatenate(_slots(batch.column(0).to_numpy(), bits))
+            word, where = np.unique(slot >> 5, return_inverse=True)
+            out = np.zeros(len(word), np.int64)
+            np.bitwise_or.at(out, where, 1 << (slot & 31))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(out)], ["w", "b"])
+
+    rows = ids.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 5), np.uint32)
-    for r in rows:
-        out[r[0]] = r[1]
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
     return out
 
 
-def passes(filter_words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def passes(filter_words: np.ndarray | None, ids: np.ndarray) -> np.ndarray:
     """Mask of the ids that ``bit_filter`` may hold."""
-    bits = int(len(filter_words)).bit_length() - 1 + 5
-    slot = (ids ^ (ids >> bits)) % (1 << bits)  # numpy's % is non-negative here, as pmod
-    return (filter_words[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+    if filter_words is None:
+        return np.ones(len(ids), bool)
+    one, two = _slots(ids, int(len(filter_words)).bit_length() - 1 + 5)
+    return ((filter_words[one >> 5] >> (one & 31).astype(np.uint32)) & (filter_words[two >> 5] >> (two & 31).astype(np.uint32)) & 1) == 1
 
 
 def fitting_labels(labels: DataFrame, flag: str, max_labelled: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,10 +152,11 @@ def long_column(batch: pa.RecordBatch, name: str, null: int = -1) -> np.ndarray:
     return batch.column(name).cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
 
-def without(docs: DataFrame, ids: DataFrame, bits: int = 22) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame, bits: int | None = None) -> DataFrame:
     """``docs`` less the rows whose doc_id is in ``ids`` (a bit filter lets most texts pass without a
     shuffle; only rows it may hold meet the exact anti-join).  Rows without an id stay."""
     ids = ids.select(F.col("doc_id").cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    ids = materialise(ids, "ids")
     likely = bit_filter(ids, "_id", bits)
 
     def pick(inside: bool):

@@ -166,7 +166,7 @@ def verify(hits: DataFrame, texts: DataFrame, benchmark: DataFrame, min_match: i
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 10, share: float = 0.75,
-                 filter_bits: int = 22) -> DataFrame:
+                 filter_bits: int | None = None) -> DataFrame:
     """One row for each contaminated document and item with the best overlap (tokens from
     ``doc_start`` to ``doc_end``)."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

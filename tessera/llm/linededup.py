@@ -4,18 +4,19 @@ Lines are split at \\n; a line counts if it holds a word, and is compared lower-
 without white space at its ends.  Equal lines are one.  A line's set is its distinct shingles of
 ``SHINGLE`` characters (a shorter line is one shingle, so it only equals itself).
 
-1. One pass over the texts: a line hash, and a one-permutation MinHash signature of BANDS x ROWS
-   bins (empty bins borrow from others), whose bands are the candidate keys.  Lines that repeat
-   within a batch leave it once.
+1. One pass over the texts: a line hash, one-permutation MinHash minima in BANDS x ROWS bins (empty
+   bins borrow from others), whose bands are the candidate keys, and four bits of each minimum as a
+   signature.  Lines that repeat within a batch leave it once.
 2. Buckets with two different lines are found by a map-side-combined aggregate; a Bloom filter of
    their keys and then of their lines lets only candidates travel.
-3. Each member is verified against its bucket's least line by exact Jaccard; confirmed links are
-   merged by union-find; buckets whose other members still lie in several components have those
-   cross-component pairs verified, in blocks of ``block`` lines spread over tasks.
+3. Each member is compared with its bucket's least line, first by signatures, then (texts are fetched
+   only now) by exact Jaccard; confirmed links are merged by union-find; buckets whose other members
+   still lie in several components have those cross-component pairs compared in the same two steps,
+   in blocks of ``block`` lines spread over tasks.
 4. Of each component the occurrence with the least (doc_id, line number) stays; all other
    occurrences are dropped from their documents.  Blank lines and text within lines never change.
 
-At the threshold (0.8) one pair in 200 shares no band; at 0.9 one in 10^4.
+At the threshold (0.8) one pair in 250 shares no band; at 0.9 one in 10^5.
 
 Nulls and edge cases: a null or empty text has no lines and stays as it is; documents without an id
 stay as they are and own no lines; rows that repeat an id are one document, so their lines are kept
@@ -31,56 +32,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytescan as B
-from tessera.llm.common import bit_filter, by_batch, long_column, long_lists, materialise, passes, prepare, release, table
+from tessera.llm.common import binary_rows, bit_filter, by_batch, long_column, long_lists, materialise, passes, prepare, release, table
 from tessera.llm.components import components
 
 NAME = "op5_fuzzy_lines"
 ORACLE_SQL = None  # tests hold it against brute force over all pairs of lines
 
 SHINGLE = 4  # one changed character within a line of 39 characters or more leaves a Jaccard of 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 14, 5
+BINS = BANDS * ROWS  # minima of a line; four bits of each are its signature
+SLICE = 1 << 18  # bytes of text worked on at a time (a longer document stands alone)
+SLACK = 0.25  # a pair whose signatures estimate this much less than the threshold is not verified (over four deviations)
 
 
 def lines_of(buf: np.ndarray, offs: np.ndarray):
     """(start, end, document, line number) of every line with a word, white space at its ends
     stripped; line numbers count all \\n-split lines of the document from 0."""
     s, e = B.runs(buf != 10, offs)
-    solid = np.flatnonzero(~B.SEPARATOR[buf])
-    if not len(solid):
-        return (np.zeros(0, np.int64),) * 4
-    lo = np.minimum(np.searchsorted(solid, s), len(solid) - 1)
-    hi = np.maximum(np.searchsorted(solid, e) - 1, 0)
-    full = np.flatnonzero((solid[lo] >= s) & (solid[lo] < e))
-    doc = B.owner(offs, s[full])
+    word = ~B.SEPARATOR[buf]
+    seen = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(word, out=seen[1:])
+    full = np.flatnonzero(seen[e] > seen[s])
+    s, e = s[full], e[full]
+    bare = np.flatnonzero(~(word[s] & word[e - 1])) if len(s) else full  # lines with white space at an end
+    if len(bare):
+        solid = np.flatnonzero(word)
+        s[bare] = solid[np.searchsorted(solid, s[bare])]
+        e[bare] = solid[np.searchsorted(solid, e[bare]) - 1] + 1
+    doc = B.owner(offs, s)
     feeds = np.flatnonzero(buf == 10)
-    number = np.searchsorted(feeds, s[full]) - np.searchsorted(feeds, offs[doc])
-    return solid[lo[full]], solid[hi[full]] + 1, doc, number
+    return s, e, doc, np.searchsorted(feeds, s) - np.searchsorted(feeds, offs[doc])
 
 
-def line_shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """(hash, line) of every character shingle, lines ascending; a short line is one shingle."""
-    lead = np.flatnonzero((buf & 0xC0) != 0x80)  # first bytes of characters
-    a, b = np.searchsorted(lead, start), np.searchsorted(lead, end)
-    n = np.maximum(b - a - SHINGLE + 1, 1)
-    line = np.repeat(np.arange(len(start)), n)
-    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(len(line))
-    stop = np.append(lead, len(buf))[np.minimum(at + SHINGLE, len(lead))]
-    return B.span_hashes(buf, lead[at], np.minimum(stop, end[line])), line
+_PLACE = np.random.default_rng(99).integers(1, 1 << 62, SHINGLE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def line_bands(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """(lines x BANDS) keys from a one-permutation signature; an empty bin takes the minimum of
-    the first full bin on its own fixed probe sequence."""
-    bins = BANDS * ROWS
+def line_shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(hash, line) of every shingle of SHINGLE characters, lines ascending and apart; a shorter line
+    is one shingle of its own.  All windows of the buffer are hashed at once from its code points."""
+    point = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(point) == len(buf):  # one byte a character
+        a, b = start, end
+    else:
+        lead = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum((buf & 0xC0) != 0x80, out=lead[1:])
+        a, b = lead[start], lead[end]
+    h, part = point * _PLACE[0], np.empty_like(point)
+    for k in range(1, min(SHINGLE, len(point))):
+        h[:-k] += np.multiply(point[k:], _PLACE[k], out=part[k:])
+    n = np.maximum(b - a - SHINGLE + 1, 1)
+    line = np.repeat(np.arange(len(a)), n)
+    inside = np.zeros(len(point) + SHINGLE + 1, np.int8)
+    np.add.at(inside, a, 1)
+    np.add.at(inside, a + n, -1)
+    h = h[np.cumsum(inside[:len(point)], dtype=np.int8).view(bool)]
+    for k in np.flatnonzero(b - a < SHINGLE):
+        at = np.arange(b[k] - a[k])
+        h[np.searchsorted(line, k)] = (point[a[k] + at] * _PLACE[at]).sum(dtype=np.uint64) + np.uint64(len(at) + 1)
+    part = part[:len(h)]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # (``bytescan.mix`` in place)
+        h ^= np.right_shift(h, np.uint64(shift), out=part)
+        h *= np.uint64(factor)
+    h ^= np.right_shift(h, np.uint64(31), out=part)
+    return h, line
+
+
+def line_bands(h: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x BANDS) keys and (lines x BINS / 2) signature bytes from one-permutation minima; an empty
+    bin takes the minimum of the first full bin on its own fixed probe sequence."""
     empty = np.uint64(2 ** 64 - 1)
-    least = np.full(n * bins, empty, np.uint64)
-    np.minimum.at(least, line * bins + (h >> np.uint64(32)).astype(np.int64) % bins, B.mix(h))
-    least = least.reshape(n, bins)
+    least = np.full(n * BINS, empty, np.uint64)
+    at = h >> np.uint64(32)
+    at *= np.uint64(BINS)
+    at >>= np.uint64(32)
+    at = at.view(np.int64)
+    at += line * BINS
+    np.minimum.at(least, at, h * np.uint64(0x9E3779B97F4A7C15))
+    least = least.reshape(n, BINS)
     out = least.copy()
     row, col = np.nonzero(least == empty)
     g = np.random.default_rng(11)
     while len(row):
-        probe = g.integers(0, bins, bins)[col]
+        probe = g.integers(0, BINS, BINS)[col]
         got = least[row, probe]
         full = got != empty
         out[row[full], col[full]] = got[full]
@@ -91,14 +124,22 @@ def line_bands(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
         for r in range(ROWS):
             key = B.mix(key * np.uint64(0xD6E8FEB86659FD93) + out[:, b * ROWS + r])
         keys[:, b] = key
-    return keys
+    code = ((out >> np.uint64(20)) & np.uint64(15)).astype(np.uint8)
+    return keys, code[:, 0::2] | (code[:, 1::2] << 4)
+
+
+def alike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Estimated resemblance of signature rows, corrected for the minima that agree by chance (1 in 16)."""
+    x = one ^ two
+    same = (((x & 15) == 0).sum(1, dtype=np.int64) + ((x >> 4) == 0).sum(1, dtype=np.int64)) / BINS
+    return (16 * same - 1) / 15
 
 
 def _slices(batch):
     """(ids, original bytes, lower-cased bytes, offsets, start, end, document, number, line key)."""
     ids = long_column(batch, "doc_id")
     buf, offs = B.text_buffer(batch.column("text"))
-    for i, j in B.slices(offs):
+    for i, j in B.slices(offs, SLICE):
         o = offs[i:j + 1] - offs[i]
         low = B.LOWER[buf[offs[i]:offs[j]]]
         s, e, doc, number = lines_of(low, o)
@@ -106,9 +147,10 @@ def _slices(batch):
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``line, n, doc_id, number, keys``: distinct lines of each slice of documents, how often they
-    occur there, their first occurrence, and (for lines of more than one shingle) band keys."""
-    names = ["line", "n", "doc_id", "number", "keys"]
+    """``line, n, doc_id, number, keys, sig``: distinct lines of each slice of documents, how often they
+    occur there, their first occurrence, signature and band keys (none for a line shorter than a
+    shingle, which only equals itself)."""
+    names = ["line", "n", "doc_id", "number", "keys", "sig"]
 
     def kernel(batch):
         parts = []
@@ -117,19 +159,24 @@ def line_table(docs: DataFrame) -> DataFrame:
             lead = np.ones(len(order), bool)
             lead[1:] = h[order[1:]] != h[order[:-1]]
             at = np.flatnonzero(lead)
-            one = order[at]
-            one = one[np.argsort(s[one])]
-            count = dict(zip(h[order[at]].tolist(), np.diff(np.append(at, len(order))).tolist()))
+            one, count = order[at], np.diff(np.append(at, len(order)))
+            by_place = np.argsort(s[one])
+            one, count = one[by_place], count[by_place]
             hs, line = line_shingles(low, s[one], e[one])
-            keys = line_bands(hs, line, len(one))
-            many = np.bincount(line, minlength=len(one)) > 1
-            first = np.concatenate([[0], np.cumsum(np.where(many, BANDS, 0))])
+            keys, sig = line_bands(hs, line, len(one))
+            banded = np.bincount(line, minlength=len(one)) > 1
+            banded |= e[one] - s[one] >= 4 * SHINGLE  # (so many bytes are a shingle at least)
+            short = np.flatnonzero(~banded)
+            data = low.tobytes()
+            banded[short] = [len(data[s[k]:e[k]].decode("utf-8", "replace")) >= SHINGLE for k in one[short]]
+            first = np.concatenate([[0], np.cumsum(np.where(banded, BANDS, 0))])
             parts.append(pa.RecordBatch.from_arrays([
-                pa.array(h[one].view(np.int64)), pa.array([count[x] for x in h[one].tolist()], pa.int64()), pa.array(ids[doc[one]]),
-                pa.array(number[one].astype(np.int64)), long_lists(keys[many].view(np.int64).ravel(), first)], names))
+                pa.array(h[one].view(np.int64)), pa.array(count.astype(np.int64)), pa.array(ids[doc[one]]),
+                pa.array(number[one].astype(np.int64)),
+                long_lists(keys[banded].view(np.int64).ravel(), first), binary_rows(sig)], names))
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else None
 
-    return docs.mapInArrow(by_batch(kernel), "line long, n long, doc_id long, number long, keys array<long>")
+    return docs.mapInArrow(by_batch(kernel), "line long, n long, doc_id long, number long, keys array<long>, sig binary")
 
 
 def line_texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -155,6 +202,19 @@ def _sets(column):
     return v, B.first_of_doc(d, len(offs) - 1)
 
 
+def likely_pairs(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures can belong to a resemblance of ``percent``: no text is moved
+    for the others."""
+    def kernel(batch):
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ga", "gb"))
+        keep = pa.array(np.flatnonzero(100 * alike(one, two) >= percent - 100 * SLACK))
+        return pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+    t = pairs.join(lines.select(F.col("line").alias("a"), F.col("sig").alias("ga")), "a")
+    t = t.join(lines.select(F.col("line").alias("b"), F.col("sig").alias("gb")), "b")
+    return t.select("a", "b", "ga", "gb").mapInArrow(by_batch(kernel), "a long, b long")
+
+
 def _alike(x, y, percent):
     if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
@@ -175,47 +235,30 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return t.select("a", "b", "ta", "tb").mapInArrow(by_batch(kernel), "a long, b long")
 
 
-def shared_counts(v: np.ndarray, first: np.ndarray, columns: int = 4096) -> np.ndarray:
-    """(lines x lines) sizes of the intersections of all sets: products of the 0/1 matrix of lines
-    and shingles, a bounded number of shingles at a time; shingles of one line only are left out."""
-    m = len(first) - 1
-    rows = np.repeat(np.arange(m), np.diff(first))
-    _, col, count = np.unique(v, return_inverse=True, return_counts=True)
-    rows, col = rows[count[col] > 1], col[count[col] > 1]
-    _, col = np.unique(col, return_inverse=True)
-    order = np.argsort(col, kind="stable")
-    rows, col = rows[order], col[order]
-    out = np.zeros((m, m), np.int64)
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
-        a, b = np.searchsorted(col, [lo, lo + columns])
-        part = np.zeros((m, columns), np.float32)
-        part[rows[a:b], col[a:b] - lo] = 1
-        out += (part @ part.T).astype(np.int64)
-    return out
-
-
-def _cross_links(percent: int):
-    """Group function over one block pair of one bucket: exact links between components, one for
-    each pair of components."""
+def _cross_pairs(percent: int):
+    """Group function over one block pair of one bucket: pairs of lines of different components whose
+    signatures can belong to a resemblance of ``percent``."""
     def run(pdf):
         import pandas as pd
 
-        v, first = _sets(pa.array(pdf["text"], pa.string()))
         line, comp, blk = pdf["line"].to_numpy(), pdf["comp"].to_numpy(), pdf["blk"].to_numpy()
-        size = np.diff(first)
-        both = shared_counts(v, first)
-        ok = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        ok &= comp[:, None] < comp[None, :]
-        if pdf["b1"].iloc[0] != pdf["b2"].iloc[0]:
-            ok &= blk[:, None] != blk[None, :]
-        i, j = np.nonzero(ok)
-        _, lead = np.unique(np.stack([comp[i], comp[j]], 1), axis=0, return_index=True)
-        i, j = i[lead], j[lead]
-        return pd.DataFrame({"a": np.minimum(line[i], line[j]), "b": np.maximum(line[i], line[j])})
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        apart = pdf["b1"].iloc[0] != pdf["b2"].iloc[0]
+        values, counts = np.unique(comp, return_counts=True)
+        main = values[np.argmax(counts)]
+        out = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(comp != main):  # every cross-component pair has a member outside the largest
+            other = (comp != comp[i]) & ((comp == main) | (line > line[i]))
+            if apart:
+                other &= blk != blk[i]
+            j = np.flatnonzero(other)
+            j = j[100 * alike(sig[i:i + 1], sig[j]) >= percent - 100 * SLACK]
+            out.append(np.stack([np.minimum(line[i], line[j]), np.maximum(line[i], line[j])], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
     return run
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80, block: int = 512, filter_bits: int = 22) -> DataFrame:
+def duplicate_lines(docs: DataFrame, percent: int = 80, block: int = 2048, filter_bits: int | None = None) -> DataFrame:
     """``doc_id, number`` of every line occurrence that goes."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lines = materialise(line_table(docs), "lines")
@@ -232,11 +275,19 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, block: int = 512, filter
 
     members = materialise(lines.select("line", "keys").mapInArrow(by_batch(in_buckets), "key long, line long")
                           .join(buckets, "key").distinct(), "members")
-    candidates = members.select("line").distinct()
-    texts = materialise(line_texts(docs, bit_filter(candidates, "line", filter_bits)).join(candidates, "line", "left_semi")
-                        .groupBy("line").agg(F.min("text").alias("text")), "texts")
+    candidates = materialise(members.select("line").distinct(), "candidates")
+    likely_line = bit_filter(candidates, "line", filter_bits)
+
+    def own_signature(batch):
+        return batch.filter(pa.array(passes(likely_line, batch.column("line").to_numpy())))
+
+    sigs = materialise(lines.select("line", "sig").mapInArrow(by_batch(own_signature), "line long, sig binary")
+                       .join(candidates, "line", "left_semi").groupBy("line").agg(F.min("sig").alias("sig")), "sigs")
     star = members.where("line <> low").select(F.col("low").alias("a"), F.col("line").alias("b")).distinct()
+    star = materialise(likely_pairs(star, sigs, percent), "pairs")
+    texts = _texts_of(docs, star, filter_bits)
     links = materialise(confirm(star, texts, percent), "links")
+    release(star, texts)
     comp = components(links)
     # (all pairs with a bucket's least line are decided: only its other members can still differ)
     tagged = (members.where("line <> low").join(comp.select(F.col("v").alias("line"), "root"), "line", "left")
@@ -245,8 +296,11 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, block: int = 512, filter
              .where("c1 < c2").select("key", F.ceil(F.col("size") / block).cast("int").alias("n_blk")))
     rest = tagged.join(still, "key").withColumn("blk", F.pmod(F.xxhash64("line"), F.col("n_blk")).cast("int"))
     rest = (rest.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("o"))
-            .select("key", "line", "comp", "blk", F.least("blk", "o").alias("b1"), F.greatest("blk", "o").alias("b2")).join(texts, "line"))
-    more = materialise(rest.groupBy("key", "b1", "b2").applyInPandas(_cross_links(percent), "a long, b long").distinct(), "links")
+            .select("key", "line", "comp", "blk", F.least("blk", "o").alias("b1"), F.greatest("blk", "o").alias("b2")).join(sigs, "line"))
+    cross = materialise(rest.groupBy("key", "b1", "b2").applyInPandas(_cross_pairs(percent), "a long, b long").distinct(), "pairs")
+    texts = _texts_of(docs, cross, filter_bits)
+    more = materialise(confirm(cross, texts, percent), "links")
+    release(cross, texts, sigs, buckets, members, candidates)
     final = components(links.unionByName(more))
     # owners: the first occurrence in each component of the lines that occur more than once or have links
     once = lines.groupBy("line").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "number")).alias("at"))
@@ -256,19 +310,27 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, block: int = 512, filter
     owners = grouped.groupBy("root").agg(F.min("at").alias("at"))
     owner_of = materialise(grouped.select("line", "root").join(owners, "root")
                            .select("line", F.col("at.doc_id").alias("own_doc"), F.col("at.number").alias("own_number")), "owners")
-    likely_line = bit_filter(owner_of, "line", filter_bits)
+    release(lines, links, more, comp, final, grouped)
+    owned = bit_filter(owner_of, "line", filter_bits)
 
     def occurrences(batch):
         out = [(np.zeros(0, np.int64),) * 3]
         for ids, _, _, _, _, doc, number, h in _slices(batch):
-            keep = np.flatnonzero(passes(likely_line, h.view(np.int64)))
+            keep = np.flatnonzero(passes(owned, h.view(np.int64)))
             out.append((ids[doc[keep]], number[keep].astype(np.int64), h[keep].view(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["doc_id", "number", "line"])
 
     seen = docs.mapInArrow(by_batch(occurrences), "doc_id long, number long, line long")
-    gone = (seen.join(owner_of, "line").where("doc_id <> own_doc or number <> own_number").select("doc_id", "number"))
-    release(lines, buckets, members, texts)
-    return gone
+    return seen.join(owner_of, "line").where("doc_id <> own_doc or number <> own_number").select("doc_id", "number")
+
+
+def _texts_of(docs: DataFrame, pairs: DataFrame, filter_bits: int | None) -> DataFrame:
+    """``line, text`` of the lines of the pairs."""
+    ends = materialise(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "ends")
+    found = line_texts(docs, bit_filter(ends, "line", filter_bits)).join(ends, "line", "left_semi")
+    out = materialise(found.groupBy("line").agg(F.min("text").alias("text")), "texts")
+    release(ends)
+    return out
 
 
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
@@ -277,15 +339,25 @@ def dropped_lines(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the duplicate lines cut out of ``text``; all rows and columns stay."""
-    gone = dropped_lines(docs, **options).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    t = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").select(*(docs[c] for c in docs.columns), "_dropped")
+    """``docs`` with the duplicate lines cut out of ``text``; all rows and columns stay.  Only documents
+    that may lose a line (a bit filter tells) meet the join with the lines that go."""
+    gone = materialise(dropped_lines(docs, **options).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped")), "dropped")
+    losing = bit_filter(gone, "_id")
+
+    def pick(inside: bool):
+        def kernel(batch):
+            named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            return batch.filter(pa.array((passes(losing, long_column(batch, "doc_id")) & named) == inside))
+        return docs.mapInArrow(by_batch(kernel), docs.schema)
+
+    maybe = pick(True)
+    t = maybe.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").select(*(maybe[c] for c in docs.columns), "_dropped")
     names = list(docs.columns)
     where = names.index("text")
 
     def kernel(batch):
-        texts, gone = batch.column("text").to_pylist(), batch.column("_dropped").to_pylist()
-        for k, drop in enumerate(gone):
+        texts, lost = batch.column("text").to_pylist(), batch.column("_dropped").to_pylist()
+        for k, drop in enumerate(lost):
             if drop and texts[k]:
                 drop = set(drop)
                 texts[k] = "\n".join(x for n, x in enumerate(texts[k].split("\n")) if n not in drop)
@@ -293,7 +365,7 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
         cols[where] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(cols, names)
 
-    return t.mapInArrow(by_batch(kernel), docs.schema)
+    return pick(False).unionByName(t.mapInArrow(by_batch(kernel), docs.schema))
 
 
 def line_counts(docs: DataFrame) -> DataFrame:

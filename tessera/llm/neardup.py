@@ -193,7 +193,7 @@ def _cross_pairs(bands: int, least: float):
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = 12, rows: int = 4,
-                    slack: float = 0.05, block: int = 2048, filter_bits: int = 22) -> DataFrame:
+                    slack: float = 0.05, block: int = 2048, filter_bits: int | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document of ``docs``."""
     sig = materialise(signatures(docs, words, bands, rows), "signatures")
     least = percent / 100 - slack

@@ -76,7 +76,7 @@ def test_groups_chains_and_blocks(sp):
     rows += [(100 + i, base.upper() + "\n  " + base) for i in range(30)]
     df = sp.createDataFrame(rows, "doc_id long, text string")
     want, _ = brute(rows)
-    assert gone(df, block=8) == want and len(want) > 60
+    assert gone(df, block=8) == gone(df, filter_bits=10) == want and len(want) > 60
     left = {r.doc_id: r.text for r in L.drop_lines(df).collect()}
     assert left[0] == rows[0][1] and left[100] == "" and left[1].startswith("unique line")
 
@@ -96,6 +96,35 @@ def test_one_changed_character_in_short_lines(sp):
     assert got <= want and len(want) >= 0.98 * 600 and len(got) >= 0.97 * 600
 
 
+def test_lines_of_one_shingle(sp):
+    rows = [(1, "----"), (2, "-----"), (3, "--------"), (4, "---"), (5, "---"), (6, "--"), (7, "\u00e4\u00e4\u00e4\u00e4"), (8, "\u00e4" * 9)]
+    want, _ = brute(rows)
+    assert gone(sp.createDataFrame(rows, "doc_id long, text string")) == want == {(2, 0), (3, 0), (5, 0), (8, 0)}
+
+
+def test_every_shingle_of_every_line():
+    g = random.Random(9)
+    texts = ["".join(g.choice("ab\u00e4\u20ac\U0001f600 ") for _ in range(g.randrange(1, 14))) for _ in range(400)]
+    buf, offs = B.text_buffer(pa.array(texts))
+    h, line = L.line_shingles(buf, offs[:-1], offs[1:])
+    of = {}
+    for k, text in enumerate(texts):
+        mine = h[line == k].tolist()
+        assert len(mine) == max(1, len(text) - L.SHINGLE + 1)
+        for at, value in enumerate(mine):
+            assert of.setdefault(text[at:at + L.SHINGLE], value) == value
+    assert len(set(of.values())) == len(of)
+
+
+def test_very_long_texts(sp):
+    g = random.Random(6)
+    lines = [" ".join(f"{g.randrange(10 ** 6):x}" for _ in range(20)) for _ in range(25000)]
+    rows = [(1, "\n".join(lines)), (2, lines[7] + "\n" + lines[24999] + "\nonly here"), (3, "z" * 3_000_000), (4, "z" * 3_000_000)]
+    assert len(rows[0][1]) > 2_500_000
+    got = gone(sp.createDataFrame(rows, "doc_id long, text string"))
+    assert {(2, 0), (2, 1), (4, 0)} <= got and (2, 2) not in got and (3, 0) not in got
+
+
 def test_odd_rows(sp, odd, none):
     got = L.drop_lines(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
