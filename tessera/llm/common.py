@@ -152,19 +152,34 @@ def long_column(batch: pa.RecordBatch, name: str, null: int = -1) -> np.ndarray:
     return batch.column(name).cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
 
 
-def without(docs: DataFrame, ids: DataFrame, bits: int | None = None) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids`` (a bit filter lets most texts pass without a
-    shuffle; only rows it may hold meet the exact anti-join).  Rows without an id stay."""
-    ids = ids.select(F.col("doc_id").cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    ids = materialise(ids, "ids")
-    likely = bit_filter(ids, "_id", bits)
-
+def split_by(docs: DataFrame, ids: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id a ``bit_filter`` may hold, the other rows); rows without an id are others."""
     def pick(inside: bool):
         def kernel(batch):
             named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            return batch.filter(pa.array((passes(likely, long_column(batch, "doc_id")) & named) == inside))
+            return batch.filter(pa.array((passes(ids, long_column(batch, "doc_id")) & named) == inside))
         return docs.mapInArrow(by_batch(kernel), docs.schema)
 
-    maybe = pick(True)
+    return pick(True), pick(False)
+
+
+def without(docs: DataFrame, ids: DataFrame, bits: int | None = None) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids`` (a bit filter lets most texts pass without a
+    shuffle; only rows it may hold meet the exact anti-join).  Rows without an id stay."""
+    ids = ids.select(F.col("doc_id").cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    ids = materialise(ids, "ids")
+    maybe, others = split_by(docs, bit_filter(ids, "_id", bits))
     kept = maybe.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    return pick(False).unionByName(kept)
+    return others.unionByName(kept)
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id: of several the least by all columns, in order of the columns.  Only rows
+    of repeated ids are shuffled.  Rows without an id stay."""
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    ids = materialise(ids.where("n > 1").select("_id"), "ids")
+    maybe, others = split_by(docs, bit_filter(ids, "_id"))
+    same = F.col("doc_id").cast("long") == F.col("_id")
+    least = (maybe.join(ids, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+             .select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
+    return others.unionByName(maybe.join(ids, same, "left_anti")).unionByName(least)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytescan as B
-from tessera.llm.common import binary_rows, bit_filter, by_batch, long_column, long_lists, materialise, passes, prepare, release, table
+from tessera.llm.common import binary_rows, bit_filter, by_batch, long_column, long_lists, materialise, passes, prepare, release, split_by, table
 from tessera.llm.components import components
 
 NAME = "op5_fuzzy_lines"
@@ -235,26 +235,72 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return t.select("a", "b", "ta", "tb").mapInArrow(by_batch(kernel), "a long, b long")
 
 
-def _cross_pairs(percent: int):
-    """Group function over one block pair of one bucket: pairs of lines of different components whose
-    signatures can belong to a resemblance of ``percent``."""
-    def run(pdf):
-        import pandas as pd
-
-        line, comp, blk = pdf["line"].to_numpy(), pdf["comp"].to_numpy(), pdf["blk"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        apart = pdf["b1"].iloc[0] != pdf["b2"].iloc[0]
-        values, counts = np.unique(comp, return_counts=True)
-        main = values[np.argmax(counts)]
-        out = [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero(comp != main):  # every cross-component pair has a member outside the largest
-            other = (comp != comp[i]) & ((comp == main) | (line > line[i]))
-            if apart:
-                other &= blk != blk[i]
-            j = np.flatnonzero(other)
-            j = j[100 * alike(sig[i:i + 1], sig[j]) >= percent - 100 * SLACK]
-            out.append(np.stack([np.minimum(line[i], line[j]), np.maximum(line[i], line[j])], 1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+def cross_pairs(end: np.ndarray, line: np.ndarray, comp: np.ndarray, blk: np.ndarray, apart: np.ndarray, sig: np.ndarray,
+                least: float, large: int = 256) -> np.ndarray:
+    """Row pairs of the same group (``end``: where each row's group ends) whose components differ, whose
+    blocks differ where ``apart``, and whose signatures estimate ``least`` or more.  Small groups
+    are compared all at once, neighbour by neighbour; in a large one only rows outside its
+    largest component meet the others."""
+    out = [np.zeros((0, 2), np.int64)]
+
+    def keep(i, j):
+        ok = (comp[i] != comp[j]) & (~apart[i] | (blk[i] != blk[j]))
+        i, j = i[ok], j[ok]
+        ok = alike(sig[i], sig[j]) >= least
+        out.append(np.stack([i[ok], j[ok]], 1))
+
+    row = np.arange(len(end))
+    begin = np.searchsorted(end, end)  # (a group's rows share their end, so its first row is the first with it)
+    size = end - begin
+    step, left = 1, row[(size <= large) & (row + 1 < end)]
+    while len(left):
+        keep(left, left + step)
+        step += 1
+        left = left[left + step < end[left]]
+    for first in np.unique(begin[size > large]):
+        group = np.arange(first, end[first])
+        values, counts = np.unique(comp[group], return_counts=True)
+        main = comp[group] == values[np.argmax(counts)]
+        for i in group[~main]:  # every cross-component pair has a member outside the largest
+            j = group[main | (line[group] > line[i])]
+            keep(np.full(len(j), i), j)
+    i, j = np.concatenate(out).T
+    return np.stack([np.minimum(line[i], line[j]), np.maximum(line[i], line[j])], 1)
+
+
+def _cross_partitions(percent: int, rows: int = 1 << 14):
+    """``cross_pairs`` over a partition sorted by (key, b1, b2), some ``rows`` at a time; a group is never
+    cut, and holds about two blocks of lines at most."""
+    names = ["key", "b1", "b2", "line", "comp", "blk"]
+
+    def run(batches):
+        held, count = [], 0
+
+        def work(last: bool):
+            t = pa.Table.from_batches(held)
+            c = {n: t.column(n).to_numpy() for n in names}
+            new = np.ones(t.num_rows, bool)
+            new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["b1"][1:] != c["b1"][:-1]) | (c["b2"][1:] != c["b2"][:-1])
+            first = np.flatnonzero(new)
+            stop = t.num_rows if last else int(first[-1])
+            end = np.append(first, t.num_rows)[np.searchsorted(first, np.arange(stop), "right")]
+            sig = np.frombuffer(b"".join(t.column("sig").slice(0, stop).to_pylist()), np.uint8).reshape(stop, BINS // 2)
+            cut = {n: v[:stop] for n, v in c.items()}
+            pairs = cross_pairs(end, cut["line"], cut["comp"], cut["blk"], cut["b1"] != cut["b2"], sig, percent / 100 - SLACK)
+            pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]), t.slice(stop)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= rows:
+                out, rest = work(False)
+                held, count = rest.to_batches(), min(rest.num_rows, rows // 2)
+                yield out
+        if held:
+            yield work(True)[0]
+
     return run
 
 
@@ -297,7 +343,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, block: int = 2048, filte
     rest = tagged.join(still, "key").withColumn("blk", F.pmod(F.xxhash64("line"), F.col("n_blk")).cast("int"))
     rest = (rest.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("o"))
             .select("key", "line", "comp", "blk", F.least("blk", "o").alias("b1"), F.greatest("blk", "o").alias("b2")).join(sigs, "line"))
-    cross = materialise(rest.groupBy("key", "b1", "b2").applyInPandas(_cross_pairs(percent), "a long, b long").distinct(), "pairs")
+    rest = (rest.select("key", "b1", "b2", "line", "comp", "blk", "sig")
+            .repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2", "line"))
+    cross = materialise(rest.mapInArrow(_cross_partitions(percent), "a long, b long").distinct(), "pairs")
     texts = _texts_of(docs, cross, filter_bits)
     more = materialise(confirm(cross, texts, percent), "links")
     release(cross, texts, sigs, buckets, members, candidates)
@@ -342,15 +390,7 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the duplicate lines cut out of ``text``; all rows and columns stay.  Only documents
     that may lose a line (a bit filter tells) meet the join with the lines that go."""
     gone = materialise(dropped_lines(docs, **options).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped")), "dropped")
-    losing = bit_filter(gone, "_id")
-
-    def pick(inside: bool):
-        def kernel(batch):
-            named = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            return batch.filter(pa.array((passes(losing, long_column(batch, "doc_id")) & named) == inside))
-        return docs.mapInArrow(by_batch(kernel), docs.schema)
-
-    maybe = pick(True)
+    maybe, others = split_by(docs, bit_filter(gone, "_id"))
     t = maybe.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").select(*(maybe[c] for c in docs.columns), "_dropped")
     names = list(docs.columns)
     where = names.index("text")
@@ -365,7 +405,7 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
         cols[where] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(cols, names)
 
-    return pick(False).unionByName(t.mapInArrow(by_batch(kernel), docs.schema))
+    return others.unionByName(t.mapInArrow(by_batch(kernel), docs.schema))
 
 
 def line_counts(docs: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def test_scores_do_not_depend_on_what_the_table_holds(sp):
 def test_all_next_bytes_sum_to_one(sp):
     docs = sp.createDataFrame([(1, "abc abd abc xyz"), (2, "abc é")], "doc_id long, text string")
     d = docs.selectExpr("*", "true as train")
-    counts = M.count_corpus(d).cache()
+    counts = M.count_corpus(d)
     tree = M.publish(M.grow_tree(counts.where("kind = 1").select("key", "n")))
     for past in (b"    ", b"   a", b"  ab", b"zzzz"):
         gram = (int.from_bytes(past, "big") << 8) | np.arange(256)
