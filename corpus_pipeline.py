@@ -3,12 +3,19 @@
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and returns
 the columns of ``documents``; the last returns the packed pieces.  ``run`` writes each stage's
 rows as Parquet into the shared checkpoint folder and reads them back for the next.
+
+Nulls and edge cases: rows without an id pass every stage but packing unchanged; a null or empty text is
+no document to drop (it scores as clean, has no lines, no shingles and no overlap) and packs to
+its end id alone; a text whose lines all go becomes empty and stays; rows that repeat an id are one document
+up to near-dedup, where one row of each id stays (the least by all columns) and the others go; of
+equal lines or texts the occurrence of the least id stays; extra columns stay to the end of the
+fourth stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from tessera.llm import decontam, linededup, neardup, packing, tokenids, toxicity
-from tessera.llm.common import materialise, prepare, release, table, without
+from tessera.llm.common import materialise, one_row_each, prepare, release, table, without
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -25,10 +32,10 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays (five-word shingles, Jaccard 0.8)."""
+    """One document of each near-duplicate group stays (five-word shingles, Jaccard 0.8), in one row."""
     prepare(spark)
     groups = neardup.near_duplicates(docs, words=5, percent=80, bands=16)
-    return without(docs, groups.where("not kept"))
+    return one_row_each(without(docs, groups.where("not kept")))
 
 
 def drop_contaminated(spark, docs, sf_dir):
