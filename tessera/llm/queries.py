@@ -8,7 +8,7 @@ import corpus_pipeline
 
 # One module for each operator; each has NAME, query(spark, sf_dir) and ORACLE_SQL (or None).
 MODULES = ["chat", "quality", "langid", "toxicity", "linededup", "tokenbin", "ctw", "decontam", "packing", "neardup",
-           "subword", "periodic"]
+           "spelling", "subword", "periodic"]
 
 
 def _modules():
