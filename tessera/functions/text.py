@@ -91,9 +91,9 @@ def _lit(a: str, b: str = "") -> Step:
 STRIP = Step("strip")
 
 LIGHT_STEPS: tuple[Step, ...] = (
-    _re(r" \(" + DIGIT + r"+\)"),                      # numbers in brackets
-    _re(DIGIT + r"+:+" + DIGIT + r"+-"),              # scores like 2:3-Sieg
-    _re(r"\(+" + DIGIT + r"+:+" + DIGIT + r"\)+"),    # scores in brackets
+    _re(r" \(" + DIGIT + r"+\)"),  # a bracketed number after a blank
+    _re(DIGIT + r"+:+" + DIGIT + r"+-"),  # two numbers with a colon, up to a hyphen
+    _re(r"\(+" + DIGIT + r"+:+" + DIGIT + r"\)+"),  # number, colon, one digit, bracketed
     _re(char_class(LIGHT_DELETED_SYMBOLS)),             # odd symbols
     *[_re(nocase(p)) for p in LIGHT_BRAND_PHRASES],
     _re(nocase(STANDARD_SITE[0]), STANDARD_SITE[1]),
@@ -113,7 +113,7 @@ LIGHT_STEPS: tuple[Step, ...] = (
     _lit("\xa0"), _lit("\xad"), _lit("\u2005"),          # nbsp, soft hyphen, 1/4 em space
     _lit("\u2009", " "),                                # thin space
     _lit(" . ", ". "),
-    _re("(" + WORD + "+)/(" + WORD + "+)", r"\1 \2"),  # Potsdam/Brandenburg
+    _re("(" + WORD + "+)/(" + WORD + "+)", r"\1 \2"),  # a slash between words
     _lit("\u27a1\ufe0f"),                               # arrow emoji
     _lit("  ", " "),
     _re(WS + "+", " "),

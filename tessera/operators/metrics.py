@@ -134,12 +134,14 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str, metric: str = "euc
 
 
 def pair_similarity(df: DataFrame, a: str, b: str, threshold: float = 0.0) -> DataFrame:
-    """M5: cosine of each vector pair: mean, spread and share at or above
-    ``threshold`` (all pairs are positives, so this is the accuracy).  Only
-    bounded-state aggregates: no exact quantile of a continuous value."""
+    """M5: cosine of each vector pair: mean, spread, median and share at or above
+    ``threshold`` (all pairs are positives, so this is the accuracy).  Only bounded-state
+    aggregates: the median comes from a quantile summary whose rank is off by at most 1 / 10,000
+    of the pairs (exact below 10,000 pairs)."""
     cos = VF.cosine(F.col(a), F.col(b))
     per = df.select(cos.alias("cos"))
     return per.agg(F.round(F.avg("cos"), 6).alias("mean_cos"),
                    F.round(F.stddev_samp("cos"), 6).alias("std_cos"),
                    F.round(F.avg((F.col("cos") >= threshold).cast("double")), 6).alias("accuracy"),
-                   F.count(F.lit(1)).cast("bigint").alias("pairs"))
+                   F.count(F.lit(1)).cast("bigint").alias("pairs"),
+                   F.round(F.percentile_approx("cos", 0.5, 10_000), 6).alias("median_cos"))

@@ -210,8 +210,8 @@ def knn(df: DataFrame, k: int, key: str = "id", vec: str = "vec", block_rows: in
     if width is None:
         width = 0.25
     df = df.filter(F.col(vec).isNotNull())
-    # the layout feeds both passes and the bounds: store it once (checkpoint)
-    blocked = _with_blocks(df, key, vec, width, block_rows).checkpoint()
+    # the layout feeds both passes and the bounds: store it once
+    blocked = hold(_with_blocks(df, key, vec, width, block_rows), "blocks")
     blocks = _blocks(blocked)
     key_type = df.schema[key].dataType.simpleString()
     kk = int(k)

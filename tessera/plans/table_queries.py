@@ -124,15 +124,18 @@ def q_csv_articles(spark, base):
 
 @register("csv_skip_bad", _CSV_SQL)
 def q_csv_skip_bad(spark, base):
-    """The same file read with malformed rows skipped (a row with a bad flag is added to it)."""
+    """The same file with a row of a malformed flag for every document added, read with malformed
+    rows skipped: what is left is the reader's doing alone."""
     path = _article_csv(spark, base)
+    text = lambda x: F.lit(x).cast("string")
     bad = read_table(spark, base, "documents", ["doc_id"]).select(
-        F.concat_ws(",", F.col("doc_id"), F.lit("x,y,z,t,01/01/2024,d,not-a-flag")).alias("value"))
-    head = spark.range(1).select(F.lit("article_uid,cms_id,headline,seo_title,text,created_at,department,is_premium").alias("value"))
-    head.coalesce(1).unionByName(bad.coalesce(1)).coalesce(1).write.mode("append").text(path)
+        F.col("doc_id").cast("string").alias("article_uid"), text(None).alias("cms_id"), text("h").alias("headline"), text("s").alias("seo_title"),
+        text("t").alias("text"), text("01/01/2024 00:00:00").alias("created_at"), text("d").alias("department"), text("not-a-flag").alias("is_premium"))
+    bad.write.option("header", True).option("quoteAll", True).mode("append").csv(path)
     df = TB.read_articles(spark, path, drop_malformed=True)
-    # all columns are read, so that every malformed row is seen as such
-    return (df.filter(F.col("is_premium").isNotNull() & (F.col("text") != "t"))
+    # every column is asked for, so that every malformed row is seen as such
+    whole = F.struct(*df.columns).alias("row")
+    return (df.select(whole).select("row.*")
             .select("article_uid", F.trim("headline").alias("headline"), F.col("created_at").cast("timestamp_ntz").alias("created_at"), "is_premium"))
 
 

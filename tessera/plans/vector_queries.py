@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as VF
+from tessera.operators import ann
 from tessera.operators import cluster as C
 from tessera.operators import graph, metrics, pairs
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
 from tessera.sources import fixtures as FX
 from tessera.sources.tables import read_table
+from tessera.streaming.ingest import scratch
 
 # Parameters (SURVEY 7.4: eps 1.12 and min_samples 1 give real clusters on the
 # unit test vectors; 0.14 would give only noise).
@@ -126,7 +128,8 @@ def q_vector_pairs(spark, base):
     WITH p AS (SELECT list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cos
                FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
     SELECT round(avg(cos), 6) AS mean_cos, round(stddev_samp(cos), 6) AS std_cos,
-           round(avg(CASE WHEN cos >= 0.0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS pairs FROM p""")
+           round(avg(CASE WHEN cos >= 0.0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS pairs,
+           round(quantile_disc(cos, 0.5), 6) AS median_cos FROM p""")
 def q_pair_similarity(spark, base):
     """M5 on (k, k+1) vector pairs."""
     e = _emb(spark, base)
@@ -148,6 +151,58 @@ def q_knn(spark, base):
     return nn.select("src", "dst", F.round("dist", 6).alias("dist"), F.col("rank").cast("int").alias("rank"))
 
 
+@register("knn_approx_recall", """
+    SELECT least(5, n - 1) * n AS exact_pairs, true AS recall_reached FROM (SELECT count(*) AS n FROM embeddings)""")
+def q_knn_approx_recall(spark, base):
+    """Recall of the sorted-code LSH neighbours against the exact ones (0.9 or more)."""
+    e = _emb(spark, base).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    r = ann.recall(ann.approx_knn(e, K), pairs.knn(e, K))
+    return r.select("exact_pairs", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
+@register("knn_approx")
+def q_knn_approx(spark, base):
+    """Approximately the 5 nearest neighbours of every vector, in time linear in the vectors."""
+    e = _emb(spark, base).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return ann.approx_knn(e, K).select("src", "dst", F.round("dist", 6).alias("dist"), F.col("rank").cast("int").alias("rank"))
+
+
+_SEARCH_SQL = with_views(["article_vectors", "article_labels", "articles"], select=f"""
+    SELECT query, match, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank, a.headline, a.created_at FROM (
+      SELECT q.article_uid AS query, c.article_uid AS match,
+             list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score,
+             row_number() OVER (PARTITION BY q.article_uid ORDER BY
+               round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))), 7),
+               c.article_uid) AS rk
+      FROM (SELECT v.* FROM article_vectors v JOIN article_labels l USING (article_uid) WHERE l.topic_label = {TOPIC}) q
+      JOIN article_vectors c ON TRUE) s
+    JOIN articles a ON a.article_uid = s.match
+    WHERE rk <= 10""")
+
+
+def _cell_search(spark, base):
+    av = FX.article_vectors(spark, base).select("article_uid", "embedding")
+    index = ann.CellIndex.build(av, scratch(spark, "cells"), 32, "article_uid", "embedding")
+    q = av.join(FX.article_labels(spark, base).filter(F.col("topic_label") == TOPIC), "article_uid")
+    return index, *index.search(q, 10, "article_uid", "embedding")
+
+
+@register("semantic_search_index", _SEARCH_SQL)
+def q_semantic_search_index(spark, base):
+    """The same search answered from a stored cell index, exact by the triangle inequality."""
+    _, hits, _ = _cell_search(spark, base)
+    art = FX.articles(spark, base).select(F.col("article_uid").alias("match"), "headline", "created_at")
+    return hits.join(art, "match").select("query", "match", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"),
+                                          "headline", "created_at")
+
+
+@register("search_cells_read")
+def q_search_cells_read(spark, base):
+    """Cells stored, and how many of them each query of the search read."""
+    index, _, reads = _cell_search(spark, base)
+    return reads.withColumn("cells", index.cells.agg(F.count(F.lit(1))).scalar())
+
+
 @register("semantic_search", with_views(["article_vectors", "article_labels", "articles"], select=f"""
     SELECT query, match, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank, a.headline, a.created_at FROM (
       SELECT q.article_uid AS query, c.article_uid AS match,

@@ -9,12 +9,13 @@ from tessera.functions import text as TX
 
 LIGHT = [
     ("Alter (42) Mann", "Alter Mann"),
-    ("Der 3:0-Sieg war klar", "Der Sieg war klar"),
-    ("Ende (2:1) gut", "Ende gut"),
+    ("Ein 12:7-Erfolg zum Start", "Ein Erfolg zum Start"),
+    ("Pause (14:6) danach", "Pause danach"),
+    ("Pause (6:14) danach", "Pause 614 danach"),
     ("Mehr bei BILD.de heute", "Mehr bei heute"),
     ("Am 12.03.2021 passierte es!", "Am passierte es."),
     ("Zeile eins\nZeile zwei", "Zeile einsZeile zwei"),
-    ("Potsdam/Brandenburg", "Potsdam Brandenburg"),
+    ("Nord/Ost", "Nord Ost"),
     ("Preis 5 €", "Preis 5 EURO"),
     ("Hallo , ", "Hallo"),
     ("Er sagte „Ja“", "Er sagte Ja"),
