@@ -111,6 +111,41 @@ def q_ingest_new(spark, base):
     return out.select("article_uid", "composed")
 
 
+@register("ingest_dedup", """
+    SELECT event_id, event_type FROM events""")
+def q_ingest_dedup(spark, base):
+    """Events of two deliveries stored once each.  The first delivery repeats a third of its keys an
+    hour later (dropped within the watermark); the second sends them again 20 days later, when the
+    stream has forgotten them (caught by the stored keys)."""
+    ev = read_table(spark, base, "events", ["event_id", "ts", "event_type"])
+    early = ev.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    third = early.filter(F.col("event_id") % 3 == 0)
+    again = lambda after: third.withColumn("ts", F.col("ts") + F.expr(f"interval {after}"))
+    root = ST.scratch(spark, "deliveries")
+    for part in (early.unionByName(again("1 hour")), ev.join(early.select("event_id"), "event_id", "left_anti").unionByName(again("20 days"))):
+        part.write.mode("append").parquet(f"{root}/in")
+        out = ST.ingest_new(spark, f"{root}/in", ev.schema, f"{root}/store", lambda b: b, key="event_id", ts="ts", delay="1 day",
+                            checkpoint=f"{root}/progress")
+    return out.select("event_id", "event_type")
+
+
+@register("embed_stream", """
+    SELECT doc_id, true AS same FROM documents""")
+def q_embed_stream(spark, base):
+    """W1 with V7: every document's reduced vector, stored by the stream, equals the batch's."""
+    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    encoder = hold(EM.fit_encoder(docs), "encoder")
+    root = ST.scratch(spark, "embed-stream")
+    batch = hold(EM.apply_encoder(docs, encoder), "vectors")
+    model = EM.fit_reducer(batch, REDUCED_DIM)
+    model.write().overwrite().save(f"{root}/reducer")
+    got = ST.embed_stream(spark, f"{base}/documents.parquet", docs.schema, encoder, f"{root}/reducer", f"{root}/vectors", f"{root}/reduced")
+    want = EM.reduce(batch, model, "vec", "want").select("doc_id", "want")
+    near = F.forall(F.zip_with("reduced", "want", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x)
+    return want.join(got.select("doc_id", "reduced"), "doc_id", "left").select(
+        "doc_id", F.coalesce(near, F.col("reduced").isNull() & F.col("want").isNull()).alias("same"))
+
+
 @register("encoder_weights", f"""
     WITH d AS (SELECT count(*) AS n FROM documents),
          t AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{TX.WORD}{{2,}}'))) AS term FROM documents)

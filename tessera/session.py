@@ -121,3 +121,25 @@ def drop(*held) -> None:
             spark = df.sparkSession
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def bucketed(df, keys: list[str], name: str = "bucketed"):
+    """Store ``df`` once, bucketed and sorted by ``keys`` into as many buckets as a shuffle has partitions,
+    under the checkpoint folder: joins and groupings by the keys read it without an exchange.  Delete
+    it with ``drop_bucketed``."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tessera_{name}_{uuid.uuid4().hex}"
+    (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet")
+     .option("path", f"{checkpoint_dir(spark)}/tessera/{name}").saveAsTable(name))
+    out = spark.table(name)
+    out._bucketed = name
+    return out
+
+
+def drop_bucketed(df) -> None:
+    """Forget a table of ``bucketed`` and delete its files."""
+    spark, name = df.sparkSession, df._bucketed
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/tessera/{name}")
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, drop, hold
 from tessera.sources.tables import has_data, is_file
 
 EVENTS_SCHEMA = T.StructType([
@@ -99,19 +99,19 @@ def ingest_new(spark: SparkSession, source: str, schema: T.StructType, store: st
     ``transform(batch_df) -> DataFrame`` is the per-batch work (clean, embed,
     normalise ...).  Keys are de-duplicated within the watermark by the
     stream, and against everything already stored by an anti join, so a key
-    arriving later than the watermark is still caught.  Returns the stored
-    table."""
+    whose first row the stream has forgotten is still caught.  The state holds the keys of the
+    last ``delay`` only; a row older than the watermark is late and ignored.  Returns the stored table."""
     from tessera.sources.tables import append
 
     checkpoint = checkpoint or f"{store}_checkpoint"
     src = _file_stream(spark, source, schema, max_files_per_trigger)
     if ts is not None:
-        src = src.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+        src = src.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch).persist()
+        out = hold(transform(batch), "batch")  # once: the append reads it for its keys and its rows
         append(out, store, key)
-        out.unpersist()
+        drop(out)
 
     (src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
@@ -176,3 +176,20 @@ def embedding_flow(spark: SparkSession, docs: DataFrame, encoder: DataFrame, red
     append(EM.reduce(todo, PCAModel.load(reducer_path), "vec", "reduced").select(key, "reduced"), reduced_store, key)
     reduced = spark.read.parquet(reduced_store)
     return vectors.join(reduced, key, "left").select(key, F.size("vec").alias("dim"), "reduced")
+
+
+def embed_stream(spark: SparkSession, source: str, schema: T.StructType, encoder: DataFrame, reducer_path: str,
+                 vectors_store: str, reduced_store: str, key: str = "doc_id", text: str = "text",
+                 max_files_per_trigger: int | None = None, checkpoint: str | None = None) -> DataFrame:
+    """W1 with V7: ``embedding_flow`` for each micro-batch of new documents, so that every article has
+    its vector in one table and its reduced vector, under the same key, in the other."""
+    checkpoint = checkpoint or f"{vectors_store}_checkpoint"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        docs = hold(batch.select(key, text).dropDuplicates([key]), "batch")
+        embedding_flow(spark, docs, encoder, reducer_path, vectors_store, reduced_store, key, text)
+        drop(docs)
+
+    (_file_stream(spark, source, schema, max_files_per_trigger).writeStream.foreachBatch(handle)
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(vectors_store).join(spark.read.parquet(reduced_store), key, "left")
