@@ -6,7 +6,7 @@ damping 0.85 until no topic's ranks move by more than a tolerance, then the best
 max(1, floor(0.01 * distinct words)) words.  The graph is undirected, so the walk's eigenvalues are
 real and Chebyshev's semi-iteration takes about a third of the power method's rounds; ranks start at
 the words' shares of all edge weight, where an undirected walk without teleport ends.  Edges are
-stored once, bucketed by (topic, src): a round moves ranks and partial sums, never edges.  Some rounds
+stored once, bucketed by their source: a round moves ranks and partial sums, never edges.  Some rounds
 make one job, whose ranks are written and the ones before deleted.
 
 D7 ``topic_abstract``: the most central sentence of each topic.  Sentence
@@ -47,22 +47,23 @@ def pagerank(nodes: DataFrame, edges: DataFrame, topic: str = "topic_label", tol
     both directions.  Teleport is uniform within the topic; a word without edges keeps its teleport
     share.  Runs until the ranks' summed residual (what a plain round would move) is at most
     ``tolerance`` in every topic; raises if it never is."""
-    weight = edges.groupBy(topic, F.col("src").alias("word")).agg(F.sum("w").alias("ow"))
-    e = bucketed(edges.join(weight.withColumnRenamed("word", "src"), [topic, "src"])
-                 .select(topic, "src", "dst", (F.col("w") / F.col("ow")).alias("p")), [topic, "src"], "graph")
-    t = nodes.join(weight, [topic, "word"], "left")
+    number = lambda word: F.xxhash64(topic, word)  # noqa: E731  (rounds move 64-bit numbers, no words)
+    tied = edges.select(number("src").alias("src"), number("dst").alias("dst"), "w")
+    weight = tied.groupBy("src").agg(F.sum("w").alias("ow"))
+    e = bucketed(tied.join(weight, "src").select("src", "dst", (F.col("w") / F.col("ow")).alias("p")), ["src"], "graph")
+    t = nodes.select(topic, "word", number("word").alias("id")).join(weight.withColumnRenamed("src", "id"), "id", "left")
     total = t.groupBy(topic).agg(F.count(F.lit(1)).cast("double").alias("n"), F.count("ow").alias("tied"), F.sum("ow").alias("all"))
     start = F.coalesce(F.col("ow") / F.col("all") * F.col("tied") / F.col("n"), (1 - damping) / F.col("n"))
-    cur = hold(t.join(total, topic).select(topic, "word", "n", start.alias("y"), start.alias("was")), "ranks")
+    cur = hold(t.join(total, topic).select("id", topic, "n", start.alias("y"), start.alias("was")), "ranks")
     omega, rounds = 1.0, 0
     while rounds < max_rounds:
         t = cur
         for _ in range(rounds_per_job):
-            flow = (e.join(t.select(topic, F.col("word").alias("src"), "y"), [topic, "src"])
-                    .groupBy(topic, F.col("dst").alias("word")).agg(F.sum(F.col("p") * F.col("y")).alias("inflow")))
+            flow = (e.join(t.select(F.col("id").alias("src"), "y"), "src")
+                    .groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("y")).alias("inflow")))
             plain = (1 - damping) / F.col("n") + damping * F.coalesce("inflow", F.lit(0.0))
-            t = (t.select(topic, "word", "n", "y", "was").join(flow, [topic, "word"], "left")
-                 .select(topic, "word", "n", (omega * (plain - F.col("was")) + F.col("was")).alias("y"), F.col("y").alias("was"),
+            t = (t.select("id", topic, "n", "y", "was").join(flow, "id", "left")
+                 .select("id", topic, "n", (omega * (plain - F.col("was")) + F.col("was")).alias("y"), F.col("y").alias("was"),
                          F.abs(plain - F.col("y")).alias("residual")))
             omega = 1 / (1 - damping ** 2 * omega / (2 if rounds == 0 else 4))
             rounds += 1
@@ -72,7 +73,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, topic: str = "topic_label", tol
         cur = new
         if left is None or left <= tolerance:
             drop_bucketed(e)
-            return cur.select(topic, "word", F.col("y").alias("pr"))
+            return (nodes.select(topic, "word", number("word").alias("id")).join(cur.select("id", "y"), "id")
+                    .select(topic, "word", F.col("y").alias("pr")))
     raise RuntimeError(f"PageRank did not settle within {max_rounds} rounds")
 
 

@@ -15,9 +15,9 @@ from tessera.operators import embed as EM
 from tessera.plans import sqltext as SQ
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
-from tessera.session import hold
+from tessera.session import drop, hold
 from tessera.sources import fixtures as FX
-from tessera.sources.tables import read_table
+from tessera.sources.tables import deal, read_table
 from tessera.streaming import ingest as ST
 
 REDUCED_DIM = 32
@@ -91,20 +91,21 @@ def q_ingest_new(spark, base):
     from pyspark.sql import types as T
 
     schema = T._parse_datatype_string(_DOC_SCHEMA)
-    ev = read_table(spark, base, "events", ["event_id", "ts", "value"])
-
     def compose(batch):
-        art = batch.join(ev, batch.doc_id == ev.event_id, "left").select(
-            F.col("doc_id").alias("article_uid"), "text", "source")
+        art = deal(batch.select(F.col("doc_id").alias("article_uid"), "text", "source"), "article_uid")
         seo = F.concat(FX.first_line(F.col("text")), F.lit(" - "), F.col("source"), F.lit(FX.SEO_SUFFIX))
         return art.select("article_uid", TX.compose_text(seo, F.col("text")).alias("composed"))
 
     # the encoder is fitted once and stored: a vector never depends on the batch it came in
-    encoder = hold(EM.fit_encoder(compose(read_table(spark, base, "documents")), "composed"), "encoder")
-
-    def transform(batch):
-        comp = compose(batch)
-        return comp.join(EM.apply_encoder(comp, encoder, "article_uid", "composed"), "article_uid", "left")
+    composed = hold(compose(read_table(spark, base, "documents")), "composed")
+    encoder = hold(EM.fit_encoder(composed, "composed"), "encoder")
+    drop(composed)
+
+    def transform(batch):  # composed once, read for the terms and for the rows
+        comp = hold(compose(batch), "composed")
+        out = hold(comp.join(EM.apply_encoder(comp, encoder, "article_uid", "composed"), "article_uid", "left"), "batch")
+        drop(comp)
+        return out
 
     store = ST.scratch(spark, "ingest")
     out = ST.ingest_new(spark, f"{base}/documents.parquet", schema, store, transform, key="article_uid", ts=None)

@@ -8,6 +8,7 @@ from tessera.functions import text as TX
 from tessera.operators import embed as EM
 from tessera.operators import summaries as SM
 from tessera.plans.registry import register
+from tessera.session import hold
 from tessera.sources import fixtures as FX
 
 
@@ -35,6 +36,7 @@ def q_topic_abstract(spark, base):
     la = _labelled_articles(spark, base).filter(F.col("topic_label") != -1)
     sent = la.select("topic_label", "article_uid", F.posexplode(TX.sentences("text")).alias("pos", "sentence"))
     sent = sent.filter(F.col("sentence") != "").withColumn("sid", F.concat_ws(":", "article_uid", "pos"))
+    sent = hold(sent, "sentences")  # cut once, read for the encoder, its terms and the sentences themselves
     vec = EM.embed(sent.select("sid", F.col("sentence").alias("text")), key="sid")
     s = sent.join(vec, "sid")
     best = SM.topic_abstract(s, key="sid", order=("article_uid", "pos"))

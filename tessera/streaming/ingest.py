@@ -109,7 +109,9 @@ def ingest_new(spark: SparkSession, source: str, schema: T.StructType, store: st
         src = src.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        out = hold(transform(batch), "batch")  # once: the append reads it for its keys and its rows
+        out = transform(batch)
+        if not hasattr(out, "_held_path"):  # (a transform may hold its result itself)
+            out = hold(out, "batch")  # once: the append reads it for its keys and its rows
         append(out, store, key)
         drop(out)
 
