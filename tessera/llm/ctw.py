@@ -2,8 +2,8 @@
 
 The model reads a document as its lower-cased words, each followed by a blank, then a line end.
 Each byte is eight binary decisions (a node 1..255 of the byte's bit tree), and every node has
-its own context tree over the up to ``DEPTH`` bytes before it within the word (a word starts from
-a fresh context of blanks).  At each context the Krichevsky-Trofimov estimate of the node is
+its own context tree over the ``DEPTH`` bytes before it, which run on across blanks from word to word (a
+document starts from a context of blanks).  At each context the Krichevsky-Trofimov estimate of the node is
 mixed with the deeper contexts by the context-tree weights, computed in closed form from the
 training counts:  Pw = 1/2 Pe + 1/2 prod Pw(children),  weight of stopping = 1/2 Pe / Pw.
 A context the training text never showed is not mixed in: prediction stops above it.
@@ -12,13 +12,16 @@ Work in Spark: one pass counts words and byte (DEPTH+1)-grams, combined in each
 tree is summed up level by level (group by the context without its oldest byte).  No node is
 lost: those of at least a threshold count (at most 2**SLOTS, by a histogram of counts) are looked
 up by their exact keys in a broadcast table, and grams that it cannot decide are joined with the
-stored levels by (context, node), once for each distinct gram.  The base score needs exact counts of
+stored levels by (context, node), once for each distinct gram.  The tree does not change while it
+scores, so a byte's probability depends on its gram alone: a worker works each distinct gram out once.  The
+base score needs exact counts of
 all words: words of at least a threshold count (at most ``head`` of them) are looked up in a
 broadcast array, all others by a join on (document, word) rows.
 
 Nulls and edge cases: a null or empty text is its end token alone; a null id belongs to no fold
 (-1), so it trains; repeated rows are scored each; without training text every node predicts
-1/2 and the base has N = V = 0; an empty table gives no rows; extra columns are ignored.
+1/2 and the base has N = V = 0; a very long text is read in segments; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ from tessera.llm.common import by_batch, id_remainder, long_lists, materialise,
 NAME = "op7_context_tree"
 ORACLE_SQL = None  # tests hold it against a plain recursive context tree
 
-DEPTH = 4
+DEPTH = 4  # at most 6: a gram and its level fit a long
 SLOTS = 22
 END = b"\n"
+SEGMENT = 1 << 20  # bytes of a stream worked on at a time
+LEVEL = 8 * (DEPTH + 1)  # bits of (context, node) in a node's key, below its depth
 
 
 # ------------------------------------------------------------------ tokens
@@ -57,22 +62,32 @@ def _scan(batch, limit=1 << 22):
         yield i, j, text, s, e, doc, B.span_hashes(text, s, e)
 
 
-def word_stream(text: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """The model's bytes for the given tokens: (DEPTH+1)-grams as longs (oldest byte highest),
-    and the token each belongs to.  A word's stream is its bytes and a blank, the end's is itself."""
-    is_end = text[start] == END[0]
-    n = end - start + ~is_end
-    token = np.repeat(np.arange(len(start)), n)
-    k = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)  # place in the token's stream
-    last = k == np.repeat(end - start, n)
-    at = np.minimum(start[token] + k, len(text) - 1)
-    byte = np.where(last, 32, text[at]).astype(np.int64)
-    gram = byte.copy()
-    for d in range(1, DEPTH + 1):
-        older = np.full(len(byte), 32, np.int64)
-        older[d:] = byte[:-d]
-        gram |= np.where(k >= d, older, 32) << (8 * d)
-    return gram, token
+def grams_of(text: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, n_docs: int):
+    """(grams, documents) of the model's bytes, in segments: a (DEPTH+1)-gram as a long (oldest byte
+    highest) for each byte of each document's stream.  Tokens as ``_scan`` gives them, the end last."""
+    first = B.first_of_doc(doc, n_docs)
+    word = np.ones(len(start), bool)
+    word[first[1:] - 1] = False
+    # a stream is DEPTH blanks (the context it starts from), then each word and a blank, then the end
+    extra = np.cumsum(word) - word + DEPTH * (doc + 1)
+    inside = ~B.SEPARATOR[text]
+    inside[start[~word]] = True
+    at = np.flatnonzero(inside)
+    place = np.arange(len(at)) + np.repeat(extra, end - start)
+    size = len(at) + int(word.sum()) + DEPTH * n_docs
+    stream = np.full(size, 32, np.uint8)
+    stream[place] = text[at]
+    stop = place[(np.cumsum(end - start) - 1)[first[1:] - 1]] + 1
+    begin = np.concatenate([[0], stop[:-1]])
+    real = np.ones(size, bool)
+    real[(begin[:, None] + np.arange(DEPTH)).ravel()] = False
+    for i in range(DEPTH, size, SEGMENT):
+        j = min(i + SEGMENT, size)
+        gram = stream[i:j].astype(np.int64)
+        for d in range(1, DEPTH + 1):
+            gram |= stream[i - d:j - d].astype(np.int64) << (8 * d)
+        keep = np.flatnonzero(real[i:j])
+        yield gram[keep], np.searchsorted(stop, keep + i, "right")
 
 
 def _sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,30 +95,38 @@ def _sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(inv, weights=n, minlength=len(u)).astype(np.int64)
 
 
-def count_corpus(docs: DataFrame) -> DataFrame:
-    """``kind, key, n`` over rows with ``train``: 0: token hash, 1: byte gram; summed."""
+def count_corpus(docs: DataFrame, most: int = 1_500_000) -> DataFrame:
+    """``kind, key, n`` over rows with ``train``: 0: token hash, 1: byte gram; summed.  A task holds
+    about ``most`` distinct keys before it gives them on."""
     def run(batches):
         held, rows = {0: [], 1: []}, 0
 
-        def flush():
+        def merge():
             for kind, parts in held.items():
-                if parts:
-                    key, n = _sum_by(*(np.concatenate(x) for x in zip(*parts)))
+                held[kind] = [_sum_by(*(np.concatenate(x) for x in zip(*parts)))] if parts else []
+            return sum(len(key) for parts in held.values() for key, _ in parts)
+
+        def give():
+            for kind, parts in held.items():
+                for key, n in parts:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], ["kind", "key", "n"])
+                held[kind] = []
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for _, _, text, s, e, _, h in _scan(batch):
-                u, first, n = np.unique(h, return_index=True, return_counts=True)
-                gram, token = word_stream(text, s[first], e[first])
-                held[0].append((u.view(np.int64), n))
-                held[1].append(_sum_by(gram, n[token]))
-                rows += len(u)
-            if rows > 1_500_000:
-                yield from flush()
-                held, rows = {0: [], 1: []}, 0
-        yield from flush()
+            for i, j, text, s, e, doc, h in _scan(batch):
+                found = [(0, h.view(np.int64))] + [(1, gram) for gram, _ in grams_of(text, s, e, doc, j - i)]
+                for kind, keys in found:
+                    held[kind].append(np.unique(keys, return_counts=True))
+                    rows += len(held[kind][-1][0])
+            if rows > 2 * most:
+                rows = merge()
+                if rows > most:
+                    yield from give()
+                    rows = 0
+        merge()
+        yield from give()
 
     return (docs.where("train").select("text").mapInArrow(run, "kind int, key long, n long")
             .groupBy("kind", "key").agg(F.sum("n").alias("n")))
@@ -174,8 +197,8 @@ class TreeTable:
     def __init__(self, key: np.ndarray, one: np.ndarray, stop: np.ndarray, threshold: int = 1):
         order = np.argsort(key)
         self.key, self.one, self.stop = key[order], one[order], stop[order]
-        self.first = np.searchsorted(self.key, np.arange(DEPTH + 2) << 40)
-        self.whole = threshold <= 1
+        self.first = np.searchsorted(self.key, np.arange(DEPTH + 2) << LEVEL)
+        self.missing = 1.0 if threshold <= 1 else np.nan  # a node that is not here was never seen, or cannot be told
 
     def log10(self, gram: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         """log10 probability of each gram's last byte after its context; nan if that takes nodes
@@ -190,11 +213,11 @@ class TreeTable:
             alive = np.arange(len(gram))
             for d in range(depth + 1):
                 lo, hi = self.first[d], self.first[d + 1]
-                key = (d << 40) | ((past[alive] & ((1 << (8 * d)) - 1)) << 8) | node[alive]
+                key = (d << LEVEL) | ((past[alive] & ((1 << (8 * d)) - 1)) << 8) | node[alive]
                 at = lo + np.minimum(np.searchsorted(self.key[lo:hi], key), max(hi - lo - 1, 0))
                 seen = self.key[at] == key if hi > lo else np.zeros(len(key), bool)
                 gone, alive, at = alive[~seen], alive[seen], at[seen]
-                value[gone] += mass[gone] * p[gone] if self.whole else np.nan  # the context above predicts for what is left
+                value[gone] += mass[gone] * p[gone] * self.missing  # the context above predicts for what is left
                 here, stop = self.one[at], self.stop[at]
                 p[alive] = np.where(bit[alive] == 1, here, 1 - here)
                 value[alive] += mass[alive] * stop * p[alive]
@@ -208,7 +231,7 @@ def publish(levels: list[DataFrame], slots: int = SLOTS) -> TreeTable:
     top = len(levels) - 1
     rows = None
     for k, level in enumerate(levels):
-        part = level.select(F.expr(f"({top - k}L << 40) | (ctx << 8) | node").alias("key"), (F.col("n0") + F.col("n1")).alias("n"),
+        part = level.select(F.expr(f"({top - k}L << {LEVEL}) | (ctx << 8) | node").alias("key"), (F.col("n0") + F.col("n1")).alias("n"),
                             node_one().alias("one"), "stop")
         rows = part if rows is None else rows.unionByName(part)
     threshold = least_count(rows, 1 << slots)
@@ -238,51 +261,39 @@ def gram_scores(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return t.groupBy("key").agg(F.sum(F.log10("value")).alias("lg"))
 
 
-class TokenScores:
-    """log10 probabilities of tokens by hash; a worker remembers up to ``most`` of them."""
+class GramScores:
+    """log10 probabilities of grams; a worker remembers up to ``most`` of them."""
 
     def __init__(self, tree: TreeTable, most: int = 1_500_000):
         self.tree, self.most = tree, most
-        self.key, self.value, self.part = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
-
-    def of(self, h, text, start, end) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability of the grams that the table decides, whether others are left)."""
-        u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        pos = np.minimum(np.searchsorted(self.key, u), max(len(self.key) - 1, 0))
-        new = np.flatnonzero(self.key[pos] != u) if len(self.key) else np.arange(len(u))
-        value, part = np.zeros(len(u)), np.zeros(len(u), bool)
-        if len(self.key):
-            value, part = self.value[pos], self.part[pos]
-        for i in range(0, len(new), 50_000):
-            some = new[i:i + 50_000]
-            gram, token = word_stream(text, start[first[some]], end[first[some]])
-            grams, which = np.unique(gram, return_inverse=True)
-            logs = self.tree.log10(grams)[which]
-            value[some] = np.bincount(token, weights=np.nan_to_num(logs), minlength=len(some))
-            part[some] = np.bincount(token, weights=np.isnan(logs), minlength=len(some)) > 0
+        self.key, self.value = np.zeros(0, np.int64), np.zeros(0)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """Of distinct grams, ascending; nan where the table cannot decide."""
+        pos = np.searchsorted(self.key, grams)
+        known = np.zeros(len(grams), bool)
+        inner = pos < len(self.key)
+        known[inner] = self.key[pos[inner]] == grams[inner]
+        value = np.empty(len(grams))
+        value[known] = self.value[pos[known]]
+        new = np.flatnonzero(~known)
+        for i in range(0, len(new), 100_000):
+            some = new[i:i + 100_000]
+            value[some] = self.tree.log10(grams[some])
         if len(new) and len(self.key) + len(new) <= self.most:
-            key = np.concatenate([self.key, u[new]])
-            order = np.argsort(key)
-            self.key, self.value, self.part = key[order], np.concatenate([self.value, value[new]])[order], np.concatenate([self.part, part[new]])[order]
-        return value[inv], part[inv]
-
-    def left(self, text, start, end) -> tuple[np.ndarray, np.ndarray]:
-        """(gram, token) of the tokens' grams that the table cannot decide."""
-        gram, token = word_stream(text, start, end)
-        grams, which = np.unique(gram, return_inverse=True)
-        keep = np.isnan(self.tree.log10(grams))[which]
-        return gram[keep], token[keep]
+            self.key, self.value = np.insert(self.key, pos[new], grams[new]), np.insert(self.value, pos[new], value[new])
+        return value
 
 
-_workers: dict[int, TokenScores] = {}
+_workers: dict[int, GramScores] = {}
 
 
-def _scores(tree) -> TokenScores:
+def _scores(tree) -> GramScores:
     """The worker's scores for this broadcast table (one is kept)."""
     key = id(tree.value)
     if key not in _workers:
         _workers.clear()
-        _workers[key] = TokenScores(tree.value)
+        _workers[key] = GramScores(tree.value)
     return _workers[key]
 
 
@@ -324,20 +335,22 @@ def score_documents(docs: DataFrame, tree, head_h: np.ndarray, head_n: np.ndarra
             pos = np.minimum(np.searchsorted(head_h, h), max(len(head_h) - 1, 0))
             inside = head_h[pos] == h if len(head_h) else np.zeros(len(h), bool)
             c = np.where(inside, head_n[pos], 0) if len(head_h) else np.zeros(len(h), np.int64)
-            value, part = model.of(h, text, s, e)
             cols[0].append(B.reduce_docs(np.add, B.mix(h * (np.arange(len(h), dtype=np.uint64) - first[doc].astype(np.uint64) + np.uint64(1))), first, np.uint64(0)).view(np.int64))
             cols[1].append(np.diff(first))
             cols[2].append(np.bincount(doc[inside], minlength=n))
             cols[3].append(np.bincount(doc, weights=np.log10(c + 1.0), minlength=n))
-            cols[4].append(np.bincount(doc, weights=value, minlength=n))
             tails.append(_per_document(doc[~inside], h[~inside].view(np.int64), np.ones(int((~inside).sum()), np.int64), n))
-            open_ = np.flatnonzero(part)
-            u, at, inv = np.unique(h[open_], return_index=True, return_inverse=True)
-            gram, token = model.left(text, s[open_[at]], e[open_[at]])
-            own = B.first_of_doc(token, len(u))  # grams of each distinct token, dealt to its occurrences
-            sizes = np.diff(own)[inv]
-            which = np.repeat(own[inv] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            lefts.append(_per_document(np.repeat(doc[open_], sizes), gram[which], np.ones(len(which), np.int64), n))
+            score, open_ = np.zeros(n), [(np.zeros(0, np.int64),) * 2]
+            for gram, owner in grams_of(text, s, e, doc, n):
+                u, which = np.unique(gram, return_inverse=True)
+                value = model.of(u)
+                score += np.bincount(owner, weights=np.nan_to_num(value)[which], minlength=n)
+                if np.isnan(value).any():
+                    at = np.flatnonzero(np.isnan(value)[which])
+                    open_.append((owner[at], gram[at]))
+            cols[4].append(score)
+            owner, gram = (np.concatenate(x) for x in zip(*open_))
+            lefts.append(_per_document(owner, gram, np.ones(len(gram), np.int64), n))
         lists = []
         for parts in (tails, lefts):
             key, times, sizes = (np.concatenate(x) for x in zip(*parts))
@@ -357,8 +370,7 @@ def language_model(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, hea
     counts = materialise(count_corpus(docs), "counts")
     words = counts.where("kind = 0").select(F.col("key").alias("h"), "n")
     levels = grow_tree(counts.where("kind = 1").select("key", "n"))
-    held = publish(levels, slots)
-    tree = spark.sparkContext.broadcast(held)
+    tree = spark.sparkContext.broadcast(publish(levels, slots))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head_h, head_n, threshold = head_words(words, head)
     scored = materialise(score_documents(docs, tree, head_h, head_n), "scored")
@@ -369,18 +381,15 @@ def language_model(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, hea
             .groupBy("doc_id", "text_key").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("tail_logs"), F.sum("k").alias("tail_known")))
     left = (scored.select("doc_id", "text_key", F.explode(F.arrays_zip("grams", "gram_times")).alias("t"))
             .select("doc_id", "text_key", F.col("t.grams").alias("key"), F.col("t.gram_times").alias("k")))
-    if not held.whole:  # (else no gram is left)
-        known = materialise(gram_scores(left.select("key").distinct(), levels), "grams")
-        rest = left.join(known, "key").groupBy("doc_id", "text_key").agg(F.sum(F.col("k") * F.col("lg")).alias("rest_score"))
+    known = materialise(gram_scores(left.select("key").distinct(), levels), "grams")
+    rest = left.join(known, "key").groupBy("doc_id", "text_key").agg(F.sum(F.col("k") * F.col("lg")).alias("rest_score"))
     release(*levels)
     copies = scored.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n_tokens", "known", "logs", "score")))
     both = copies.alias("a").join(sums.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_key = b.text_key"), "left")
-    if not held.whole:
-        both = both.join(rest.alias("r"), F.expr("a.doc_id <=> r.doc_id and a.text_key = r.text_key"), "left")
-    rest_score = F.lit(0.0) if held.whole else F.coalesce(F.col("rest_score") / F.col("copies"), F.lit(0.0))
+    both = both.join(rest.alias("r"), F.expr("a.doc_id <=> r.doc_id and a.text_key = r.text_key"), "left")
     share = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
     size = float(np.log10(total + distinct + 1)) if total + distinct else 0.0
-    return (both.select("a.*", "tail_logs", "tail_known", rest_score.alias("rest_score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return (both.select("a.*", "tail_logs", "tail_known", share("rest_score").alias("rest_score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
             .select("doc_id", (id_remainder("doc_id", held_out_of) == held_out).alias("held_out"), "n_tokens",
                     (F.col("known") + share("tail_known").cast("long")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
                     (F.col("logs") + share("tail_logs") - F.col("n_tokens") * F.lit(size)).alias("base_score"),
