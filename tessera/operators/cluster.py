@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as VF
 from tessera.operators import graph, pairs
-from tessera.session import hold
+from tessera.session import drop, hold
 
 
 def label_components(points: DataFrame, edges: DataFrame, core: DataFrame, key: str,
@@ -69,37 +69,69 @@ def time_cluster(df: DataFrame, eps: float, min_samples: int, min_cluster_size:
 
 @dataclass(frozen=True)
 class Setting:
+    """One point of a sweep.  ``alpha`` scales the distance (d = metric / alpha); ``dim``: only the first
+    ``dim`` coordinates count, which for vectors of the reducer (coordinates by falling variance)
+    is the reduction to that many dimensions."""
+
     eps: float
     min_samples: int
     min_cluster_size: int
+    alpha: float = 1.0
+    dim: int | None = None
+
+    @property
+    def step(self) -> tuple[int, float]:
+        return self.dim or 0, float(self.eps * self.alpha)
+
+
+def _table(values: Sequence[Sequence[tuple]], *names: str):
+    """Literal array of arrays of structs of ints."""
+    return F.array(*[F.array(*[F.struct(*[F.lit(int(x)).alias(n) for n, x in zip(names, row)]) for row in rows])
+                     for rows in values])
 
 
 def sweep(df: DataFrame, grid: Sequence[Setting], key: str = "id", vec: str = "vec") -> DataFrame:
     """C1 for every setting in one plan: ``(config_id, key, cluster)``.
 
-    One eps-pair graph at the largest eps; each pair is exploded only to the
-    settings whose eps it satisfies (a bounded literal grid, not a join); the
-    vertices of the component job are (config, point)."""
-    max_eps = max(s.eps for s in grid)
-    p = hold(pairs.range_pairs(df.select(key, vec), max_eps, key=key, vec=vec), "pairs")
-    g = F.array(*[F.struct(F.lit(i).alias("cfg"), F.lit(float(s.eps)).alias("eps"),
-                           F.lit(int(s.min_samples)).alias("ms"), F.lit(int(s.min_cluster_size)).alias("mcs"))
-                  for i, s in enumerate(grid)])
-    pc = p.select("src", "dst", F.explode(F.filter(g, lambda c: F.col("dist") <= c["eps"])).alias("c"))
-    pc = pc.select("src", "dst", F.col("c.cfg").alias("cfg"), F.col("c.ms").alias("ms"))
-    deg = pc.groupBy("cfg", "src").agg(F.count(F.lit(1)).alias("deg"), F.first("ms").alias("ms"))
-    core = deg.filter(F.col("deg") >= F.col("ms")).select("cfg", F.col("src").alias("p"))
-    edges = (pc.join(core.withColumnRenamed("p", "src"), ["cfg", "src"], "left_semi")
-             .join(core.withColumnRenamed("p", "dst"), ["cfg", "dst"], "left_semi"))
-    vid = F.struct(F.col("cfg"), F.col("p")).alias("id")
-    comp = graph.connected_components(core.select(vid),
-                                      edges.select(F.struct("cfg", F.col("src").alias("p")).alias("src"),
-                                                   F.struct("cfg", F.col("dst").alias("p")).alias("dst")))
-    comp = comp.select(F.col("id.cfg").alias("cfg"), F.col("id.p").alias(key), F.col("comp.p").alias("comp"))
-    mcs = F.element_at(F.array(*[F.lit(int(s.min_cluster_size)) for s in grid]), F.col("cfg") + 1)
-    sizes = comp.groupBy("cfg", "comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= mcs)
-    idx = graph.dense_index_by(sizes, "cfg", "comp", "cluster")
-    lab = comp.join(idx, ["cfg", "comp"]).select("cfg", key, "cluster")
+    Settings share work where they may: one eps-pair graph for each dimension (at its largest radius),
+    neighbour counts for each (dimension, radius), components for each (dimension, radius, min_samples);
+    min_cluster_size only picks among those components.  So a grid of thousands of settings costs as many
+    graphs as it has different (dimension, radius, min_samples).  The vertices of the component job are
+    (graph, point)."""
+    steps = sorted({s.step for s in grid})
+    graphs = sorted({(s.step, s.min_samples) for s in grid})
+    graph_no = {g: i for i, g in enumerate(graphs)}
+    of_step = _table([[(ms, graph_no[st, ms]) for st, ms in graphs if st == step] for step in steps], "ms", "g")
+    near = None
+    for dim in sorted({d for d, _ in steps}):
+        pts = df.select(key, (F.slice(vec, 1, dim) if dim else F.col(vec)).alias(vec))
+        mine = [(i, r) for i, (d, r) in enumerate(steps) if d == dim]
+        p = hold(pairs.range_pairs(pts, mine[-1][1], key=key, vec=vec), "pairs")
+        radii = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(r).alias("r")) for i, r in mine])
+        part = p.select("src", "dst", F.explode(F.filter(radii, lambda c: F.col("dist") <= c["r"])).alias("c"))
+        part = part.select("src", "dst", F.col("c.step").alias("step"))
+        near = part if near is None else near.unionByName(part)
+    deg = hold(near.groupBy("step", "src").agg(F.count(F.lit(1)).alias("deg")), "degrees")
+    chosen = F.element_at(of_step, F.col("step") + 1)
+    core = deg.select("src", F.explode(F.filter(chosen, lambda c: c["ms"] <= F.col("deg"))).alias("c"))
+    core = core.select(F.struct(F.col("c.g").alias("g"), F.col("src").alias("p")).alias("id"))
+    both = (near.filter(F.col("src") < F.col("dst")).join(deg, ["step", "src"])
+            .join(deg.select("step", F.col("src").alias("dst"), F.col("deg").alias("deg2")), ["step", "dst"])
+            .select("src", "dst", "step", F.least("deg", "deg2").alias("deg")))
+    edges = both.select("src", "dst", F.explode(F.filter(chosen, lambda c: c["ms"] <= F.col("deg"))).alias("c"))
+    edges = edges.select(F.struct(F.col("c.g").alias("g"), F.col("src").alias("p")).alias("src"),
+                         F.struct(F.col("c.g").alias("g"), F.col("dst").alias("p")).alias("dst"))
+    comp = graph.connected_components(core, edges)
+    drop(deg)
+    comp = comp.select(F.col("id.g").alias("g"), F.col("id.p").alias(key), F.col("comp.p").alias("comp"))
+    of_graph = _table([[(i, s.min_cluster_size) for i, s in enumerate(grid) if (s.step, s.min_samples) == g]
+                       for g in graphs], "cfg", "mcs")
+    sizes = comp.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("comp", F.explode(F.filter(F.element_at(of_graph, F.col("g") + 1),
+                                                    lambda c: c["mcs"] <= F.col("n"))).alias("c"), "g")
+    sizes = sizes.select("g", "comp", F.col("c.cfg").alias("cfg"))
+    idx = graph.dense_index_by(sizes, "cfg", "comp", "cluster").join(sizes, ["cfg", "comp"])
+    lab = comp.join(idx, ["g", "comp"]).select("cfg", key, "cluster")
     allp = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("cfg"))
     return (allp.join(lab, ["cfg", key], "left")
             .select(F.col("cfg").alias("config_id"), key,

@@ -23,6 +23,8 @@ K = 5
 TOPIC = 3
 SPLIT_AT = "2024-01-02 00:00:00"
 GRID = [C.Setting(1.10, 1, 3), C.Setting(1.12, 1, 3), C.Setting(1.12, 2, 3), C.Setting(1.14, 1, 5)]
+AXES = [C.Setting(1.12, 1, 3), C.Setting(1.12, 1, 5), C.Setting(1.4, 2, 3, alpha=0.8), C.Setting(0.2, 2, 3, dim=8),
+        C.Setting(0.15, 1, 3, alpha=1.2, dim=8), C.Setting(0.32, 1, 3, dim=16)]
 TIME_EPS = 1.2
 
 
@@ -251,22 +253,36 @@ register("time_cluster", with_views(["article_vectors"], [("pts", _time_pts_sql(
         TIME_EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE, ts="article_created_at").withColumnRenamed("id", "article_uid"))
 
 
-def _sweep_sql():
-    ctes = [("pts", _pts_sql())]
-    sel = []
-    for i, s in enumerate(GRID):
-        ctes += _c1_ctes(f"g{i}", "pts", s.eps, s.min_samples, s.min_cluster_size)
-        sel.append(f"SELECT {i} AS config_id, id AS vec_id, cluster FROM g{i}_labels")
-    return with_views([], ctes, "\nUNION ALL ".join(sel), recursive=True)
+def _sweep_ctes(grid):
+    """CTEs that end in ``g<i>_labels`` for each setting."""
+    ctes = []
+    for dim in sorted({s.dim or 0 for s in grid}):
+        ctes.append((f"pts{dim}", _pts_sql() if not dim else
+                     f"SELECT vec_id AS id, CAST(embedding AS DOUBLE[])[1:{dim}] AS v FROM embeddings"))
+    for i, s in enumerate(grid):
+        ctes += _c1_ctes(f"g{i}", f"pts{s.dim or 0}", s.eps * s.alpha, s.min_samples, s.min_cluster_size)
+    return ctes
 
 
-@register("sweep", _sweep_sql())
+def _sweep_sql(grid):
+    sel = [f"SELECT {i} AS config_id, id AS vec_id, cluster FROM g{i}_labels" for i in range(len(grid))]
+    return with_views([], _sweep_ctes(grid), "\nUNION ALL ".join(sel), recursive=True)
+
+
+@register("sweep", _sweep_sql(GRID))
 def q_sweep(spark, base):
     """C1 for a grid of settings in one plan."""
     e = _emb(spark, base).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return C.sweep(e, GRID).withColumnRenamed("id", "vec_id")
 
 
+@register("sweep_axes", lambda: _sweep_sql(AXES))
+def q_sweep_axes(spark, base):
+    """C6 over all axes: eps, alpha, min_samples, min_cluster_size and the number of leading dimensions."""
+    e = _emb(spark, base).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return C.sweep(e, AXES).withColumnRenamed("id", "vec_id")
+
+
 def _assign_sql():
     old = f"SELECT article_uid AS id, CAST(embedding AS DOUBLE[]) AS v FROM article_vectors WHERE article_created_at <= TIMESTAMP '{SPLIT_AT}'"
     new = f"SELECT article_uid AS id, CAST(embedding AS DOUBLE[]) AS v FROM article_vectors WHERE article_created_at > TIMESTAMP '{SPLIT_AT}'"
@@ -418,12 +434,10 @@ def q_one_hot_vectors(spark, base):
     return _explode_vec(j.select("article_uid", F.concat(F.col("embedding").cast("array<double>"), hot).alias("v")), "article_uid", "v")
 
 
-def _sweep_metrics_sql():
-    ctes = [("pts", _pts_sql())]
-    for i, s in enumerate(GRID):
-        ctes += _c1_ctes(f"g{i}", "pts", s.eps, s.min_samples, s.min_cluster_size)
+def _sweep_metrics_sql(grid):
+    ctes = _sweep_ctes(grid)
     union = " UNION ALL ".join(f"SELECT {i} AS cfg, l.id, l.cluster AS p, e.label AS t FROM g{i}_labels l JOIN embeddings e ON e.vec_id = l.id"
-                               for i in range(len(GRID)))
+                               for i in range(len(grid)))
     ctes += [
         ("lab", union),
         ("c", "SELECT cfg, t, p, CAST(count(*) AS DOUBLE) AS n FROM lab GROUP BY 1, 2, 3"),
@@ -442,9 +456,19 @@ def _sweep_metrics_sql():
                outlier_ratio, n_clusters FROM hc JOIN o USING (cfg) WHERE n_clusters > 1 AND n_clusters < 25""", recursive=True)
 
 
-@register("sweep_metrics", _sweep_metrics_sql)
-def q_sweep_metrics(spark, base):
-    """Metrics of every setting against the given labels; settings with 2 to 24 clusters stay."""
+def _sweep_metrics(spark, base, grid):
     e = _emb(spark, base).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    lab = C.sweep(e, GRID).join(e.select("id", "label"), "id")
+    lab = C.sweep(e, grid).join(e.select("id", "label"), "id")
     return metrics.sweep_metrics(lab, "config_id", "label", "cluster", more_than=1, less_than=25)
+
+
+@register("sweep_metrics", lambda: _sweep_metrics_sql(GRID))
+def q_sweep_metrics(spark, base):
+    """Metrics of every setting against the given labels; settings with 2 to 24 clusters stay."""
+    return _sweep_metrics(spark, base, GRID)
+
+
+@register("sweep_axes_metrics", lambda: _sweep_metrics_sql(AXES))
+def q_sweep_axes_metrics(spark, base):
+    """The same over all axes."""
+    return _sweep_metrics(spark, base, AXES)

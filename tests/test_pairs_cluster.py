@@ -106,6 +106,18 @@ def test_sweep_matches_single_runs(spark):
         assert [got[i] for i in range(len(x))] == _dbscan_star(x, s.eps, s.min_samples, s.min_cluster_size)
 
 
+def test_sweep_over_alpha_and_dimension(spark):
+    """Settings that share a graph, a radius reached by alpha, and reduced dimensions; one setting without any pair."""
+    x, _ = _points(n=60)
+    grid = [C.Setting(0.8, 2, 3), C.Setting(0.8, 2, 6), C.Setting(0.5, 2, 3, alpha=1.6), C.Setting(0.2, 3, 3, dim=1),
+            C.Setting(0.1, 1, 3, alpha=0.5, dim=1), C.Setting(1e-9, 1, 3)]
+    rows = C.sweep(_df(spark, x), grid).collect()
+    assert len(rows) == len(x) * len(grid)
+    for cfg, s in enumerate(grid):
+        got = {r.id: r.cluster for r in rows if r.config_id == cfg}
+        assert [got[i] for i in range(len(x))] == _dbscan_star(x[:, :s.dim], s.eps * s.alpha, s.min_samples, s.min_cluster_size)
+
+
 def test_components(spark):
     v = spark.createDataFrame([(i,) for i in [1, 2, 3, 5, 6, 7]], "id long")
     e = spark.createDataFrame([(1, 2), (3, 2), (6, 5)], "src long, dst long")
