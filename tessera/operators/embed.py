@@ -5,7 +5,7 @@ weights (document frequencies by one grouped aggregate) -> a signed random
 projection to ``dim`` dimensions whose signs are the bits of ``xxhash64(term)``
 (plain codegen'd sums, so no projection matrix is stored or broadcast) -> L2
 normalisation.  Any real sentence encoder plugs in
-through ``embed_with`` (``mapInPandas``: one model load per task, fixed-size
+through ``embed_with`` (``mapInArrow``: one model load per task, fixed-size
 batches).
 
 V6/V7 (re-aimed): PCA from ``pyspark.ml`` on L2-normalised vectors, fitted on
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,16 +87,17 @@ def embed_with(docs: DataFrame, load_model: Callable[[], object], key: str = "do
     ``encode(list[str]) -> array (n, dim)``; loaded once per task, fed
     ``batch_size`` texts at a time (Arrow batches in, Arrow batches out)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model()
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                vecs = model.encode(part[text].fillna("").tolist())
-                yield pd.DataFrame({key: part[key].to_numpy(), "vec": [list(map(float, v)) for v in vecs]})
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)  # (keys stay Arrow values: pandas would round large ones beside a null)
+                vecs = model.encode(part.column(text).fill_null("").to_pylist())
+                vecs = pa.array([list(map(float, v)) for v in vecs], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(key), vecs], [key, "vec"])
 
     key_type = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {key_type}, vec array<double>")
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {key_type}, vec array<double>")
 
 
 def fit_reducer(df: DataFrame, k: int, vec: str = "vec", ts: str | None = None, n_train: int | None = None,

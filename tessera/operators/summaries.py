@@ -16,6 +16,13 @@ the row sums, which need only per-topic sums (a count and one d-vector), never
 the pairs of a topic: exact, no cap on sentences, O(n * d), skew-proof partial
 aggregates.  (The reference thresholds raw cosine over the full pair matrix of
 a topic and power-iterates.)
+
+D7 by cosine, ``central_sentence``: term weights are not negative, so neither is
+any cosine and no floor is needed.  W = X X^T is symmetric, so the walk's limit
+from the uniform start is, within each connected part of a topic, proportional
+to the row sums X (X^T 1): two aggregates over (sentence, term) rows.  Each part
+keeps its share of the topic's sentences; parts come from stars around each
+term's least sentence.  No pairs, no cap, no rounds but those of the components.
 """
 
 from __future__ import annotations
@@ -25,7 +32,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as TX
 from tessera.functions import vectors as VF
+from tessera.operators.graph import connected_components
 from tessera.session import bucketed, drop, drop_bucketed, hold
 
 NONE_TOPIC_TEXT = " NONE "
@@ -116,3 +125,47 @@ def topic_abstract(sent: DataFrame, topic: str = "topic_label", key: str = "sid"
     w = Window.partitionBy(topic).orderBy(F.col("v").desc(), *order, key)
     best = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1)
     return best.select(topic, F.col(text).alias("sentence"), F.round("v", 6).alias("score"))
+
+
+def sentence_weights(sent: DataFrame, topic: str = "topic_label", key: str = "sid", text: str = "sentence") -> DataFrame:
+    """``(topic, key, term, x)``: unit TF-IDF vectors of sentences, the idf over all of them
+    (ln((N+1)/(df+1)) + 1).  A sentence without a term has no row."""
+    toks = hold(sent.select(topic, key, F.explode(TX.vectorizer_tokens(text)).alias("term"))
+                .groupBy(topic, key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf")), "terms")
+    n = sent.agg(F.count(F.lit(1))).scalar()
+    idf = toks.groupBy("term").agg((F.ln((n + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
+    w = hold(toks.join(idf, "term").select(topic, key, "term", (F.col("tf") * F.col("idf")).alias("w")), "weights")
+    drop(toks)
+    length = w.groupBy(topic, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    out = hold(w.join(length, [topic, key]).select(topic, key, "term", (F.col("w") / F.col("len")).alias("x")), "unit")
+    drop(w)
+    return out
+
+
+def sentence_scores(weights: DataFrame, topic: str = "topic_label", key: str = "sid") -> DataFrame:
+    """``(topic, key, v)``: where the walk over cosines ends from the uniform start.  ``weights`` as by
+    ``sentence_weights``; a topic's v add up to 1."""
+    by_term = weights.groupBy(topic, "term").agg(F.sum("x").alias("s"), F.min(key).alias("least"))
+    tied = hold(weights.join(by_term, [topic, "term"]).select(topic, key, "least", (F.col("x") * F.col("s")).alias("d")), "tied")
+    number = lambda c: F.xxhash64(topic, c)  # noqa: E731  (a key may occur in several topics)
+    degree = hold(tied.groupBy(topic, key).agg(F.sum("d").alias("d")).withColumn("id", number(key)), "degree")
+    parts = connected_components(degree.select("id"), tied.select(number(key).alias("src"), number("least").alias("dst")))
+    t = hold(degree.join(parts, "id").select(topic, key, "comp", "d"), "parts")
+    drop(tied, degree, parts)
+    share = t.groupBy(topic, "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("d").alias("all"))
+    size = t.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
+    return (t.join(share, [topic, "comp"]).join(size, topic)
+            .select(topic, key, (F.col("d") / F.col("all") * F.col("m") / F.col("n")).alias("v")))
+
+
+def central_sentence(sent: DataFrame, topic: str = "topic_label", key: str = "sid", text: str = "sentence",
+                     order: Sequence[str] = ("pos",)) -> DataFrame:
+    """D7 by cosine: ``(topic, sentence, score)``, the most central sentence of each topic.  Equal
+    scores (to 12 places) go to the smaller ``order`` columns, then key; sentences without a term cannot win,
+    and a topic of none but those has no row."""
+    weights = sentence_weights(sent, topic, key, text)
+    v = hold(sentence_scores(weights, topic, key), "scores")
+    drop(weights)
+    w = Window.partitionBy(topic).orderBy(F.round("v", 12).desc(), *order, key)
+    best = sent.select(topic, key, text, *order).join(v, [topic, key]).withColumn("r", F.row_number().over(w)).filter("r = 1")
+    return best.select(topic, F.col(text).alias("sentence"), F.round("v", 6).alias("score"))

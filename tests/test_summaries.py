@@ -54,3 +54,31 @@ def test_topic_abstract_matches_dense(spark):
             v = v @ P
         assert got[topic] == f"s{topic}-{int(np.argmax(np.round(v, 12)))}"
         assert abs(scores[topic] - round(float(v.max()), 6)) < 1e-6
+
+
+def test_central_sentence_matches_dense(spark):
+    texts = {0: ["alpha beta", "beta gamma gamma", "gamma delta", "omega psi", "psi omega omega chi", "?!", "chi"],
+             1: ["same words here", "same words here", "other words"], 2: ["- -"]}
+    rows = [(t, k, s, k) for t, ss in texts.items() for k, s in enumerate(ss)]
+    df = spark.createDataFrame(rows, "topic_label int, sid long, sentence string, pos int")
+    weights = SM.sentence_weights(df)
+    got = {(r.topic_label, r.sid): r.v for r in SM.sentence_scores(weights).collect()}
+    words = sorted({r.term for r in weights.select("term").distinct().collect()})
+    x = {}
+    for r in weights.collect():
+        x.setdefault((r.topic_label, r.sid), np.zeros(len(words)))[words.index(r.term)] = r.x
+    assert set(got) == set(x) and len(x) == len(rows) - 2  # two sentences have no term
+    for topic in (0, 1):
+        keys = sorted(k for k in x if k[0] == topic)
+        X = np.array([x[k] for k in keys])
+        assert np.allclose((X * X).sum(1), 1)
+        W = X @ X.T
+        P = W / W.sum(1, keepdims=True)
+        v = np.full(len(keys), 1 / len(keys))
+        for _ in range(2000):
+            v = v @ P
+        assert np.allclose([got[k] for k in keys], v, atol=1e-9)
+    best = {r.topic_label: r.sentence for r in SM.central_sentence(df).collect()}
+    assert set(best) == {0, 1}  # a topic of sentences without terms has none
+    assert best[1] == "same words here" and best[0] in texts[0]
+    assert SM.central_sentence(df.limit(0)).count() == 0
