@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
 from tessera.functions import vectors as VF
+from tessera.session import hold
 
 DIM = 64
 
@@ -146,6 +147,23 @@ def reduce_and_cluster(df: DataFrame, k: int, eps: float, min_samples: int, min_
     return density_cluster(red, eps, min_samples, min_cluster_size, key, vec)
 
 
+def reduce_cluster_report(df: DataFrame, k: int, eps: float, min_samples: int, min_cluster_size: int,
+                          key: str = "id", vec: str = "vec", dims: int = 2) -> DataFrame:
+    """C3 with its report: ``(key, cluster, x, y[, z], silhouette)``.  One fit serves both reducers, because
+    the first ``dims`` principal components of ``k`` are those of a reduction to ``dims``.  The mean cosine
+    silhouette of the clustering on the reduced vectors (-1 is one more cluster) stands in every row.  A row
+    without a vector has no cluster and no coordinates."""
+    from tessera.operators.cluster import density_cluster
+    from tessera.operators.metrics import silhouette_linear
+
+    red = hold(reduce(df, fit_reducer(df, k, vec), vec, "r").select(key, F.col("r").alias(vec)), "reduced")
+    some = red.filter(F.col(vec).isNotNull())
+    labels = hold(density_cluster(some, eps, min_samples, min_cluster_size, key, vec).select(key, "cluster"), "clusters")
+    quality = silhouette_linear(some.join(labels, key), key, vec, "cluster", "cosine")
+    at = [F.col(vec)[i].alias(n) for i, n in enumerate(["x", "y", "z"][:dims])]
+    return red.select(key, *at).join(labels, key, "left").withColumn("silhouette", quality.select("silhouette").scalar())
+
+
 def apply_and_cluster(df: DataFrame, model_path: str, eps: float, min_samples: int, min_cluster_size: int,
                       key: str = "id", vec: str = "vec") -> DataFrame:
     """C4: load a saved reducer (``PCAModel``), reduce, then density-cluster."""

@@ -186,3 +186,16 @@ def epoch_seconds(ts: Column) -> Column:
     """Unix seconds of a zone-less timestamp (as the reference's ns // 1e9)."""
     return F.unix_timestamp(ts.cast("timestamp"))
 
+
+def hash_share(key: Column, seed: int) -> Column:
+    """A number from 0 to 99 for each key, the same on every run, engine and partitioning: eight hexadecimal
+    digits of md5(``<seed>:<key>``) modulo 100."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(100))
+
+
+def split_rows(df: DataFrame, key: str, test_percent: int = 20, seed: int = 1) -> DataFrame:
+    """``split`` is ``test`` for about ``test_percent`` of the keys, else ``train``; rows of one key stay
+    together, and a null key is for training."""
+    test = F.coalesce(hash_share(F.col(key), seed) < test_percent, F.lit(False))
+    return df.withColumn("split", F.when(test, "test").otherwise("train"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
 from tessera.operators import embed as EM
+from tessera.operators import relational as R
 from tessera.plans import sqltext as SQ
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
@@ -30,7 +31,7 @@ def q_embed(spark, base):
     """V1: default encoder over the composed, cleaned article text (unit vectors)."""
     art = FX.articles(spark, base).select("article_uid", TX.compose_text("seo_title", "text").alias("text"))
     v = EM.embed(art, key="article_uid")
-    return v.select("article_uid", F.size("vec").alias("dim"),
+    return v.select("article_uid", "vec", F.size("vec").alias("dim"),
                     F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
 
 
@@ -47,7 +48,7 @@ def q_reduce(spark, base):
                                                "article_created_at")
     model = EM.fit_reducer(av, REDUCED_DIM)
     r = EM.reduce(av, model, out="r")
-    return r.select("id", F.size("r").alias("dim"))
+    return r.select("id", F.col("r").alias("reduced"), F.size("r").alias("dim"))
 
 
 @register("layout")
@@ -62,14 +63,23 @@ def q_reduce_and_cluster(spark, base):
     return EM.reduce_and_cluster(_vectors(spark, base), REDUCED_DIM, 0.9, 1, 3)
 
 
-@register("split_pairs")
+@register("reduce_cluster_report")
+def q_reduce_cluster_report(spark, base):
+    """C3 with display coordinates and the silhouette of its clusters."""
+    return EM.reduce_cluster_report(_vectors(spark, base), REDUCED_DIM, 0.9, 1, 3)
+
+
+@register("split_pairs", with_views(["pairs"], select=f"""
+    SELECT article_uid, a AS headline, b AS title,
+           CASE WHEN CAST('0x' || substr(md5('{SPLIT_SEED}:' || article_uid), 1, 8) AS BIGINT) % 100 < {TEST_PERCENT}
+                THEN 'test' ELSE 'train' END AS split
+    FROM (SELECT article_uid, {SQ.clean_hard('headline')} AS a, {SQ.clean_hard('seo_title')} AS b FROM pairs)
+    WHERE length(a) > 3 AND length(b) > 3"""))
 def q_split_pairs(spark, base):
     """Reproducible 80/20 split of the headline pairs by a seeded key hash."""
     from tessera.plans.text_queries import q_build_pairs
 
-    p = q_build_pairs(spark, base)
-    test = F.pmod(F.xxhash64(F.col("article_uid"), F.lit(SPLIT_SEED)), F.lit(100)) < TEST_PERCENT
-    return p.withColumn("split", F.when(test, "test").otherwise("train"))
+    return R.split_rows(q_build_pairs(spark, base), "article_uid", TEST_PERCENT, SPLIT_SEED)
 
 
 @register("daily_volume_stream", """

@@ -70,3 +70,38 @@ def test_unseen_terms_and_plugged_encoder(spark):
             return [[float(len(t))] for t in texts]
 
     assert {r.doc_id: r.vec for r in EM.embed_with(docs, Length, batch_size=1).collect()} == {1: [10.0], 2: [11.0]}
+
+
+def test_reduced_clusters_with_coordinates_and_silhouette(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(3, 6))
+    rows = [(k, [float(v) for v in centres[k % 3] + 0.02 * rng.normal(size=6)]) for k in range(30)]
+    df = spark.createDataFrame(rows + [(99, None)], "id long, vec array<double>")
+    out = {r.id: r for r in EM.reduce_cluster_report(df, 3, 0.2, 1, 3).collect()}
+    assert len(out) == 31 and out[99].cluster is None and out[99].x is None
+    red = {r.id: np.array(r.reduced) for r in EM.reduce(df, EM.fit_reducer(df, 3)).collect() if r.reduced}
+    assert all(abs(out[k].x - v[0]) < 1e-9 and abs(out[k].y - v[1]) < 1e-9 for k, v in red.items())
+    assert all((out[a].cluster == out[b].cluster) == (a % 3 == b % 3) for a in range(30) for b in range(30))
+    unit = np.array([red[k] / np.linalg.norm(red[k]) for k in range(30)])
+    d = 1 - unit @ unit.T
+    scores = []
+    for k in range(30):
+        mean = [sum(d[k, j] for j in range(30) if j % 3 == c and j != k) / (9 if c == k % 3 else 10) for c in range(3)]
+        a, b = mean[k % 3], min(mean[c] for c in range(3) if c != k % 3)
+        scores.append((b - a) / max(a, b))
+    assert {r.silhouette for r in out.values()} == {out[0].silhouette}
+    assert abs(out[0].silhouette - np.mean(scores)) < 1e-5
+
+
+def test_split_keeps_keys_together(spark):
+    from tessera.operators import relational as R
+
+    rows = [(k // 2,) for k in range(4000)] + [(None,)]
+    got = R.split_rows(spark.createDataFrame(rows, "id long"), "id").collect()
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r.id, set()).add(r.split)
+    assert len(got) == 4001 and all(len(v) == 1 for v in by_key.values()) and by_key[None] == {"train"}
+    assert 0.17 < sum(v == {"test"} for v in by_key.values()) / len(by_key) < 0.23
