@@ -90,38 +90,44 @@ def _lit(a: str, b: str = "") -> Step:
 
 STRIP = Step("strip")
 
-LIGHT_STEPS: tuple[Step, ...] = (
-    _re(r" \(" + DIGIT + r"+\)"),  # a bracketed number after a blank
-    _re(DIGIT + r"+:+" + DIGIT + r"+-"),  # two numbers with a colon, up to a hyphen
-    _re(r"\(+" + DIGIT + r"+:+" + DIGIT + r"\)+"),  # number, colon, one digit, bracketed
-    _re(char_class(LIGHT_DELETED_SYMBOLS)),             # odd symbols
-    *[_re(nocase(p)) for p in LIGHT_BRAND_PHRASES],
-    _re(nocase(STANDARD_SITE[0]), STANDARD_SITE[1]),
-    *[_re(nocase(p)) for p in LIGHT_BRAND_PHRASES_AFTER],
-    _re(DIGIT + "{1,2}" + ANY + DIGIT + "{1,2}" + ANY + DIGIT + "{4}"),  # dates
-    _lit("!", "."),
-    _lit("\n", ""),
-    *[_lit(" " * n, " ") for n in range(3, 20)],        # 3..19 blanks, in turn
-    _lit("...", "."),
-    _re(WS + "+-"),                                    # blank(s) before a dash
-    _re("http" + NOT_WS + "+" + WS + "*"),            # URLs
-    # '^$<digits>$' can never match: '$' is deleted above.
-    _re(r"^[0-9]+(\.[0-9][0-9])?€"),                   # leading euro price
-    _lit(" €", " EURO"),
-    _lit(" £", " POUNDS"),
-    _lit("“"), _lit("„"),
-    _lit("\xa0"), _lit("\xad"), _lit("\u2005"),          # nbsp, soft hyphen, 1/4 em space
-    _lit("\u2009", " "),                                # thin space
-    _lit(" . ", ". "),
-    _re("(" + WORD + "+)/(" + WORD + "+)", r"\1 \2"),  # a slash between words
-    _lit("\u27a1\ufe0f"),                               # arrow emoji
-    _lit("  ", " "),
-    _re(WS + "+", " "),
-    STRIP,
-    _lit("..", "."),
-    Step("chop_comma"),
-    STRIP,
-)
+def light_steps(phrases: Sequence[str] = LIGHT_BRAND_PHRASES, phrases_after: Sequence[str] = LIGHT_BRAND_PHRASES_AFTER) -> tuple[Step, ...]:
+    """The light cleaning's steps.  A site's own phrases (regular expressions, case-free) go before and
+    after the standard site's name is unified; none may be given."""
+    return (
+        _re(r" \(" + DIGIT + r"+\)"),  # a bracketed number after a blank
+        _re(DIGIT + r"+:+" + DIGIT + r"+-"),  # two numbers with a colon, up to a hyphen
+        _re(r"\(+" + DIGIT + r"+:+" + DIGIT + r"\)+"),  # number, colon, one digit, bracketed
+        _re(char_class(LIGHT_DELETED_SYMBOLS)),             # odd symbols
+        *[_re(nocase(p)) for p in phrases],
+        _re(nocase(STANDARD_SITE[0]), STANDARD_SITE[1]),
+        *[_re(nocase(p)) for p in phrases_after],
+        _re(DIGIT + "{1,2}" + ANY + DIGIT + "{1,2}" + ANY + DIGIT + "{4}"),  # dates
+        _lit("!", "."),
+        _lit("\n", ""),
+        *[_lit(" " * n, " ") for n in range(3, 20)],        # 3..19 blanks, in turn
+        _lit("...", "."),
+        _re(WS + "+-"),                                    # blank(s) before a dash
+        _re("http" + NOT_WS + "+" + WS + "*"),            # URLs
+        # '^$<digits>$' can never match: '$' is deleted above.
+        _re(r"^[0-9]+(\.[0-9][0-9])?€"),                   # leading euro price
+        _lit(" €", " EURO"),
+        _lit(" £", " POUNDS"),
+        _lit("“"), _lit("„"),
+        _lit("\xa0"), _lit("\xad"), _lit("\u2005"),          # nbsp, soft hyphen, 1/4 em space
+        _lit("\u2009", " "),                                # thin space
+        _lit(" . ", ". "),
+        _re("(" + WORD + "+)/(" + WORD + "+)", r"\1 \2"),  # a slash between words
+        _lit("\u27a1\ufe0f"),                               # arrow emoji
+        _lit("  ", " "),
+        _re(WS + "+", " "),
+        STRIP,
+        _lit("..", "."),
+        Step("chop_comma"),
+        STRIP,
+    )
+
+
+LIGHT_STEPS: tuple[Step, ...] = light_steps()
 
 HARD_STEPS: tuple[Step, ...] = (
     Step("lower"),
@@ -185,9 +191,10 @@ def _col(c) -> Column:
 
 
 # ---------------------------------------------------------------- P1-P5
-def clean_article(c, lower: bool = False) -> Column:
-    """Light cleaning for sentence encoders (newer rule set)."""
-    out = apply_steps(_col(c), LIGHT_STEPS)
+def clean_article(c, lower: bool = False, steps: Sequence[Step] = LIGHT_STEPS) -> Column:
+    """Light cleaning for sentence encoders (newer rule set); ``light_steps`` gives the steps for other
+    sites' phrases."""
+    out = apply_steps(_col(c), steps)
     return F.lower(out) if lower else out
 
 
@@ -199,19 +206,19 @@ def clean_hard(c, stemming: bool = False) -> Column:
     return out
 
 
-def remove_title_markers(c) -> Column:
+def remove_title_markers(c, markers: Sequence[str] = TITLE_MARKERS) -> Column:
     c = _col(c)
-    for m in TITLE_MARKERS:
+    for m in markers:
         c = F.replace(c, F.lit(m), F.lit(""))
     return F.replace(c, F.lit("\xa0"), F.lit(" "))
 
 
-def strip_title(c, remove_section: bool = False) -> Column:
+def strip_title(c, remove_section: bool = False, markers: Sequence[str] = TITLE_MARKERS) -> Column:
     """Drop the ' - Section - Site' suffix of an SEO title.
 
     Without any '-' the title is returned unchanged (after marker removal).
     """
-    tmp = remove_title_markers(c)
+    tmp = remove_title_markers(c, markers)
     drop = 2 if remove_section else 1
     parts = F.split(tmp, "-", -1)
     kept = F.slice(parts, 1, F.greatest(F.size(parts) - drop, F.lit(0)))

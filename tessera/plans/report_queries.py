@@ -22,15 +22,19 @@ SINCE = "2024-01-01 12:00:00"
 PURCHASE = "purchase"
 
 
-def topic_page_views(spark, base):
-    """The dashboard's per-article table: topic, its description and size,
-    title, date and page views (missing -> 0); outliers excluded."""
+def topic_articles(spark, base):
+    """Articles with their topic, title and date; outliers excluded."""
     labels = FX.article_labels(spark, base).filter(F.col("topic_label") != -1)
-    art = FX.articles(spark, base).select("article_uid", F.col("headline").alias("title"), "created_at")
-    desc = topics.describe_topics(FX.article_labels(spark, base), FX.entities(spark, base))
-    pv = FX.page_views(spark, base)
-    return (labels.join(art, "article_uid").join(desc, "topic_label")
-            .join(pv, "article_uid", "left")
+    return labels.join(FX.articles(spark, base).select("article_uid", F.col("headline").alias("title"), "created_at"), "article_uid")
+
+
+def topic_page_views(spark, base, described: bool = True):
+    """The dashboard's per-article table: topic, title, date and page views (missing -> 0); outliers
+    excluded.  Its description and size are worked out only where ``described`` (every topic has one)."""
+    t = topic_articles(spark, base)
+    if described:
+        t = t.join(topics.describe_topics(FX.article_labels(spark, base), FX.entities(spark, base)), "topic_label")
+    return (t.join(FX.page_views(spark, base), "article_uid", "left")
             .withColumn("PageViews", F.coalesce(F.col("PageViews"), F.lit(0)).cast("bigint")))
 
 
@@ -162,7 +166,7 @@ def q_top_topics(spark, base):
     WHERE topic_label = {TOPIC} ORDER BY created_at DESC, article_uid LIMIT 10"""))
 def q_topic_articles(spark, base):
     """Q2: ten articles of one topic."""
-    return R.topic_articles(topic_page_views(spark, base), TOPIC)
+    return R.topic_articles(topic_page_views(spark, base, described=False), TOPIC)
 
 
 @register("word_weights", with_views(["topic_table"], select="""
@@ -182,7 +186,7 @@ def q_word_weights(spark, base):
     WHERE created_at > TIMESTAMP '{SINCE}'"""))
 def q_since(spark, base):
     """Q4: articles after a start date."""
-    return R.since(topic_page_views(spark, base), SINCE).select("article_uid", "topic_label", "created_at")
+    return R.since(topic_articles(spark, base), SINCE).select("article_uid", "topic_label", "created_at")
 
 
 @register("topic_points", with_views(_TPV, select="""
@@ -191,8 +195,7 @@ def q_since(spark, base):
                                   GROUP BY topic_label) g USING (topic_label)"""))
 def q_topic_points(spark, base):
     """Q5: scatter input, each article with the size of its topic."""
-    t = topic_page_views(spark, base).select("topic_label", "article_uid", "title", "created_at")
-    return R.count_in_group(t).select("topic_label", "article_uid", "title", "created_at", "count_in_group")
+    return R.count_in_group(topic_articles(spark, base)).select("topic_label", "article_uid", "title", "created_at", "count_in_group")
 
 
 @register("fill_title", with_views(["pairs"], select="""

@@ -9,6 +9,7 @@ from tessera.functions import text as TX
 from tessera.plans import sqltext as SQ
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
+from tessera.session import hold
 from tessera.sources import fixtures as FX
 from tessera.sources import tables as TB
 from tessera.sources.tables import deal, read_table
@@ -173,8 +174,10 @@ def q_ensure_table(spark, base):
     first = TB.ensure_table(spark, name, labels.schema, path)
     labels.write.insertInto(name)
     second = TB.ensure_table(spark, name, labels.schema, path)
-    return spark.table(name).agg(F.lit(first).alias("before_first"), F.lit(second).alias("before_second"),
-                                 F.count(F.lit(1)).alias("n"))
+    out = hold(spark.table(name).agg(F.lit(first).alias("before_first"), F.lit(second).alias("before_second"),
+                                     F.count(F.lit(1)).alias("n")), "ensured")
+    spark.sql(f"DROP TABLE {name}")  # (the catalog keeps no table of a run)
+    return out
 
 
 @register("has_rows", with_views(["article_labels"], select="""

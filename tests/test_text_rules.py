@@ -105,3 +105,15 @@ def test_mix(spark):
                   TX.mix("h", seo_title="s", lower_strip=True).alias("b")).first()
     assert r.a == "Kopf eins zwei"
     assert r.b == "kopf Titel Sport"
+
+
+def test_site_phrases_are_parameters(spark):
+    df = spark.createDataFrame([("Heute Morgenpost.de meldet Regen", "Regen - Wetter - MORGENPOST")], "t string, s string")
+    own = TX.light_steps(phrases=["morgenpost.de"], phrases_after=[])
+    row = df.select(TX.clean_article("t", steps=own).alias("a"), TX.clean_article("t").alias("b"),
+                    TX.strip_title("s", markers=[" - MORGENPOST"]).alias("c")).first()
+    assert (row.a, row.b, row.c) == ("Heute meldet Regen", "Heute Morgenpost.de meldet Regen", "Regen")
+
+
+def test_default_steps_hold_the_fixed_phrases():
+    assert TX.light_steps() == TX.LIGHT_STEPS and len(TX.light_steps([], [])) == len(TX.LIGHT_STEPS) - 4
