@@ -3,11 +3,14 @@
 M1/M2 work on the contingency table (one partial aggregate over the rows,
 then tiny tables).  M4 (cosine) and
 the squared-Euclidean silhouette are linear in per-cluster sums; only M3
-(Euclidean) needs per point x cluster distance sums (``pairs.cluster_distance_sums``).
+(Euclidean) needs per point x cluster distance sums (``pairs.cluster_distance_sums``);
+``silhouette_sampled`` estimates it from a bounded sample of points, each scored exactly.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +136,65 @@ def silhouette(df: DataFrame, key: str, vec: str, label: str, metric: str = "euc
     return per.agg(F.round(F.avg(s), 6).alias("silhouette"))
 
 
+def silhouette_sampled(df: DataFrame, key: str, vec: str, label: str, n_sample: int = 1000, seed: int = 1) -> DataFrame:
+    """M3 estimated: ``silhouette, std_error, n_sampled, n``.
+
+    The ``n_sample`` points of least md5(``<seed>:<key>``) are scored exactly against all points: one pass
+    over the vectors, which never move, and partial sums for each (sampled point, cluster).  The sampled
+    vectors (``n_sample`` of d numbers, the bound) go to every task.  ``std_error`` is that of the mean of a
+    simple random sample drawn without replacement, 0 where all points are in it.  -1 is one more
+    cluster, singletons score 0; points without a vector or label do not count, and an empty
+    table gives a null score and error."""
+    pts = df.filter(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(key, F.col(label).alias("lab"), F.col(vec).cast("array<double>").alias("v"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    chosen = pts.orderBy(digest, key).limit(n_sample).select("lab", "v").toArrow()
+    own = np.array(chosen["lab"].to_pylist(), dtype=object)
+    q = np.array(chosen["v"].to_pylist(), dtype=float)
+    length = (q * q).sum(1) if len(q) else None
+    kind = pts.schema["lab"].dataType.simpleString()
+    names = ["q", "lab", "own", "dsum", "cnt"]
+
+    def run(batches):
+        sums, count = {}, {}
+
+        def flush():
+            for lab, total in sums.items():
+                m = len(q)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(m, dtype=np.int32)), pa.array([lab] * m, lab_type[0]), pa.array(own == lab, pa.bool_()),
+                    pa.array(total), pa.array(np.full(m, count[lab], np.int64))], names)
+            sums.clear()
+            count.clear()
+
+        lab_type = [None]
+        for batch in batches if len(q) else ():
+            lab_type[0] = batch.column("lab").type
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + length - 2 * (x @ q.T), 0))
+                labs = np.array(part.column("lab").to_pylist(), dtype=object)
+                for lab in set(labs):
+                    mine = labs == lab
+                    sums[lab] = d[mine].sum(0) + sums.get(lab, 0)
+                    count[lab] = int(mine.sum()) + count.get(lab, 0)
+                if len(sums) > 1024:  # (many clusters: what a task holds stays bounded)
+                    yield from flush()
+        yield from flush()
+
+    far = pts.select("lab", "v").mapInArrow(run, f"q int, lab {kind}, own boolean, dsum double, cnt long")
+    per = far.groupBy("q", "lab", "own").agg(F.sum("dsum").alias("d"), F.sum("cnt").alias("c"))
+    per = per.groupBy("q").agg(F.max(F.when(F.col("own"), F.col("d") / F.greatest(F.col("c") - 1, F.lit(1)))).alias("a"),
+                               F.max(F.when(F.col("own"), F.col("c"))).alias("n_own"),
+                               F.min(F.when(~F.col("own"), F.col("d") / F.col("c"))).alias("b"), F.sum("c").alias("n"))
+    top = F.greatest("a", "b")
+    s = F.when((F.col("n_own") <= 1) | F.col("b").isNull() | (top <= 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / top)
+    t = per.select(s.alias("s"), "n").agg(F.avg("s").alias("mean"), F.stddev_samp("s").alias("sd"), F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    error = F.coalesce("sd", F.lit(0.0)) / F.sqrt("m") * F.sqrt(F.greatest(1 - F.col("m") / F.col("n"), F.lit(0.0)))
+    return t.select(F.round("mean", 6).alias("silhouette"), F.when(F.col("m") > 0, F.round(error, 6)).alias("std_error"),
+                    F.col("m").alias("n_sampled"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 def pair_similarity(df: DataFrame, a: str, b: str, threshold: float = 0.0) -> DataFrame:
     """M5: cosine of each vector pair: mean, spread, median and share at or above
     ``threshold`` (all pairs are positives, so this is the accuracy).  Only bounded-state

@@ -352,6 +352,9 @@ register("outlier_stats", with_views([], [("pts", _pts_sql())] + _c1_ctes("c", "
         .join(_emb(spark, base).select(F.col("vec_id").alias("id"), "label"), "id"), "cluster", "label"))
 
 
+SILHOUETTE_SAMPLE = 200  # points scored by the sampling silhouette
+
+
 def _silhouette_sql(dist: str):
     return f"""
     WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
@@ -371,6 +374,23 @@ def q_silhouette_euclidean(spark, base):
     return metrics.silhouette(e, "id", "vec", "label", "euclidean")
 
 
+@register("silhouette_sampled", f"""
+    WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+         q AS (SELECT * FROM p ORDER BY md5('1:' || id), id LIMIT {SILHOUETTE_SAMPLE}),
+         d AS (SELECT a.id, a.label AS own, b.label AS cl, sum(list_distance(a.v, b.v)) AS s, count(*) AS n
+               FROM q a JOIN p b ON TRUE GROUP BY 1, 2, 3),
+         per AS (SELECT id, max(CASE WHEN cl = own THEN s / greatest(n - 1, 1) END) AS a,
+                        max(CASE WHEN cl = own THEN n END) AS n_own,
+                        min(CASE WHEN cl <> own THEN s / n END) AS b FROM d GROUP BY id),
+         sc AS (SELECT CASE WHEN n_own <= 1 OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM per)
+    SELECT round(avg(s), 6) AS silhouette,
+           round(stddev_samp(s) / sqrt(count(*)) * sqrt(1 - count(*) / (SELECT count(*) FROM p)), 6) AS std_error,
+           count(*) AS n_sampled, (SELECT count(*) FROM p) AS n FROM sc""")
+def q_silhouette_sampled(spark, base):
+    """M3 from a bounded sample of points (the operator), each scored exactly against all."""
+    return metrics.silhouette_sampled(_emb(spark, base), "vec_id", "embedding", "label", SILHOUETTE_SAMPLE)
+
+
 @register("silhouette_cosine", _silhouette_sql("1.0 - list_cosine_similarity(a.v, b.v)"))
 def q_silhouette_cosine(spark, base):
     """M4: exact cosine silhouette of the given labels, from per-cluster sums."""

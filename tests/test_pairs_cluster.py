@@ -209,5 +209,23 @@ def test_components_of_a_long_path(spark):
         graph.connected_components(v, e, max_rounds=1)
 
 
+def test_sampled_silhouette_within_its_error(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 1.0, size=(m, 4)) for c, m in ((0, 300), (2, 60), (5, 1))])
+    lab = np.array([0] * 300 + [-1] * 60 + [7])
+    df = _df(spark, x, lab)
+    exact = _silhouette(x, lab)
+    whole = metrics.silhouette_sampled(df, "id", "vec", "cluster", 1000).first()
+    assert abs(whole.silhouette - exact) < 1e-6 and whole.std_error == 0 and whole.n_sampled == whole.n == 361
+    near = 0
+    for seed in range(6):
+        some = metrics.silhouette_sampled(df, "id", "vec", "cluster", 80, seed).first()
+        assert some.n_sampled == 80 and some.std_error > 0 and abs(some.silhouette - exact) < 4 * some.std_error
+        near += abs(some.silhouette - exact) < 2 * some.std_error
+    assert near >= 4
+    none = metrics.silhouette_sampled(df.limit(0), "id", "vec", "cluster").first()
+    assert none.silhouette is None and (none.n_sampled, none.n) == (0, 0)
+
+
 def test_nothing_stays_cached(spark):
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
