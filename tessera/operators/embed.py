@@ -3,7 +3,7 @@
 V1 (re-aimed): the default encoder needs no model file.  Tokens -> TF-IDF
 weights (document frequencies by one grouped aggregate) -> a signed random
 projection to ``dim`` dimensions whose signs are the bits of ``xxhash64(term)``
-(plain codegen'd sums, so no projection matrix is stored or broadcast) -> L2
+(so no projection matrix is stored or broadcast), summed for each document -> L2
 normalisation.  Any real sentence encoder plugs in
 through ``embed_with`` (``mapInArrow``: one model load per task, fixed-size
 batches).
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,22 +52,37 @@ def project_terms(weights: DataFrame, key: str = "doc_id", dim: int = DIM, seed:
     """Signed random projection of per-document term weights: ``(key, vec)``.
 
     One 64-bit ``xxhash64(term, seed + j)`` per term and 64 dimensions; bit k
-    of it is the sign of dimension k.  The projection is ``dim`` plain ``sum``
-    aggregates in one grouped aggregate (whole-stage codegen, map-side
-    partial sums), then an L2 normalisation."""
+    of it is the sign of dimension k.  A document's (hash, weight) rows meet in one
+    shuffle and are summed in numpy, in the order of their hashes, then L2 normalised: 64
+    sums in one aggregate make a method too long to be compiled."""
     nh = (dim + 63) // 64
-    hashed = weights.select(key, "w", *[F.xxhash64(F.col("term"), F.lit(seed + j)).alias(f"h{j}") for j in range(nh)])
-    scale = 1.0 / (dim ** 0.5)
-    sums = []
-    for k in range(dim):
-        bit = F.shiftrightunsigned(F.col(f"h{k // 64}"), k % 64).bitwiseAND(F.lit(1))
-        sums.append(F.sum(F.col("w") * (F.lit(1) - bit * 2)).alias(f"c{k}"))
-    raw = hashed.groupBy(key).agg(*sums).select(
-        key, F.array(*[F.col(f"c{k}") * F.lit(scale) for k in range(dim)]).alias("raw"))
-    # normalise by a column norm: a lambda would re-run a captured expression
-    # for every element
-    normed = raw.select(key, "raw", VF.norm(F.col("raw")).alias("nrm"))
-    return normed.select(key, F.when(F.col("nrm") > 0, F.transform("raw", lambda x: x / F.col("nrm"))).alias("vec"))
+    names = [f"h{j}" for j in range(nh)]
+    hashed = weights.select(key, F.struct(*[F.xxhash64(F.col("term"), F.lit(seed + j)).alias(n) for j, n in enumerate(names)],
+                                          F.col("w").alias("w")).alias("t"))
+    key_type = weights.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            terms = batch.column("t")
+            first = terms.offsets.to_numpy()
+            flat = terms.flatten()
+            hs, w = [flat.field(n).to_numpy(zero_copy_only=False) for n in names], flat.field("w").to_numpy(zero_copy_only=False)
+            for k in range(batch.num_rows):
+                a, b = first[k] - first[0], first[k + 1] - first[0]
+                order = np.argsort(hs[0][a:b], kind="stable")
+                mine = w[a:b][order]
+                raw = []
+                for h in hs:
+                    bits = np.unpackbits(np.ascontiguousarray(h[a:b][order]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    raw.append(mine.sum() - 2.0 * (mine @ bits))
+                raw = np.concatenate(raw)[:dim] / dim ** 0.5
+                length = np.sqrt((raw * raw).sum())
+                out.append(raw / length if length > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.float64()))], [key, "vec"])
+
+    terms = hashed.groupBy(key).agg(F.collect_list("t").alias("t"))
+    return terms.mapInArrow(run, f"{key} {key_type}, vec array<double>")
 
 
 def apply_encoder(docs: DataFrame, encoder: DataFrame, key: str = "doc_id", text: str = "text", dim: int = DIM,
@@ -101,6 +117,14 @@ def embed_with(docs: DataFrame, load_model: Callable[[], object], key: str = "do
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {key_type}, vec array<double>")
 
 
+def _unit(df: DataFrame, vec: str) -> DataFrame:
+    """Adds ``_unit``, the L2-normalised vector (null if zero), by a norm column: inside the lambda the
+    norm would be worked out for every element."""
+    t = df.withColumn("_norm", VF.norm(F.col(vec)))
+    unit = F.transform(F.col(vec).cast("array<double>"), lambda x: x / F.col("_norm"))
+    return t.withColumn("_unit", F.when(F.col("_norm") > 0, unit)).drop("_norm")
+
+
 def fit_reducer(df: DataFrame, k: int, vec: str = "vec", ts: str | None = None, n_train: int | None = None,
                 key: str | None = None):
     """V6: PCA(k) fitted on the L2-normalised vectors (all of them; the
@@ -111,7 +135,7 @@ def fit_reducer(df: DataFrame, k: int, vec: str = "vec", ts: str | None = None,
     train = df
     if ts is not None and n_train is not None:
         train = df.orderBy(F.col(ts).desc(), *([key] if key else [])).limit(int(n_train))
-    unit = train.select(VF.l2_normalize(F.col(vec)).alias("u")).filter(F.col("u").isNotNull())
+    unit = _unit(train.select(F.col(vec)), vec).select(F.col("_unit").alias("u")).filter(F.col("u").isNotNull())
     train = unit.select(array_to_vector("u").alias("features"))
     return PCA(k=k, inputCol="features", outputCol="reduced_features").fit(train)
 
@@ -121,7 +145,7 @@ def reduce(df: DataFrame, model, vec: str = "vec", out: str = "reduced") -> Data
     (null where the vector is missing or zero)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    unit = df.withColumn("_unit", VF.l2_normalize(F.col(vec)))
+    unit = _unit(df, vec)
     some = unit.filter(F.col("_unit").isNotNull())
     done = model.transform(some.withColumn(model.getInputCol(), array_to_vector("_unit")))
     done = done.withColumn("_reduced", vector_to_array(model.getOutputCol())).drop(model.getInputCol(), model.getOutputCol())
