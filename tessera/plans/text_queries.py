@@ -94,9 +94,15 @@ def q_bigrams(spark, base):
     d = _docs(spark, base)
     # tokens first as their own column: the n-gram lambda must read a value,
     # not re-run the token expression once per element
-    t = d.select("doc_id", TX.tokens("text").alias("t"))
-    g = t.select("doc_id", F.explode(TX.ngrams(F.col("t"), 2)).alias("gram"))
-    return g.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    def counts(part):
+        t = part.select("doc_id", TX.tokens("text").alias("t"))
+        g = t.select("doc_id", F.explode(TX.ngrams(F.col("t"), 2)).alias("gram"))
+        return g.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+    # texts are dealt by document, so their grams (several times the text) are counted where they are cut;
+    # rows without an id have no document to be dealt by: there the counts are shuffled
+    own = d.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").repartition("doc_id")
+    return counts(own).unionByName(counts(d.filter(F.col("doc_id").isNull())))
 
 
 @register("build_pairs", with_views(["pairs"], select=f"""
