@@ -45,9 +45,10 @@ def word_graph(tokens: DataFrame, topic: str = "topic_label", toks: str = "t") -
     """``(topic, src, dst, w)`` from per-document token arrays, both directions."""
     pairs = tokens.select(topic, F.explode(F.arrays_zip(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))),
                                                         F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))))).alias("p"))
-    e = pairs.select(topic, F.col("p.0").alias("src"), F.col("p.1").alias("dst")).filter(F.col("src") != F.col("dst"))
-    both = e.unionByName(e.select(topic, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return both.groupBy(topic, "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    e = pairs.select(topic, F.least("p.0", "p.1").alias("a"), F.greatest("p.0", "p.1").alias("b")).filter(F.col("a") != F.col("b"))
+    e = e.groupBy(topic, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))  # (each pair is counted once, then turned)
+    both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return e.select(topic, "w", F.explode(both).alias("e")).select(topic, "e.src", "e.dst", "w")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, topic: str = "topic_label", tolerance: float = 1e-6,
@@ -57,22 +58,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, topic: str = "topic_label", tol
     share.  Runs until the ranks' summed residual (what a plain round would move) is at most
     ``tolerance`` in every topic; raises if it never is."""
     number = lambda word: F.xxhash64(topic, word)  # noqa: E731  (rounds move 64-bit numbers, no words)
-    tied = edges.select(number("src").alias("src"), number("dst").alias("dst"), "w")
-    weight = tied.groupBy("src").agg(F.sum("w").alias("ow"))
-    e = bucketed(tied.join(weight, "src").select("src", "dst", (F.col("w") / F.col("ow")).alias("p")), ["src"], "graph")
+    e = bucketed(edges.select(number("src").alias("src"), number("dst").alias("dst"), "w"), ["src"], "graph")
+    weight = e.groupBy("src").agg(F.sum("w").alias("ow"))  # (carried by the words: edges are shuffled once)
     t = nodes.select(topic, "word", number("word").alias("id")).join(weight.withColumnRenamed("src", "id"), "id", "left")
     total = t.groupBy(topic).agg(F.count(F.lit(1)).cast("double").alias("n"), F.count("ow").alias("tied"), F.sum("ow").alias("all"))
     start = F.coalesce(F.col("ow") / F.col("all") * F.col("tied") / F.col("n"), (1 - damping) / F.col("n"))
-    cur = hold(t.join(total, topic).select("id", topic, "n", start.alias("y"), start.alias("was")), "ranks")
+    cur = hold(t.join(total, topic).select("id", topic, "n", "ow", start.alias("y"), start.alias("was")), "ranks")
     omega, rounds = 1.0, 0
     while rounds < max_rounds:
         t = cur
         for _ in range(rounds_per_job):
-            flow = (e.join(t.select(F.col("id").alias("src"), "y"), "src")
-                    .groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("y")).alias("inflow")))
+            flow = (e.join(t.select(F.col("id").alias("src"), (F.col("y") / F.col("ow")).alias("out")), "src")
+                    .groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("out")).alias("inflow")))
             plain = (1 - damping) / F.col("n") + damping * F.coalesce("inflow", F.lit(0.0))
-            t = (t.select("id", topic, "n", "y", "was").join(flow, "id", "left")
-                 .select("id", topic, "n", (omega * (plain - F.col("was")) + F.col("was")).alias("y"), F.col("y").alias("was"),
+            t = (t.select("id", topic, "n", "ow", "y", "was").join(flow, "id", "left")
+                 .select("id", topic, "n", "ow", (omega * (plain - F.col("was")) + F.col("was")).alias("y"), F.col("y").alias("was"),
                          F.abs(plain - F.col("y")).alias("residual")))
             omega = 1 / (1 - damping ** 2 * omega / (2 if rounds == 0 else 4))
             rounds += 1
@@ -91,10 +91,10 @@ def topic_keywords(tokens: DataFrame, topic: str = "topic_label", tolerance: flo
                    share: float = 0.01) -> DataFrame:
     """``(topic, rank, word, score)`` -- best share of words per topic."""
     tokens = hold(tokens.select(topic, F.col("t")), "tokens")
-    edges = hold(word_graph(tokens, topic), "edges")
+    edges = word_graph(tokens, topic)
     nodes = hold(tokens.select(topic, F.explode("t").alias("word")).distinct(), "nodes")
     pr = pagerank(nodes, edges, topic, tolerance)
-    drop(tokens, edges)
+    drop(tokens)
     sizes = nodes.groupBy(topic).agg(F.count(F.lit(1)).alias("nw"))
     w = Window.partitionBy(topic).orderBy(F.col("pr").desc(), F.col("word"))
     ranked = pr.withColumn("rank", F.row_number().over(w))
