@@ -130,15 +130,18 @@ def topic_abstract(sent: DataFrame, topic: str = "topic_label", key: str = "sid"
 def sentence_weights(sent: DataFrame, topic: str = "topic_label", key: str = "sid", text: str = "sentence") -> DataFrame:
     """``(topic, key, term, x)``: unit TF-IDF vectors of sentences, the idf over all of them
     (ln((N+1)/(df+1)) + 1).  A sentence without a term has no row."""
-    toks = hold(sent.select(topic, key, F.explode(TX.vectorizer_tokens(text)).alias("term"))
+    # sentences are dealt by key, so that their terms are counted where they are cut
+    dealt = sent.filter(F.col(topic).isNotNull() & F.col(key).isNotNull()).select(topic, key, text).repartition(topic, key)
+    toks = hold(dealt.select(topic, key, F.explode(TX.vectorizer_tokens(text)).alias("term"))
                 .groupBy(topic, key, "term").agg(F.count(F.lit(1)).cast("double").alias("tf")), "terms")
     n = sent.agg(F.count(F.lit(1))).scalar()
     idf = toks.groupBy("term").agg((F.ln((n + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
-    w = hold(toks.join(idf, "term").select(topic, key, "term", (F.col("tf") * F.col("idf")).alias("w")), "weights")
+    w = toks.join(idf, "term").select(topic, key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    w = w.repartition(topic, key).groupBy(topic, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"),
+                                                          F.collect_list(F.struct("term", "w")).alias("t"))
+    w = w.select(topic, key, "len", F.explode("t").alias("t"))
+    out = hold(w.select(topic, key, "t.term", (F.col("t.w") / F.col("len")).alias("x")), "unit")
     drop(toks)
-    length = w.groupBy(topic, key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    out = hold(w.join(length, [topic, key]).select(topic, key, "term", (F.col("w") / F.col("len")).alias("x")), "unit")
-    drop(w)
     return out
 
 
@@ -146,12 +149,17 @@ def sentence_scores(weights: DataFrame, topic: str = "topic_label", key: str = "
     """``(topic, key, v)``: where the walk over cosines ends from the uniform start.  ``weights`` as by
     ``sentence_weights``; a topic's v add up to 1."""
     by_term = weights.groupBy(topic, "term").agg(F.sum("x").alias("s"), F.min(key).alias("least"))
-    tied = hold(weights.join(by_term, [topic, "term"]).select(topic, key, "least", (F.col("x") * F.col("s")).alias("d")), "tied")
+    tied = weights.join(by_term, [topic, "term"]).select(topic, key, "least", (F.col("x") * F.col("s")).alias("d"))
     number = lambda c: F.xxhash64(topic, c)  # noqa: E731  (a key may occur in several topics)
-    degree = hold(tied.groupBy(topic, key).agg(F.sum("d").alias("d")).withColumn("id", number(key)), "degree")
-    parts = connected_components(degree.select("id"), tied.select(number(key).alias("src"), number("least").alias("dst")))
-    t = hold(degree.join(parts, "id").select(topic, key, "comp", "d"), "parts")
-    drop(tied, degree, parts)
+    # a sentence ties its terms' least sentences to each other and belongs to their part: the graph's vertices
+    # are those alone, one a term at most
+    degree = hold(tied.repartition(topic, key).groupBy(topic, key)
+                  .agg(F.sum("d").alias("d"), F.min("least").alias("first"), F.collect_set("least").alias("all")), "degree")
+    ties = degree.select(number("first").alias("src"), topic, F.explode("all").alias("one")).select("src", number("one").alias("dst"))
+    ties = hold(ties.distinct(), "ties")
+    parts = connected_components(ties.select(F.col("dst").alias("id")), ties)
+    t = hold(degree.withColumn("id", number("first")).join(parts, "id").select(topic, key, "comp", "d"), "parts")
+    drop(degree, ties, parts)
     share = t.groupBy(topic, "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("d").alias("all"))
     size = t.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
     return (t.join(share, [topic, "comp"]).join(size, topic)
