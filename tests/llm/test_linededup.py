@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 
 from conftest import SF_SMALL
@@ -139,3 +140,43 @@ def test_line_spans():
     s, e, doc, number = L.lines_of(buf, offs)
     assert [bytes(buf[a:b]) for a, b in zip(s, e)] == [b"a", b"b", b"x", b"c"]
     assert doc.tolist() == [0, 0, 3, 4] and number.tolist() == [0, 2, 2, 0]
+
+
+def test_exact_pairs_of_sets():
+    g = random.Random(12)
+    texts = ["".join(g.choice("abc") for _ in range(g.randrange(1, 40))) for _ in range(80)] + ["", "abcabcabc", "abcabcabcabc"]
+    i, j = (np.array(x) for x in zip(*itertools.combinations(range(len(texts)), 2)))
+    sets = [shingles(x) for x in texts]
+    want = [100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b]) for a, b in zip(i, j)]
+    both = L.Sets(pa.array(texts))
+    assert both.resembling(i, j, 60).tolist() == both.resembling(i, j, 60, probes=7).tolist() == want and sum(want) > 1
+
+
+def test_buckets_give_pairs_or_members():
+    key = np.array([1, 1, 1, 2, 3, 3, 4, 4, 4, 4, 4], np.uint64)
+    line = np.array([7, 5, 7, 1, 9, 9, 3, -2, 8, 6, 3])
+    pairs, of, member = L.bucket_rows(key, line, 3)
+    assert {tuple(p) for p in pairs.tolist()} == {(5, 7), (-2, 3), (-2, 6), (-2, 8)}
+    assert sorted(zip(of.tolist(), member.tolist())) == [(4, 3), (4, 6), (4, 8)]
+    pairs, of, _ = L.bucket_rows(key, line, 4)
+    assert len(pairs) == 7 and len(of) == 0
+
+
+def test_pairs_joined_and_keys_dealt_grow_with_lines_not_with_their_pairs(sp, monkeypatch):
+    """Many lines in one bucket that resemble each other by less than the threshold: no join sees their pairs."""
+    g = random.Random(8)
+    base = [f"token{g.randrange(10 ** 6)}" for _ in range(40)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in g.sample(range(40), 6):
+            words[at] = f"other{g.randrange(10 ** 6)}"
+        rows.append((i, " ".join(words)))
+    joined = []
+    real = L.confirm
+    monkeypatch.setattr(L, "confirm", lambda pairs, *a: (joined.append(pairs.count()), real(pairs, *a))[1])
+    df = sp.createDataFrame(rows, "doc_id long, text string")
+    want, all_pairs = brute(rows)
+    assert gone(df) <= want and sum(joined) < all_pairs / 3
+    packed = L.dealt_keys(L.line_table(df), 64).collect()
+    assert sum(len(r["keys"]) for r in packed) == 120 * L.BANDS * L.KEY_BYTES and sum(len(r["lines"]) for r in packed) == 120 * L.BANDS * 8
