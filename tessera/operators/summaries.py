@@ -29,8 +29,10 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import text as TX
 from tessera.functions import vectors as VF
@@ -102,6 +104,30 @@ def topic_keywords(tokens: DataFrame, topic: str = "topic_label", tolerance: flo
             .select(topic, F.col("rank").cast("int").alias("rank"), "word", F.round("pr", 6).alias("score")))
 
 
+def topic_sums(x: DataFrame, topic: str, dim: int) -> DataFrame:
+    """``(topic, n, S)``: rows of each topic and the sum of their vectors ``x`` (null elements add nothing)."""
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            codes = batch.column(topic).dictionary_encode()
+            rows = batch.column("x").flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+            at = codes.indices.to_numpy()
+            for k, name in enumerate(codes.dictionary.to_pylist()):
+                mine = rows[at == k]
+                n, total = sums.get(name, (0, 0.0))
+                sums[name] = (n + len(mine), total + mine.sum(0))
+        if sums:
+            yield pa.RecordBatch.from_arrays([
+                pa.array(list(sums), kind), pa.array([float(n) for n, _ in sums.values()]),
+                pa.array([s for _, s in sums.values()], pa.list_(pa.float64()))], [topic, "n", "s"])
+
+    field = x.schema[topic].dataType
+    kind = to_arrow_type(field)
+    parts = x.filter(F.col(topic).isNotNull()).select(topic, "x").mapInArrow(run, f"{topic} {field.simpleString()}, n double, s array<double>")
+    each = parts.select(topic, "n", F.posexplode("s").alias("k", "v")).groupBy(topic, "k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    return each.groupBy(topic).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda t: t["v"]).alias("S"))
+
+
 def topic_abstract(sent: DataFrame, topic: str = "topic_label", key: str = "sid", vec: str = "vec",
                    text: str = "sentence", order: Sequence[str] = ("pos",), dim: int = 64) -> DataFrame:
     """``(topic, sentence, score)``, the most central sentence per topic.
@@ -112,16 +138,13 @@ def topic_abstract(sent: DataFrame, topic: str = "topic_label", key: str = "sid"
     the row-normalised walk (the limit of LexRank's power iteration) is
     proportional to the row sums by detailed balance:
     score(i) = rowsum(i) / sum_j rowsum(j), rowsum(i) = (n + x_i.S)/2 with S the
-    topic's vector sum.  One pass of per-topic sums; no pairs, no rounds."""
+    topic's vector sum, so all rowsums of a topic add up to (n^2 + S.S)/2.  One pass of per-topic sums
+    (in numpy for each task, then the tasks' few rows); no pairs, no rounds."""
     x = sent.select(topic, key, text, *order, F.col(vec).cast("array<double>").alias("x"))
     x = x.filter(F.size("x") == dim)
-    tot = x.groupBy(topic).agg(F.count(F.lit(1)).cast("double").alias("n"),
-                               *[F.sum(F.col("x")[k]).alias(f"s{k}") for k in range(dim)])
-    tot = tot.select(topic, "n", F.array(*[F.col(f"s{k}") for k in range(dim)]).alias("S"))
-    rs = x.join(tot, topic).select(topic, key, text, *order,
-                                   ((F.col("n") + VF.dot(F.col("x"), F.col("S"))) / 2).alias("rs"))
-    z = rs.groupBy(topic).agg(F.sum("rs").alias("z"))
-    scored = rs.join(z, topic).withColumn("v", F.col("rs") / F.col("z"))
+    tot = topic_sums(x, topic, dim)
+    scored = x.join(tot, topic).select(topic, key, text, *order, ((F.col("n") + VF.dot(F.col("x"), F.col("S")))
+                                       / (F.col("n") * F.col("n") + VF.dot(F.col("S"), F.col("S")))).alias("v"))
     w = Window.partitionBy(topic).orderBy(F.col("v").desc(), *order, key)
     best = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1)
     return best.select(topic, F.col(text).alias("sentence"), F.round("v", 6).alias("score"))

@@ -40,7 +40,7 @@ def q_topic_abstract(spark, base):
     sent = sent.filter(F.col("sentence") != "").withColumn("sid", F.concat_ws(":", "article_uid", "pos"))
     sent = hold(sent, "sentences")  # cut once, read for the encoder, its terms and the sentences themselves
     vec = EM.embed(sent.select("sid", F.col("sentence").alias("text")), key="sid")
-    s = sent.join(vec, "sid")
+    s = hold(sent.join(vec, "sid"), "vectors")  # (read for the sums and for the scores: encoded once)
     best = SM.topic_abstract(s, key="sid", order=("article_uid", "pos"))
     none = spark.createDataFrame([(-1, SM.NONE_TOPIC_TEXT, None)], "topic_label int, sentence string, score double")
     return best.unionByName(none)
