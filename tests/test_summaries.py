@@ -82,3 +82,14 @@ def test_central_sentence_matches_dense(spark):
     assert set(best) == {0, 1}  # a topic of sentences without terms has none
     assert best[1] == "same words here" and best[0] in texts[0]
     assert SM.central_sentence(df.limit(0)).count() == 0
+
+
+def test_topic_sums_of_several_batches(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 7 == 0 else f"t{i % 3}", [float(v) for v in rng.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "topic_label string, x array<double>").repartition(3)
+    got = {r.topic_label: r for r in SM.topic_sums(df, "topic_label", 4).collect()}
+    assert set(got) == {"t0", "t1", "t2"}
+    for topic, r in got.items():
+        mine = np.array([x for t, x in rows if t == topic])
+        assert r.n == len(mine) and np.allclose(r.S, mine.sum(0))
