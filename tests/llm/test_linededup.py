@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from conftest import SF_SMALL
 from tessera.llm import bytescan as B
+from tessera.llm import common
 from tessera.llm import linededup as L
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -142,6 +143,37 @@ def test_line_spans():
     assert doc.tolist() == [0, 0, 3, 4] and number.tolist() == [0, 2, 2, 0]
 
 
+def test_line_spans_with_long_white_space():
+    g = random.Random(3)
+    texts = ["".join(g.choice(["a", "b ", " " * 40, "\t", "\n", "\n\n", " " * 9 + "c"]) for _ in range(g.randrange(0, 30))) for _ in range(300)]
+    buf, offs = B.text_buffer(pa.array(texts))
+    s, e, doc, number = L.lines_of(buf, offs)
+    got = [(int(d), int(k), bytes(buf[a:b]).decode()) for a, b, d, k in zip(s, e, doc, number)]
+    assert got == list(occurrences(enumerate(texts))) and any("\n" + " " * 49 + "c" in x for x in texts)
+
+
+def test_texts_are_hashed_only_at_wanted_places(monkeypatch):
+    """A second look at the texts hashes the lines that are asked for, not every line."""
+    class Docs:
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = ["\n".join(f"Line {d} of {k}" for k in range(50)) for d in range(20)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": texts})
+    table = pa.Table.from_batches(L.line_table(Docs())([batch]))
+    wanted = table.column("line").to_pylist()[7::100]
+    at = [(table.column("doc")[k].as_py(), table.column("number")[k].as_py()) for k in range(7, 1000, 100)]
+    filled = np.zeros(1 << 15, np.uint32)
+    for x in (y for slots in common._slots(L.place_of(*np.array(at).T), 20) for y in slots.tolist()):
+        filled[x >> 5] |= np.uint32(1 << (x & 31))
+    hashed = []
+    real = B.span_hashes
+    monkeypatch.setattr(B, "span_hashes", lambda buf, s, e, *a: (hashed.append(int((e - s).sum())), real(buf, s, e, *a))[1])
+    found = pa.Table.from_batches(L.line_texts(Docs(), filled)([batch]))
+    assert dict(zip(found.column("line").to_pylist(), found.column("text").to_pylist())) == {h: f"line {d} of {k}" for h, (d, k) in zip(wanted, at)}
+    assert sum(hashed) < 0.05 * sum(map(len, texts))
+
+
 def test_exact_pairs_of_sets():
     g = random.Random(12)
     texts = ["".join(g.choice("abc") for _ in range(g.randrange(1, 40))) for _ in range(80)] + ["", "abcabcabc", "abcabcabcabc"]
