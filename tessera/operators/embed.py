@@ -4,7 +4,9 @@ V1 (re-aimed): the default encoder needs no model file.  Tokens -> TF-IDF
 weights (document frequencies by one grouped aggregate) -> a signed random
 projection to ``dim`` dimensions whose signs are the bits of ``xxhash64(term)``
 (so no projection matrix is stored or broadcast), summed for each document -> L2
-normalisation.  Any real sentence encoder plugs in
+normalisation.  The sum is linear in the weights, so a document is encoded where it is read, with the
+idf of the most frequent terms at hand (``TABLE_TERMS``); what it leaves to a join are its rarer terms,
+and only vectors of ``dim`` numbers are shuffled.  Any real sentence encoder plugs in
 through ``embed_with`` (``mapInArrow``: one model load per task, fixed-size
 batches).
 
@@ -27,12 +29,15 @@ from tessera.functions import vectors as VF
 from tessera.session import hold
 
 DIM = 64
+TABLE_TERMS = 1 << 20  # terms whose idf every task has at hand, at most (16 MB)
 
 
 def fit_encoder(docs: DataFrame, text: str = "text") -> DataFrame:
     """V1, fit once: ``(term, idf)`` with idf = ln((N+1)/(df+1)) + 1 (Spark's IDF form), and one
     row with a null term that holds the idf of a term never seen, ln(N+1) + 1."""
-    terms = docs.select(TX.vectorizer_tokens(text).alias("t")).select(F.explode(F.array_distinct("t")).alias("term"))
+    # (an outer explode: a plain one first filters by the size of the tokens and so cuts each text twice)
+    terms = docs.select(TX.vectorizer_tokens(text).alias("t")).select(F.explode_outer(F.array_distinct("t")).alias("term"))
+    terms = terms.filter(F.col("term").isNotNull())
     n = docs.agg(F.count(F.lit(1))).scalar()
     seen = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     return seen.unionByName(docs.agg((F.ln(F.count(F.lit(1)) + 1.0) + 1).alias("idf"))
@@ -85,17 +90,166 @@ def project_terms(weights: DataFrame, key: str = "doc_id", dim: int = DIM, seed:
     return terms.mapInArrow(run, f"{key} {key_type}, vec array<double>")
 
 
+def _at_hand(encoder: DataFrame, seed: int, table_terms: int) -> tuple[np.ndarray, np.ndarray, float, float | None]:
+    """The most frequent terms of a fitted encoder: their sorted hashes and idfs, the idf of an unseen
+    term, and, where terms had to be left out, the largest idf that is in.  Terms of one idf are in or out
+    together, so which are depends on the encoder alone."""
+    of_idf = encoder.filter(F.col("term").isNotNull()).groupBy("idf").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    idf, n = of_idf["idf"].to_numpy(), of_idf["n"].to_numpy()  # (one row for each document frequency)
+    idf, n = idf[order := np.argsort(idf)], n[order]
+    fits = int(np.searchsorted(np.cumsum(n), table_terms, side="right"))
+    unseen = encoder.filter(F.col("term").isNull()).select("idf").first()
+    last = None if fits == len(idf) else float(idf[fits - 1]) if fits else -np.inf
+    some = encoder.filter(F.col("term").isNotNull()) if last is None else encoder.filter(F.col("term").isNotNull() & (F.col("idf") <= F.lit(last)))
+    rows = some.select(F.xxhash64("term", F.lit(seed)).alias("h"), "idf").toArrow()
+    h, w = rows["h"].to_numpy(), rows["idf"].to_numpy()
+    order = np.argsort(h, kind="stable")
+    return h[order], w[order], np.nan if unseen is None or unseen[0] is None else float(unseen[0]), last
+
+
+def _signed_sum(hashes: list[np.ndarray], w: np.ndarray, dim: int) -> np.ndarray:
+    """The weights summed with the signs of their terms' hashes."""
+    raw = []
+    for h in hashes:
+        bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        raw.append(w.sum() - 2.0 * (w @ bits))
+    return np.concatenate(raw)[:dim] / dim ** 0.5
+
+
+def _lists(rows: list, width: int) -> pa.Array:
+    """list<double> rows of ``width`` numbers or null."""
+    some = np.array([r is not None for r in rows], bool)
+    flat = np.concatenate([r for r in rows if r is not None]) if some.any() else np.zeros(0)
+    offsets = np.concatenate([[0], np.cumsum(some * width)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(~some))
+
+
+def _same_key(column: pa.Array) -> list[np.ndarray]:
+    """Row numbers of each key of a batch (null is one key)."""
+    code = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(code[order])) + 1)
+
+
+def _encode_rows(docs: DataFrame, names: list[str], idf, last, key: str, text: str, dim: int, seed: int, one_each: bool) -> DataFrame:
+    """``(key, _n, _raw, _rare)``: the rows of one key in a batch, their number, the sum of their terms at hand,
+    and, where the table does not hold all terms, the other terms' hashes and counts.  A null key has no sum."""
+    key_type = docs.schema[key].dataType.simpleString()
+    rare_type = f"array<struct<{', '.join(f'{n}: bigint' for n in names)}, tf: bigint>>"
+    rare_kind = pa.list_(pa.struct([(n, pa.int64()) for n in [*names, "tf"]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight, unseen = idf.value
+        for batch in batches:
+            keys, lists = batch.column(key), [batch.column(n) for n in names]
+            first = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+            flat = [c.flatten().to_numpy(zero_copy_only=False) for c in lists]
+            null = keys.is_null().to_numpy(zero_copy_only=False)
+            groups = _same_key(keys)
+            raws, rares = [], []
+            for rows in groups:
+                mine = rows[:1] if one_each else rows
+                part = [np.concatenate([h[first[k]:first[k + 1]] for k in mine]) if len(mine) > 1 else h[first[mine[0]]:first[mine[0] + 1]] for h in flat]
+                if null[rows[0]] or not len(part[0]):
+                    raws.append(None)
+                    rares.append(None)
+                    continue
+                u, at, tf = np.unique(part[0], return_index=True, return_counts=True)
+                place = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
+                held = known[place] == u if len(known) else np.zeros(len(u), bool)
+                hashes = [h[at] for h in part]
+                if last is None:
+                    rares.append(None)
+                else:
+                    rares.append(pa.StructArray.from_arrays([pa.array(h[~held]) for h in hashes] + [pa.array(tf[~held].astype(np.int64))], [*names, "tf"]))
+                    hashes, tf, place, held = [h[held] for h in hashes], tf[held], place[held], held[held]
+                w = tf * (np.where(held, weight[place], unseen) if len(known) else np.full(len(tf), unseen))
+                raws.append(_signed_sum(hashes, w, dim) if len(w) else np.zeros(dim))
+            lead = pa.array([r[0] for r in groups], pa.int64())
+            size = np.array([0 if r is None else len(r) for r in rares], np.int64)
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                                            pa.concat_arrays([r for r in rares if r is not None] or [pa.array([], rare_kind.value_type)]))
+            count = pa.array([1 if one_each else len(r) for r in groups], pa.int64())
+            yield pa.RecordBatch.from_arrays([keys.take(lead), count, _lists(raws, dim), rare.cast(rare_kind)], [key, "_n", "_raw", "_rare"])
+
+    tokens = docs.select(key, TX.vectorizer_tokens(text).alias("_tokens"))
+    signs = lambda j: F.transform("_tokens", lambda t: F.xxhash64(t, F.lit(seed + j)))
+    hashed = tokens.select(key, *[signs(j).alias(n) for j, n in enumerate(names)])
+    return hashed.mapInArrow(run, f"{key} {key_type}, _n bigint, _raw array<double>, _rare {rare_type}")
+
+
+def _rare_sums(rows: DataFrame, encoder: DataFrame, names: list[str], last: float, unseen: float, key: str, dim: int, seed: int) -> DataFrame:
+    """``(key, _raw)``: the sums of the terms that ``_encode_rows`` left out, by a join with the encoder."""
+    key_type = rows.schema[key].dataType.simpleString()
+    idf = encoder.filter(F.col("term").isNotNull() & (F.col("idf") > F.lit(last))).select(F.xxhash64("term", F.lit(seed)).alias(names[0]), "idf")
+    idf = idf.groupBy(names[0]).agg(F.min("idf").alias("idf"))
+    terms = rows.filter(F.col(key).isNotNull()).select(key, F.explode_outer("_rare").alias("t")).filter(F.col("t").isNotNull()).select(key, "t.*")
+    w = F.col("tf") * F.coalesce("idf", F.lit(unseen))
+    of_key = (terms.join(idf, names[0], "left").select(key, F.struct(*names, w.alias("w")).alias("t"))
+              .groupBy(key).agg(F.collect_list("t").alias("t")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("t")
+            first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            hashes, w = [flat.field(n).to_numpy(zero_copy_only=False) for n in names], flat.field("w").to_numpy(zero_copy_only=False)
+            out = []
+            for k in range(batch.num_rows):
+                part = slice(first[k], first[k + 1])
+                order = np.lexsort((w[part], hashes[0][part]))
+                out.append(_signed_sum([h[part][order] for h in hashes], w[part][order], dim))
+            yield pa.RecordBatch.from_arrays([batch.column(key), _lists(out, dim)], [key, "_raw"])
+
+    return of_key.mapInArrow(run, f"{key} {key_type}, _raw array<double>")
+
+
 def apply_encoder(docs: DataFrame, encoder: DataFrame, key: str = "doc_id", text: str = "text", dim: int = DIM,
-                  seed: int = 7) -> DataFrame:
+                  seed: int = 7, one_each: bool = False, table_terms: int | None = None) -> DataFrame:
     """V1, apply many: ``(key, vec)``, one row for each document (a null vector when it has no
-    token).  A document's vector depends on it and the fitted table alone, not on its batch."""
-    vec = project_terms(tfidf_terms(docs, encoder, key, text), key, dim, seed)
-    return docs.select(key).join(vec, key, "left")
+    token).  A document's vector depends on it and the fitted table alone, not on its batch.  Rows that
+    repeat a key are one document; ``one_each``: one row of them is, and has one row.  A null key has no vector.
+
+    It is ``project_terms`` of ``tfidf_terms``, summed where the texts are read.  A term is known by its 64-bit hash, which
+    also makes its signs.  ``encoder`` should be stored: it is read several times."""
+    names = [f"h{j}" for j in range((dim + 63) // 64)]
+    known, weight, unseen, last = _at_hand(encoder, seed, TABLE_TERMS if table_terms is None else table_terms)
+    idf = docs.sparkSession.sparkContext.broadcast((known, weight, unseen))
+    rows = _encode_rows(docs, names, idf, last, key, text, dim, seed, one_each)
+    if one_each:
+        rows = rows.dropDuplicates([key])
+    if last is not None:
+        rows = hold(rows, "encoded")
+    sums = rows.select(key, "_n", "_raw")
+    if last is not None:
+        sums = sums.unionByName(_rare_sums(rows, encoder, names, last, unseen, key, dim, seed).withColumn("_n", F.lit(0).cast("bigint")))
+    key_type = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("_raw")
+            first = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            flat = parts.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            out = []
+            for k in range(batch.num_rows):
+                raw = flat[first[k]:first[k + 1]]
+                raw = raw[0] if len(raw) == 1 else np.sort(raw, axis=0).sum(0)  # (in an order that is the parts' own)
+                length = np.sqrt((raw * raw).sum())
+                out.append(raw / length if length > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_n"), _lists(out, dim)], [key, "_n", "vec"])
+
+    whole = sums.groupBy(key).agg(F.sum("_n").alias("_n"), F.collect_list("_raw").alias("_raw"))
+    vec = whole.mapInArrow(run, f"{key} {key_type}, _n bigint, vec array<double>")
+    if one_each:
+        return vec.select(key, "vec")
+    return vec.select(key, "vec", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).select(key, "vec")
 
 
 def embed(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = DIM, seed: int = 7) -> DataFrame:
-    """V1 default encoder fitted on the documents themselves: ``(key, vec)``."""
-    return apply_encoder(docs, fit_encoder(docs, text), key, text, dim, seed)
+    """V1 default encoder fitted on the documents themselves: ``(key, vec)``.  The documents are stored
+    first: their texts, which may be costly to compose, are read to fit and to encode."""
+    docs = hold(docs.select(key, text), "texts")
+    return apply_encoder(docs, hold(fit_encoder(docs, text), "encoder"), key, text, dim, seed)
 
 
 def embed_with(docs: DataFrame, load_model: Callable[[], object], key: str = "doc_id", text: str = "text",
