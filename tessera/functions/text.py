@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import functools
 from dataclasses import dataclass
-from typing import Iterable, Sequence
+from typing import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,10 +78,11 @@ class Step:
     kind: str            # "re" | "lit" | "lower" | "strip" | "chop_comma"
     find: str = ""
     repl: str = ""       # for "re": group refs written \1 (rendered $1 for Java)
+    needs: str = ""      # for "re": what every match holds; Spark searches texts without it for nothing else
 
 
-def _re(p: str, r: str = "") -> Step:
-    return Step("re", p, r)
+def _re(p: str, r: str = "", needs: str = "") -> Step:
+    return Step("re", p, r, needs)
 
 
 def _lit(a: str, b: str = "") -> Step:
@@ -94,9 +95,9 @@ def light_steps(phrases: Sequence[str] = LIGHT_BRAND_PHRASES, phrases_after: Seq
     """The light cleaning's steps.  A site's own phrases (regular expressions, case-free) go before and
     after the standard site's name is unified; none may be given."""
     return (
-        _re(r" \(" + DIGIT + r"+\)"),  # a bracketed number after a blank
-        _re(DIGIT + r"+:+" + DIGIT + r"+-"),  # two numbers with a colon, up to a hyphen
-        _re(r"\(+" + DIGIT + r"+:+" + DIGIT + r"\)+"),  # number, colon, one digit, bracketed
+        _re(r" \(" + DIGIT + r"+\)", needs=" ("),  # a bracketed number after a blank
+        _re(DIGIT + r"+:+" + DIGIT + r"+-", needs=":"),  # two numbers with a colon, up to a hyphen
+        _re(r"\(+" + DIGIT + r"+:+" + DIGIT + r"\)+", needs=":"),  # number, colon, one digit, bracketed
         _re(char_class(LIGHT_DELETED_SYMBOLS)),             # odd symbols
         *[_re(nocase(p)) for p in phrases],
         _re(nocase(STANDARD_SITE[0]), STANDARD_SITE[1]),
@@ -106,17 +107,17 @@ def light_steps(phrases: Sequence[str] = LIGHT_BRAND_PHRASES, phrases_after: Seq
         _lit("\n", ""),
         *[_lit(" " * n, " ") for n in range(3, 20)],        # 3..19 blanks, in turn
         _lit("...", "."),
-        _re(WS + "+-"),                                    # blank(s) before a dash
-        _re("http" + NOT_WS + "+" + WS + "*"),            # URLs
+        _re(WS + "+-", needs="-"),                         # blank(s) before a dash
+        _re("http" + NOT_WS + "+" + WS + "*", needs="http"),  # URLs
         # '^$<digits>$' can never match: '$' is deleted above.
-        _re(r"^[0-9]+(\.[0-9][0-9])?€"),                   # leading euro price
+        _re(r"^[0-9]+(\.[0-9][0-9])?€", needs="€"),        # leading euro price
         _lit(" €", " EURO"),
         _lit(" £", " POUNDS"),
         _lit("“"), _lit("„"),
         _lit("\xa0"), _lit("\xad"), _lit("\u2005"),          # nbsp, soft hyphen, 1/4 em space
         _lit("\u2009", " "),                                # thin space
         _lit(" . ", ". "),
-        _re("(" + WORD + "+)/(" + WORD + "+)", r"\1 \2"),  # a slash between words
+        _re("(" + WORD + "+)/(" + WORD + "+)", r"\1 \2", needs="/"),  # a slash between words
         _lit("\u27a1\ufe0f"),                               # arrow emoji
         _lit("  ", " "),
         _re(WS + "+", " "),
@@ -194,10 +195,23 @@ def strip_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
+def _where(c: Column, some: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """``change`` of the texts that ``some`` picks, the others as they are.  The array of one is a name for
+    ``c``, which is worked out once."""
+    return F.transform(F.array(c), lambda x: F.when(some(x), change(x)).otherwise(x))[0]
+
+
+def _replace(c: Column, s: Step) -> Column:
+    pattern, repl = _QUICK.get((s.find, s.repl), (s.find, _java_repl(s.repl)))
+    if not s.needs:
+        return F.regexp_replace(c, pattern, repl)
+    return _where(c, lambda x: F.contains(x, F.lit(s.needs)), lambda x: F.regexp_replace(x, pattern, repl))
+
+
 def apply_steps(c: Column, steps: Iterable[Step]) -> Column:
     for s in steps:
         if s.kind == "re":
-            c = F.regexp_replace(c, *_QUICK.get((s.find, s.repl), (s.find, _java_repl(s.repl))))
+            c = _replace(c, s)
         elif s.kind == "lit":
             c = F.replace(c, F.lit(s.find), F.lit(s.repl))
         elif s.kind == "lower":
@@ -205,7 +219,7 @@ def apply_steps(c: Column, steps: Iterable[Step]) -> Column:
         elif s.kind == "strip":
             c = strip_ws(c)
         elif s.kind == "chop_comma":
-            c = F.regexp_replace(c, r",\z", "")
+            c = _where(c, lambda x: F.endswith(x, F.lit(",")), lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
         else:
             raise ValueError(s.kind)
     return c
