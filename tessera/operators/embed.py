@@ -205,10 +205,11 @@ def _rare_sums(rows: DataFrame, encoder: DataFrame, names: list[str], last: floa
 
 
 def apply_encoder(docs: DataFrame, encoder: DataFrame, key: str = "doc_id", text: str = "text", dim: int = DIM,
-                  seed: int = 7, one_each: bool = False, table_terms: int | None = None) -> DataFrame:
+                  seed: int = 7, one_each: bool = False, one_row: bool = False, table_terms: int | None = None) -> DataFrame:
     """V1, apply many: ``(key, vec)``, one row for each document (a null vector when it has no
     token).  A document's vector depends on it and the fitted table alone, not on its batch.  Rows that
-    repeat a key are one document; ``one_each``: one row of them is, and has one row.  A null key has no vector.
+    repeat a key are one document, whose vector each of them gets (``one_row``: one row for each key);
+    ``one_each``: one of them is, with one row.  A null key has no vector.
 
     It is ``project_terms`` of ``tfidf_terms``, summed where the texts are read.  A term is known by its 64-bit hash, which
     also makes its signs.  ``encoder`` should be stored: it is read several times."""
@@ -240,7 +241,7 @@ def apply_encoder(docs: DataFrame, encoder: DataFrame, key: str = "doc_id", text
 
     whole = sums.groupBy(key).agg(F.sum("_n").alias("_n"), F.collect_list("_raw").alias("_raw"))
     vec = whole.mapInArrow(run, f"{key} {key_type}, _n bigint, vec array<double>")
-    if one_each:
+    if one_each or one_row:
         return vec.select(key, "vec")
     return vec.select(key, "vec", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).select(key, "vec")
 

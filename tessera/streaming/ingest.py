@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import checkpoint_dir, drop, hold
+from tessera.session import checkpoint_dir, drop
 from tessera.sources.tables import has_data, is_file
 
 EVENTS_SCHEMA = T.StructType([
@@ -110,10 +110,8 @@ def ingest_new(spark: SparkSession, source: str, schema: T.StructType, store: st
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         out = transform(batch)
-        if not hasattr(out, "_held_path"):  # (a transform may hold its result itself)
-            out = hold(out, "batch")  # once: the append reads it for its keys and its rows
-        append(out, store, key)
-        drop(out)
+        append(out, store, key)  # (reads it once, for its keys and its rows alike)
+        drop(out)  # (what the transform has held for it)
 
     (src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
@@ -157,11 +155,12 @@ def label_stream(spark: SparkSession, source: str, schema: T.StructType, labels_
 
 
 def embedding_flow(spark: SparkSession, docs: DataFrame, encoder: DataFrame, reducer_path: str, vectors_store: str,
-                   reduced_store: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+                   reduced_store: str, key: str = "doc_id", text: str = "text", one_each: bool = False) -> DataFrame:
     """One batch of the embedding flow: documents not stored yet are encoded and appended keyed,
     then reduced with the saved reducer and appended keyed to the second table.  Both writes skip
-    stored keys, so a batch that failed between them is completed by running it again.  Returns
-    ``(key, dim, reduced)`` of everything stored."""
+    stored keys, so a batch that failed between them is completed by running it again.  Rows that repeat a
+    key are one document, or, with ``one_each``, one of them is.  Returns ``(key, dim, reduced)`` of
+    everything stored."""
     from pyspark.ml.feature import PCAModel
 
     from tessera.operators import embed as EM
@@ -170,7 +169,7 @@ def embedding_flow(spark: SparkSession, docs: DataFrame, encoder: DataFrame, red
     new = docs
     if has_data(spark, vectors_store):
         new = docs.join(spark.read.parquet(vectors_store).select(key), key, "left_anti")
-    append(EM.apply_encoder(new, encoder, key, text), vectors_store, key)
+    append(EM.apply_encoder(new, encoder, key, text, one_each=one_each, one_row=True), vectors_store, key)
     vectors = spark.read.parquet(vectors_store)
     todo = vectors
     if has_data(spark, reduced_store):
@@ -188,9 +187,8 @@ def embed_stream(spark: SparkSession, source: str, schema: T.StructType, encoder
     checkpoint = checkpoint or f"{vectors_store}_checkpoint"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        docs = hold(batch.select(key, text).dropDuplicates([key]), "batch")
-        embedding_flow(spark, docs, encoder, reducer_path, vectors_store, reduced_store, key, text)
-        drop(docs)
+        # the texts are read once and where they are: of rows that repeat a key one vector is kept
+        embedding_flow(spark, batch.select(key, text), encoder, reducer_path, vectors_store, reduced_store, key, text, one_each=True)
 
     (_file_stream(spark, source, schema, max_files_per_trigger).writeStream.foreachBatch(handle)
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
