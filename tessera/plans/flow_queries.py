@@ -174,7 +174,9 @@ def q_embedding_flow(spark, base):
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
     encoder = hold(EM.fit_encoder(docs), "encoder")
     root = ST.scratch(spark, "embedding-flow")
-    model = EM.fit_reducer(EM.apply_encoder(docs, encoder), REDUCED_DIM)
+    batch = hold(EM.apply_encoder(docs, encoder), "vectors")  # (the fit reads it several times)
+    model = EM.fit_reducer(batch, REDUCED_DIM)
+    drop(batch)
     model.write().overwrite().save(f"{root}/reducer")
     return ST.embedding_flow(spark, docs, encoder, f"{root}/reducer", f"{root}/vectors", f"{root}/reduced")
 
