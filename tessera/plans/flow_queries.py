@@ -113,8 +113,8 @@ def q_ingest_new(spark, base):
 
     def transform(batch):  # composed once, read for the terms and for the rows
         comp = hold(compose(batch), "composed")
-        out = hold(comp.join(EM.apply_encoder(comp, encoder, "article_uid", "composed"), "article_uid", "left"), "batch")
-        drop(comp)
+        out = comp.join(EM.apply_encoder(comp, encoder, "article_uid", "composed", one_row=True), "article_uid", "left")
+        out._held_path = comp._held_path  # (dropped when the batch is stored)
         return out
 
     store = ST.scratch(spark, "ingest")
